@@ -5,12 +5,13 @@ from __future__ import annotations
 from .decontaminate import op9_decontaminate
 from .exact_dedup import op3_exact_dedup
 from .mixing import op7_mix_sources
+from .near_dedup import op8_near_dedup
 from .repeats import op10_repeated_strings
 from .secrets import op2_secret_scan
 from .token_store import op1_token_store
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op6_toxicity, op7_mix_sources, op9_decontaminate, op10_repeated_strings)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings)}
 
 ORACLES = {
     "op3_exact_dedup": """
