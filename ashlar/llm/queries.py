@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .exact_dedup import op3_exact_dedup
+from .html_text import op5_html_text
 from .mixing import op7_mix_sources
 from .near_dedup import op8_near_dedup
 from .repeats import op10_repeated_strings
@@ -13,7 +14,7 @@ from .toxicity import op6_toxicity
 from .url_filter import ORACLE as OP4_ORACLE
 from .url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op5_html_text, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings)}
 
 ORACLES = {
     "op4_url_filter": OP4_ORACLE,
