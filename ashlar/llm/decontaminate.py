@@ -150,5 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE,
     return coverage(docs, benchmark, least).where(F.col("coverage") >= threshold)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, threshold: float = LEAST_COVERAGE) -> DataFrame:
+    """The rows that hold no test item, with their columns."""
+    hit = contaminated(docs, benchmark, least, threshold).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -129,5 +129,15 @@ def taken(m: Mix) -> DataFrame:
     return got.unionByName(none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """The documents as often as the mix takes them (words taken over size, rounded), with their columns.
+
+    Documents without words can't be taken and stay once.
+    """
+    times = taken(mix(docs, **parameters)).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)).cast("int").alias("_times"))
+    times = times.where("_times > 0").select(F.col("doc_id").alias("_doc_id"), F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    return docs.join(times, docs["doc_id"].eqNullSafe(F.col("_doc_id"))).select(*[docs[c] for c in docs.columns])
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(documents(spark, sf_dir)))

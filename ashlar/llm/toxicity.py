@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,23 +161,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text's score between 0 and 1, number of words' worth of matches kept out of it."""
+def score(model: Model):
+    """A function from a text column to scores between 0 and 1."""
+
+    @F.pandas_udf("double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a, w = automaton(model), np.array(model.coefficients)
+        for part in texts:
+            x = np.array([features(t or "", a) for t in part], float).reshape(-1, 3)
+            yield pd.Series(np.zeros(len(x)) if model.empty else 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(model)
-        for batch in batches:
-            x = np.array([features(t or "", a) for t in batch.column("text").to_pylist()], float).reshape(-1, 3)
-            w = np.array(model.coefficients)
-            p = np.zeros(len(x)) if model.empty else 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that score under the threshold, with their columns."""
+    return docs.where(score(learn(docs, labels))("text") < threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score(docs, learn(docs, labels))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(learn(docs, labels))("text").alias("score"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
