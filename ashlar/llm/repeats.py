@@ -2,7 +2,8 @@
 
 Documents are dealt into groups of consecutive doc_ids. Positions whose place in the document modulo 31 is
 in a difference cover are sampled: any two places have a common shift below 31 at which both are sampled,
-so two equal 50-byte strings hold two equal sampled 20-byte blocks. Then
+so two equal 50-byte strings hold two equal sampled 20-byte blocks. Whole copies of a text with a smaller
+doc_id lose everything and take no part in the rest. Then
 
 1. sampled blocks are named by fingerprint, sorted in buckets, and names that come once are discarded;
 2. the suffixes that can still have an equal 50-byte prefix (those with a repeated name within reach) are
@@ -21,12 +22,15 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,42 +78,50 @@ def fingerprint(sums: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 class Group:
-    """Documents side by side: x (bytes), starts, and per byte its place in its document and what is left of it."""
+    """Documents side by side: their bytes x, and where they start."""
 
     def __init__(self, texts: list[bytes]):
-        lengths = np.array([len(t) for t in texts], np.int64)
         self.x = np.frombuffer(b"".join(texts), np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        """The document of each of some ascending places."""
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def slab_places(self, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per place of a slab: its number, its place in its document, and how much of the document follows."""
+        at = np.arange(s, min(s + SLAB, len(self.x)))
+        first, last = self.owners(at[[0, -1]])
+        lengths = np.diff(np.clip(self.starts[first : last + 2], s, at[-1] + 1))
+        owner = np.repeat(np.arange(first, last + 1), lengths)
+        return at, at - self.starts[owner], self.starts[owner + 1] - at
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places and their 40-bit names."""
-        places, names = [], []
+        places, names = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
         for s, sums in slabs(self.x):
-            at = np.arange(s, min(s + SLAB, len(self.x)))
-            owner = self.owner[s : s + SLAB]
-            inside = at - self.starts[owner]
-            at = at[_SAMPLED[inside % COVER_MODULUS] & (at + BLOCK <= self.starts[owner + 1])]
-            places.append(at)
+            at, inside, left = self.slab_places(s)
+            at = at[_SAMPLED[inside % COVER_MODULUS] & (left >= BLOCK)]
+            places.append(at.astype(np.uint32))
             names.append(fingerprint(sums, at - s, BLOCK) >> np.uint64(24))
-        return (np.concatenate(places), np.concatenate(names)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return np.concatenate(places), np.concatenate(names)
 
     def suffixes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places with a repeated name within reach, and their 64-bit prefix names."""
-        n = len(self.x)
+        hits = np.zeros(len(self.x) + COVER_MODULUS, bool)
         at, names = self.names()
-        hits = np.zeros(n + COVER_MODULUS + 1, np.int32)
         if len(repeated) and len(at):
             i = np.minimum(np.searchsorted(repeated, names), len(repeated) - 1)
-            hits[at[repeated[i] == names] + 1] = 1
-        hits = np.cumsum(hits, dtype=np.int32)
-        places, prefixes = [], []
+            hits[at[repeated[i] == names]] = True
+        del at, names
+        places, prefixes = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
         for s, sums in slabs(self.x):
-            at = s + np.flatnonzero(hits[s + COVER_MODULUS : s + COVER_MODULUS + min(SLAB, n - s)] > hits[s : s + min(SLAB, n - s)])
-            at = at[at + LENGTH <= self.starts[self.owner[at] + 1]]
-            places.append(at)
+            at, _, left = self.slab_places(s)
+            seen = np.concatenate([[0], np.cumsum(hits[s : s + len(at) + COVER_MODULUS - 1], dtype=np.int32)])
+            at = at[(seen[COVER_MODULUS:] > seen[: len(at)]) & (left >= LENGTH)]
+            places.append(at.astype(np.uint32))
             prefixes.append(fingerprint(sums, at - s, LENGTH))
-        return (np.concatenate(places), np.concatenate(prefixes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return np.concatenate(places), np.concatenate(prefixes)
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
@@ -149,49 +161,52 @@ def group_of(bounds: list[int]):
     return F.aggregate(F.array(*[F.lit(0)] * (len(bounds).bit_length() + 1)), zero, step, lambda s: s["lo"])
 
 
-def sampled_names(docs: DataFrame) -> DataFrame:
-    """bucket, g, names: sorted sampled names of a part of a group's documents, each at most twice."""
+def copies_of_smaller(docs: DataFrame) -> DataFrame:
+    """g, kind 2, bucket 0, data (doc_ids): texts that a smaller doc_id has whole."""
+    whole = docs.select("g", "doc_id", F.sha2("text", 256).alias("sha")).where("doc_id IS NOT NULL AND sha IS NOT NULL")
+    first = whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = whole.join(first, "sha").where("doc_id > first").select("g", "doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            for g, t in zip(batch.column("g").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if t:
-                    held.append((g, t.encode()))
-                    size += len(held[-1][1])
-                if size >= GROUP_BYTES:
-                    yield name_rows(held)
-                    held, size = [], 0
-        if held:
-            yield name_rows(held)
-
-    return docs.select("g", "text").mapInArrow(run, "bucket int, g int, names binary")
-
-
-def name_rows(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    held.sort(key=lambda r: r[0])
-    group = Group([t for _, t in held])
-    at, names = group.names()
-    g = np.array([r[0] for r in held], np.int64)[group.owner[at]]
-    order = np.lexsort((g, names))  # by bucket first: the top byte of a name
-    names, g = names[order], g[order]
+            g, ids = batch.column("g").to_numpy(), batch.column("doc_id").to_numpy()
+            yield answer_rows(2, 0, [(int(k), ids[g == k].tobytes()) for k in np.unique(g)])
+
+    return copies.mapInArrow(run, ANSWER)
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """g, ids, lengths, texts: documents of a group that stand together, compressed for the way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            held: dict[int, list] = {}
+            for g, i, t in zip(batch.column("g").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.setdefault(g, []).append((LARGEST if i is None else i, (t or "").encode()))
+            for g, rows in held.items():
+                cols = [[g], [np.array([r[0] for r in rows], np.int64).tobytes()], [np.array([len(r[1]) for r in rows], np.int64).tobytes()], [press.compress(b"".join(r[1] for r in rows))]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["g", "ids", "lengths", "texts"])
+
+    return docs.select("g", "doc_id", "text").mapInArrow(run, "g int, ids binary, lengths binary, texts binary")
+
+
+def name_rows(group: Group, g: int) -> pa.Table:
+    """bucket, g, names: the group's sorted sampled names, each at most twice."""
+    names = np.sort(group.names()[1])
     third = np.zeros(len(names), bool)
-    third[2:] = (names[2:] == names[:-2]) & (g[2:] == g[:-2])
-    names, g = names[~third], g[~third]
-    key = (names >> np.uint64(32)).astype(np.int64) * (int(g.max(initial=0)) + 1) + g
-    order = np.argsort(key, kind="stable")
-    names, g, key = names[order], g[order], key[order]
-    ends = np.flatnonzero(np.diff(key, append=-1)) + 1
-    begins = np.concatenate([[0], ends[:-1]]).astype(int)
-    rows = [(int(names[a] >> np.uint64(32)), int(g[a]), packed(names[a:e], 4)) for a, e in zip(begins, ends, strict=True)] if len(names) else []
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "g", "names"])
-
-
-def by_bucket(batches: Iterator[pa.RecordBatch], column: str, answer) -> Iterator[pa.RecordBatch]:
+    third[2:] = names[2:] == names[:-2]
+    names = names[~third]
+    at = np.searchsorted(names, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+    full = np.flatnonzero(np.diff(at))
+    return pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "data": pa.array([packed(names[at[b] : at[b + 1]], 4) for b in full], pa.binary())})
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], answer) -> Iterator[pa.RecordBatch]:
     """Give answer(bucket, [g...], [data...]) all rows of one bucket after another; rows are sorted by bucket."""
     bucket, gs, data = None, [], []
     for batch in batches:
-        for b, g, d in zip(batch.column("bucket").to_pylist(), batch.column("g").to_pylist(), batch.column(column).to_pylist(), strict=True):
+        for b, g, d in zip(batch.column("bucket").to_pylist(), batch.column("g").to_pylist(), batch.column("data").to_pylist(), strict=True):
             if b != bucket and gs:
                 yield answer(bucket, gs, data)
                 gs, data = [], []
@@ -223,7 +238,7 @@ def repeated_names(rows: DataFrame) -> DataFrame:
                 mine.setdefault(g, []).append(n[again[i] == n])
         return answer_rows(0, bucket, [(g, packed(np.unique(np.concatenate(n)), 4)) for g, n in sorted(mine.items())])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, "names", answer), ANSWER)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
 
 
 def earlier_groups(rows: DataFrame) -> DataFrame:
@@ -238,22 +253,34 @@ def earlier_groups(rows: DataFrame) -> DataFrame:
         bits[order[1:]] = prefix[1:] == prefix[:-1]
         return answer_rows(1, bucket, [(g, np.packbits(b).tobytes()) for g, b in zip(gs, np.split(bits, np.cumsum(lengths)[:-1]), strict=True)])
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, "prefixes", answer), ANSWER)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
 
 
 class Opened:
-    """A group's documents in doc_id order with its candidate suffixes, made alike in both later steps."""
+    """A group's documents in doc_id order, without whole copies of smaller ones."""
 
     def __init__(self, docs: pa.Table, answers: pa.Table):
-        ids = docs.column("doc_id").to_pylist()
-        texts = [(t or "").encode() for t in docs.column("text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (LARGEST if ids[i] is None else ids[i], texts[i]))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
-        self.group = Group(self.texts)
+        rows: list[tuple[int, bytes]] = []
+        for ids, lengths, texts in zip(*(docs.column(c).to_pylist() for c in ("ids", "lengths", "texts")), strict=True):
+            whole, at = zstandard.ZstdDecompressor().decompress(texts), 0
+            for i, n in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(lengths, np.int64).tolist(), strict=True):
+                rows.append((i, whole[at : at + n]))
+                at += n
+        rows.sort()
+        self.g = docs.column("g")[0].as_py() if docs.num_rows else 0
         self.answers = sorted(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True), key=lambda r: r[:2])
+        copies = {i for k, _, d in self.answers if k == 2 for i in np.frombuffer(d, np.int64).tolist()}
+        self.copies = [r for r in rows if r[0] in copies]
+        rows = [r for r in rows if r[0] not in copies]
+        self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
+        self.group = Group(self.texts)
+
+    def find(self) -> Opened:
+        """The candidate suffixes, made alike in both later steps."""
         repeated = [unpacked(d, 4) | np.uint64(b << 32) for k, b, d in self.answers if k == 0]
         self.places, prefixes = self.group.suffixes(np.concatenate(repeated) if repeated else np.zeros(0, np.uint64))
         self.prefixes, self.first, self.inverse = np.unique(prefixes, return_index=True, return_inverse=True)
+        return self
 
     def prefix_rows(self) -> list[tuple[int, bytes]]:
         """(bucket, sorted prefixes) of the group, each once."""
@@ -272,45 +299,55 @@ class Opened:
                 earlier[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(d, np.uint8), count=int(at[b + 1] - at[b])).astype(bool)
         covered = np.zeros(len(self.group.x) + 1, np.int32)
         if len(self.places):
-            owner = rank[self.group.owner[self.places]]
-            go = self.places[earlier[self.inverse] | (owner > owner[self.first][self.inverse])]
+            owner = rank[self.group.owners(self.places)]
+            go = self.places.astype(np.int64)[earlier[self.inverse] | (owner > owner[self.first][self.inverse])]
             np.add.at(covered, go, 1)
             np.add.at(covered, go + LENGTH, -1)
-        return np.cumsum(covered)[:-1] > 0
+        return np.cumsum(covered, dtype=np.int32)[:-1] > 0
 
 
-def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, end of the bytes that go), kept_sha256, kept (the bytes that stay)."""
+def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (start, end of the bytes that go), kept_sha256, kept (with keep_text: the bytes that stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = group_bounds(docs, group_bytes)
     docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(group_of(bounds)).cast("int"))
-    names = save(repeated_names(sampled_names(docs)), "repeated-names")
-    release(docs.sparkSession)
+    copies = save(copies_of_smaller(docs), "whole-copies")
+    grouped = packed_documents(docs).groupBy("g")
+
+    def names(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        o = Opened(docs, answers)
+        return name_rows(o.group, o.g)
 
     def prefixes(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        g = docs.column("g")[0].as_py() if docs.num_rows else 0
-        rows = Opened(docs, answers).prefix_rows() if docs.num_rows else []
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([g] * len(rows), pa.int32()), "prefixes": pa.array([r[1] for r in rows], pa.binary())})
+        o = Opened(docs, answers).find()
+        rows = o.prefix_rows()
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([o.g] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     def spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return SPANS.empty_table()
-        o = Opened(docs, answers)
+        o = Opened(docs, answers).find()
         gone, starts = o.removed(), o.group.starts
         rows = {name: [] for name in SPANS.names}
-        for i, (doc, text) in enumerate(zip(o.ids, o.texts, strict=True)):
-            mask = gone[starts[i] : starts[i + 1]]
+
+        def add(doc: int, text: bytes, mask: np.ndarray) -> None:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
-            kept = o.group.x[starts[i] : starts[i + 1]][~mask].tobytes() if len(edges) else text
-            for name, value in zip(SPANS.names, (doc, len(text), int(mask.sum()), [{"start": int(a), "end": int(b)} for a, b in edges], hashlib.sha256(kept).hexdigest(), kept if len(edges) else None), strict=True):
+            kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if len(edges) else text
+            values = (None if doc == LARGEST else doc, len(text), int(mask.sum()), [{"start": int(a), "end": int(b)} for a, b in edges], hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
+            for name, value in zip(SPANS.names, values, strict=True):
                 rows[name].append(value)
+
+        for i, (doc, text) in enumerate(zip(o.ids, o.texts, strict=True)):
+            add(doc, text, gone[starts[i] : starts[i + 1]])
+        for doc, text in o.copies:
+            add(doc, text, np.full(len(text), len(text) >= LENGTH))
         return pa.table(rows, schema=SPANS)
 
-    grouped = docs.groupBy("g")
-    rows = grouped.cogroup(names.groupBy("g")).applyInArrow(prefixes, "bucket int, g int, prefixes binary")
-    earlier = save(earlier_groups(rows), "earlier-groups")
+    rows = "bucket int, g int, data binary"
+    repeated = save(repeated_names(grouped.cogroup(copies.groupBy("g")).applyInArrow(names, rows)), "repeated-names")
+    release(docs.sparkSession)
+    answers = copies.unionByName(repeated)
+    earlier = save(earlier_groups(grouped.cogroup(answers.groupBy("g")).applyInArrow(prefixes, rows)), "earlier-groups")
     release(docs.sparkSession)
-    return grouped.cogroup(names.unionByName(earlier).groupBy("g")).applyInArrow(spans, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    return grouped.cogroup(answers.unionByName(earlier).groupBy("g")).applyInArrow(spans, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -318,7 +355,10 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of what has been saved."""
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
