@@ -15,7 +15,6 @@ each, in doc_id order; a null doc_id sorts first; an empty table makes empty tab
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +27,10 @@ from .common import documents, table_path
 
 WINDOW, LEAST, CUT_BITS, MOST = 16, 64, 9, 4096
 END_ID = 2
-#: Ids of words seen before, per Python worker; emptied when full (about 200 MB).
-CACHE_ENTRIES = 700_000
+#: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 300 MB together).
+CACHE_ENTRIES = 800_000
 
 _tokenizers: dict[str, tuple] = {}
-_SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
 def default_tokenizer() -> str:
@@ -44,8 +42,9 @@ def default_tokenizer() -> str:
 def encoder(path: str, width: int):
     """A function from text to its ids' bytes, by the tokenizers library.
 
-    A byte-level vocabulary's words start at a space that follows other text, so a text without two white
-    spaces in a row is the concatenation of its space-led pieces; equal pieces are encoded once a worker.
+    In a byte-level vocabulary a space that follows a word begins the next one, and so does a lone newline;
+    a text without two spaces or newlines in a row is the concatenation of the pieces that these begin, and
+    equal pieces are encoded once.
     """
     if (path, width) in _tokenizers:
         return _tokenizers[path, width]
@@ -55,6 +54,7 @@ def encoder(path: str, width: int):
     tokenizer.encode_special_tokens = True
     tokenize = tokenizer.model.tokenize
     pieces: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     kind = f"<u{width}"
     # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,39 +64,42 @@ def encoder(path: str, width: int):
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    def piece(p: str) -> bytes:
-        """Ids of a piece with its leading space or newline, if it has one."""
-        if p[0] == "\n":  # a newline before other text stands alone
-            return whole("\n") + (known(p[1:]) if len(p) > 1 else b"")
+    def simple(p: str) -> bytes:
+        """Ids of a piece without its newline; a space before it is part of it."""
         if p[-1] in punctuation and p[-2:-1].isalpha():
-            return known(p[:-1]) + punctuation[p[-1]]
+            return simple(p[:-1]) + punctuation[p[-1]]
         if p[p[0] == " " :].isalpha():
             return np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))], kind).tobytes()
         return whole(p)
 
-    def known(p: str) -> bytes:
-        found = pieces.get(p)
+    def learned(p: str) -> bytes:
+        """Ids of a piece that isn't in the young generation: a newline and what follows it, or a word that follows a space."""
+        nonlocal pieces, older
+        found = older.get(p)
         if found is None:
+            if p[0] != "\n":
+                found = simple(" " + p)
+            elif p[1].isspace():
+                found = whole(p)
+            else:
+                found = newline + simple(p[1:])
+        if len(p) <= 64:
             if len(pieces) >= CACHE_ENTRIES:
-                pieces.clear()
-            found = piece(p)
-            if len(p) <= 64:
-                pieces[p] = found
+                pieces, older = {}, pieces
+            pieces[p] = found
         return found
 
+    newline = whole("\n")
+
     def encode(text: str) -> bytes:
-        if _SPACES.search(text):
-            return whole(text)
         parts = text.replace("\n", " \n").split(" ")
-        head, out = parts[0], []
-        if head:
-            out.append(known(head))
-        get = pieces.get
-        for p in parts[1:]:
-            p = p if p[:1] == "\n" else " " + p
-            found = get(p)
-            out.append(known(p) if found is None else found)
-        return b"".join(out)
+        if "" in parts or "\n" in parts:
+            return whole(text)
+        head = whole(parts[0]) if parts[0][0] != "\n" else learned(parts[0])
+        found = list(map(pieces.get, parts[1:]))
+        if None in found:
+            found = [learned(p) if f is None else f for p, f in zip(parts[1:], found, strict=True)]
+        return head + b"".join(found)
 
     _tokenizers[path, width] = encode
     return encode
