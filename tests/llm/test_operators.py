@@ -1,0 +1,300 @@
+"""Each operator against a brute-force version, on documents with every odd case, on no documents, and with clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import WORD, lower
+
+from ashlar.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, repeats, secrets, token_store, toxicity, url_filter
+from ashlar.llm.common import table_path
+
+
+def collected(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+@pytest.fixture(params=["docs", "clashing"])
+def given(request):
+    return request.getfixturevalue(request.param)
+
+
+# 1
+def test_store_round_trip(spark, given, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.default_tokenizer())
+    path = table_path(spark, "t")
+    token_store.write_store(given, path)
+    want, start = {}, 0
+    for i, text, *_ in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        want[i] = (start, ids)
+        start += len(ids)
+    got = {r["doc_id"]: r for r in collected(token_store.digests(spark, path))}
+    assert {i: (r["start"], r["n_tokens"], r["ids_crc32"]) for i, r in got.items()} == {i: (s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, (s, x) in want.items()}
+    assert all(r["verified"] for r in got.values())
+    assert {r["doc_id"]: (r["start"], r["ids"]) for r in collected(token_store.read_store(spark, path))} == want
+    hashes = [r["hash"] for r in collected(token_store.chunks(spark, path))]
+    assert len(hashes) == len(set(hashes))
+
+
+def test_store_of_nothing_and_repeated_rows(spark, no_docs, docs):
+    path = table_path(spark, "t")
+    token_store.write_store(no_docs, path)
+    assert collected(token_store.digests(spark, path)) == []
+    path = table_path(spark, "t")
+    token_store.write_store(docs.where("doc_id < 9").unionAll(docs.where("doc_id < 9")), path)
+    assert Counter(r["doc_id"] for r in collected(token_store.digests(spark, path))) == {0: 2, 3: 2, 6: 2}
+
+
+def test_damaged_chunk_is_noticed(spark, docs):
+    from pyspark.sql import functions as F
+
+    path = table_path(spark, "t")
+    token_store.write_store(docs.where("doc_id < 9"), path)
+    parts = spark.read.parquet(f"{path}/parts").withColumn("payload", F.when(F.col("kind") == "chunks", F.concat(F.substring("payload", 1, 2), F.col("payload"))).otherwise(F.col("payload")))
+    parts.checkpoint().write.mode("overwrite").partitionBy("kind").parquet(f"{path}/parts")
+    assert not any(r["verified"] for r in collected(token_store.digests(spark, path)))
+
+
+# 2
+BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile("[0-9a-f]+"), 0, 16)}
+
+
+def spans(text):
+    found = [(m.start(), k, name, m.end()) for k, (name, (p, g, n)) in enumerate(BASE.items()) for m in p.finditer(text or "") if len(m[g]) >= n]
+    return ",".join(f"{name}:{s}:{e}" for s, _, name, e in sorted(found))
+
+
+def test_secrets(spark, given, rows):
+    got = collected(secrets.Ledger(spark, table_path(spark, "t")).scan(given, "doc_id"))
+    base = lambda r: ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in r["spans"] or [] if x["rank"] < 3)
+    assert {r["doc_id"]: base(r) for r in got} == {i: spans(t) for i, t, *_ in rows}
+
+
+def test_ledger_scans_only_what_it_has_not_seen(spark, docs, no_docs):
+    ledger = secrets.Ledger(spark, table_path(spark, "t"))
+    assert ledger.scan(no_docs, "doc_id").count() == 0
+    first = ledger.scan(docs.where("doc_id < 60"), "doc_id").count()
+    n = ledger.read().count()
+    assert n < first + 1 and n == docs.where("doc_id < 60").select("text").distinct().count()
+    ledger.scan(docs.where("doc_id < 60").unionAll(docs.where("doc_id < 60")), "doc_id")
+    assert ledger.read().count() == n
+    ledger.scan(docs.where("doc_id < 60"), "doc_id", rules="other")
+    assert ledger.read().count() == 2 * n
+
+
+# 3
+def test_exact_dedup(spark, given, rows, no_docs, docs):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[lower(t)].append(i)
+    want = {i: (max(ids), len(ids), i == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in collected(exact_dedup.dedup(given))} == want
+    assert exact_dedup.dedup(no_docs).count() == 0
+    twice = collected(exact_dedup.dedup(docs.where("doc_id = 0").unionAll(docs.where("doc_id = 0"))))
+    assert [(r["group_size"], r["kept"]) for r in twice] == [(2, True)] * 2
+
+
+def test_filters_merge_without_loss():
+    a, b = np.array([5, 5, 7], np.uint64), np.array([5, 9], np.uint64)
+    parts = [exact_dedup.filter_blocks(x << np.uint64(50), None).to_pydict() for x in (a, b)]
+    got = exact_dedup.merge([(np.frombuffer(r, np.uint64), np.frombuffer(c, np.uint64)) for p in parts for r, c in zip(p["remainders"], p["counts"], strict=True)])
+    assert dict(zip((got[0] >> np.uint64(50)).tolist(), got[1].tolist(), strict=True)) == {5: 3, 7: 1, 9: 1}
+
+
+# 4
+def test_urls(spark):
+    urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://www.example.org/en/2", "http://x.com/fr/1#a", "http://x.com/de/1", "http://x.com/de", "http://notexample.org", None, "no scheme/x", "http://u.net/a?b://c", "http://u.net/b"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x")], "page_id long, url string, key string")
+    listed = spark.createDataFrame([("u.net/a",), ("never.net/seen",), (None,)], "key string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in collected(url_filter.judge_urls(pages, listed)))
+    assert got[0] == got[1] == (0, "a.example.org", "/es/1", "example.org/es/", "block")
+    assert [g[1:] for g in got[2:]] == [("example.org", "/en/12", "example.org/en/1", "block"), ("www.example.org", "/en/2", "org/", "allow"), ("x.com", "/fr/1", "com/fr/", "allow"), ("x.com", "/de/1", "com/de/", "block"), ("x.com", "/de", None, "allow"), ("notexample.org", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("u.net", "/a", None, "block"), ("u.net", "/b", None, "allow")]
+    assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(3000).selectExpr("cast(id as string) as key")
+    listed = universe.where("cast(key as long) % 7 = 0")
+    c = url_filter.Cascade(listed, universe)
+    assert len(c.levels) > 1
+    assert c.judge(universe, "key", "x").where("x != (cast(key as long) % 7 = 0)").count() == 0
+    assert url_filter.Cascade(listed.limit(0), universe).judge(universe, "key", "x").where("x").count() == 0
+
+
+# 5
+def test_main_text(spark):
+    page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>First   par.<p>Second<br>line<script>x()</script></article><div class='comments'><p>I like this very much, more than anything else here.</p></div><footer>f</footer>"
+    pages = spark.createDataFrame([(0, "u", page), (1, "u", None), (2, None, ""), (3, "u", "plain <b>text")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in collected(html_text.extract(pages))}
+    assert got[0] == "A & B\n\nFirst par.\n\nSecond line" and got[1] == got[2] == ""
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_cut_is_least(subtests=None):
+    import itertools
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        n = rnd.randint(1, 7)
+        odds, edges = [rnd.uniform(-3, 3) for _ in range(n)], [(i, j, rnd.uniform(0, 2)) for i in range(n) for j in range(i) if rnd.random() < 0.5]
+        cost = lambda kept: sum(c if c > 0 and not k else -c if c < 0 and k else 0 for c, k in zip(odds, kept, strict=True)) + sum(w for i, j, w in edges if kept[i] != kept[j])  # noqa: B023, E731
+        assert cost(html_text.minimum_cut(odds, edges)) == pytest.approx(min(map(cost, itertools.product((False, True), repeat=n))))
+
+
+# 6
+def test_toxicity(spark, docs, no_docs):
+    bad = ["idiotic", "scumbag", "worthless"]
+    rows = [(i, f"the quick report number {i} said {bad[i % 3] if i % 2 else 'kind'} {bad[(i + 1) % 3] if i % 2 else 'words'} things") for i in range(120)]
+    corpus, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    model = toxicity.learn(corpus, labels)
+    hidden = spark.createDataFrame([(0, "you are W0RTHLESS and \u0455cumbag"), (1, None), (2, ""), (3, "a kind report"), (4, "clean words " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in hidden.select("doc_id", toxicity.score(model)("text").alias("s")).collect()}
+    assert got[0] >= 0.5 and all(0 <= got[i] < 0.5 for i in (1, 2, 3, 4))
+    assert toxicity.without_toxic(corpus, labels).where("doc_id % 2 = 1").count() == 0
+    assert toxicity.learn(no_docs, labels.limit(0)).empty
+
+
+def test_exception_phrase():
+    model = toxicity.Model({"trash": 3.0}, [-1.0, 2.0, 1.0, 0.0], False)
+    a = toxicity.automaton(model)
+    assert toxicity.features("the trash can is full", a)[0] == 0 and toxicity.features("the trash is full", a)[0] > 0
+
+
+# 7
+def test_mixing(spark, given, rows, no_docs):
+    m = mixing.mix(given)
+    got = collected(mixing.taken(m))
+    size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    assert {r["doc_id"]: r["size"] for r in got} == size and len(got) == len(rows)
+    by = defaultdict(list)
+    for r, s in ((r, {i: s for i, _, _, s, _ in rows}[r["doc_id"]]) for r in got):
+        by[s].append(r)
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    total, fixed = sum(size.values()), {}
+    sums, weights = {s: sum(x["size"] for x in by[s]) for s in by}, {"a": 5, "b": 2, None: 1}
+    while True:  # share out by weight again and again until none is above its cap
+        left = 1.5 * total - sum(fixed.values())
+        share = {s: left * weights[s] / sum(weights[x] for x in by if x not in fixed) for s in by if s not in fixed}
+        above = [s for s in share if share[s] > 2 * sums[s]]
+        if not above:
+            break
+        fixed |= {s: 2 * sums[s] for s in above}
+    for s in by:
+        assert by[s][0]["source_size"] == sums[s] and by[s][0]["target"] == pytest.approx((fixed | share)[s])
+        assert abs(sum(r["taken"] for r in by[s]) - by[s][0]["target"]) < 130
+    assert sorted(map(str, collected(mixing.taken(mixing.mix(given))))) == sorted(map(str, got))
+    assert mixing.taken(mixing.mix(no_docs)).count() == 0
+
+
+# 8
+def components(sets, percent=80):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            c = len(sets[a] & sets[b])
+            if c and 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def shingles(text, n=4):
+    w = WORD.findall(lower(text))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def test_near_dedup(spark, given, rows, no_docs):
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    root = components(sets)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in collected(near_dedup.near_duplicates(given, 4))}
+    assert got == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
+    assert near_dedup.near_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [20_000, 40])
+def test_chains_of_near_copies(spark, monkeypatch, hot):
+    """One bucket with many members, most pairs of which aren't similar; also in salted parts."""
+    import random
+
+    rnd = random.Random(3)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 4, 6, 9])):
+            w[rnd.randrange(120)] = f"e{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_dedup, "HOT_KEY", hot)
+    monkeypatch.setattr(near_dedup, "SAMPLE", 0.5)
+    got = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4))}
+    assert got == components({i: shingles(t) for i, t in rows})
+
+
+def test_pigeonhole():
+    """Signatures that differ in 2 * CHUNKS - 1 places have a common key."""
+    rnd = np.random.default_rng(0)
+    for _ in range(50):
+        a = rnd.integers(0, 1 << 32, near_dedup.PLACES)
+        b = a.copy()
+        b[rnd.choice(near_dedup.PLACES, 2 * near_dedup.CHUNKS - 1, replace=False)] += 1
+        assert ((a != b).reshape(near_dedup.CHUNKS, -1).sum(axis=1) <= near_dedup.ERRORS).any()
+
+
+# 9
+def test_decontamination(spark, no_docs):
+    item = "The quick brown fox, jumps over the lazy dog; then it sleeps all day long in the sun"
+    w = item.lower().split()
+    texts = [f"before {item.upper()} after", " ".join(w[9:]) + " and then " + " ".join(w[:9]), " ".join(w[:5]) + " something else", "nothing here", None, "", "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "short one")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in collected(decontaminate.contaminated(docs, items))}
+    assert got == {(0, 7): 1.0, (1, 7): 1.0, (6, 10): 1.0}
+    assert decontaminate.coverage(docs, items).where("doc_id = 2").first().coverage == pytest.approx(5 / len(w))
+    assert decontaminate.contaminated(no_docs, items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in collected(decontaminate.without_contaminated(docs, items))) == [2, 3, 4, 5]
+
+
+def test_tiling_marks_the_longest_first():
+    assert sorted(decontaminate.tiles([(0, 10), (1, 11), (2, 12), (1, 30), (2, 31)], 2)) == [(0, 10, 4)]
+    assert sorted(decontaminate.tiles([(0, 5), (1, 6), (2, 0)], 2)) == [(0, 5, 3)]
+
+
+# 10
+def removed(rows):
+    first, out = {}, {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = b"\1" * 50
+        out[i] = (len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1])), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("group", [8 << 20, 3000])
+def test_repeats(spark, given, rows, group):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in collected(repeats.find_repeats(given, group))}
+    assert got == removed(rows)
+
+
+def test_repeats_of_one_id_and_nothing(spark, no_docs):
+    text = "x" * 30 + "some text that is longer than fifty bytes in all, surely"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in collected(repeats.find_repeats(docs))), key=str)
+    assert got == [(1, 0), (1, 0), (2, len(text)), (None, len(text))]
+    assert repeats.find_repeats(no_docs).count() == 0
