@@ -6,9 +6,10 @@ signature of CHUNKS * WIDTH minhashes, cut into chunks; two signatures that diff
 a common key when each chunk is indexed once for every choice of ERRORS places to leave out. Signatures
 are kept at BITS bits a place for the distance filter.
 
-A bucket isn't expanded into all pairs: its members are compared with a few hubs (members that are far
-from all earlier hubs), links are confirmed, and only members of different components are compared with
-each other in a second pass. So no link is lost between classes that share a bucket.
+A bucket isn't expanded into all pairs: its members are paired with HUBS of them, links are confirmed, and
+only members of different components are compared with each other in a second pass. There a parity bitmap
+of each set bounds the symmetric difference of two sets from below, which rules out most pairs for sure.
+So no link is lost between classes that share a bucket.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows get a row each, and rows of one
@@ -33,8 +34,10 @@ CHUNKS, WIDTH, ERRORS, BITS = 10, 4, 1, 4
 PLACES = CHUNKS * WIDTH
 #: Signatures that differ in more places aren't checked: at a similarity of 0.8 the chance is about 1e-8.
 MOST_DISTANCE = 24
-#: A member this near to a hub doesn't become one.
-HUB_DISTANCE = 8
+#: Members of a bucket that all others are paired with.
+HUBS = 4
+#: Bits of a set's parity bitmap.
+PARITY = 2048
 #: Members of a bucket part that is compared at once in the second pass; pairs of a hub checked in one task.
 PART, PAIRS_A_TASK = 2048, 512
 #: Keys with more members than this (estimated from a sample) are first worked on in SALTS parts.
@@ -95,6 +98,11 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit per residue of the hashes: is it hit an odd number of times? Two sets differ in at least as many elements as their bitmaps in bits."""
+    return np.packbits(np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def portions(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """doc_ids and lower-cased texts of a batch, about a megabyte at a time."""
     ids, texts, held = [], [], 0
@@ -110,7 +118,7 @@ def portions(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list,
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, class (hash of the set; null if empty), signature (32 bits a place)."""
+    """doc_id, n, class (hash of the set; null if empty), signature (32 bits a place), parity (bitmap of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +132,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         sig[:, k] = np.minimum.reduceat(every * _MINHASH[0, k] + _MINHASH[1, k], at) >> np.uint64(32)
                 rows = iter(sig)
                 names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "class", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "class", "signature", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, class binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n long, class binary, signature binary, parity binary")
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -166,21 +174,18 @@ class Hubs:
 
     def __init__(self, percent: int):
         self.percent, self.pairs = percent, []
-        self.ids, self.n, self.sig = [], [], np.zeros((0, PLACES), np.uint8)
+        self.ids, self.n, self.sig = [], [], []
 
     def take(self, i: int, n: int, sig: np.ndarray) -> bool:
         """Pair a member with the hubs it may link with; whether it became a hub."""
         if self.ids:
-            held = self.sig[: len(self.ids)]
-            d = (held != sig).sum(axis=1)
+            d = (np.array(self.sig) != sig).sum(axis=1)
             for k in np.flatnonzero(within(np.array(self.n), n, d, self.percent)):
                 if self.ids[k] != i:
                     self.pairs.append((min(self.ids[k], i), max(self.ids[k], i)))
-            if d.min() <= HUB_DISTANCE:
-                return False
-        if len(self.ids) == len(self.sig):
-            self.sig = np.concatenate([self.sig, np.zeros((max(4, len(self.sig)), PLACES), np.uint8)])
-        self.sig[len(self.ids)] = sig
+        if len(self.ids) >= HUBS:
+            return False
+        self.sig.append(sig)
         self.ids.append(i)
         self.n.append(n)
         return True
@@ -224,25 +229,25 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
             yield from full(20_000)
         yield from full(0)
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(run, "kind int, a long, b long, key long, n long, sig binary")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("id"), "id").mapInArrow(run, "kind int, a long, b long, key long, n long, sig binary")
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of bucket members in different components that sizes and signatures allow.
+def cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of bucket members in different components that sizes and parity bitmaps allow.
 
     A bucket's members are held in parts; each part is compared with itself and every later part.
     """
-    m = members.join(labels, members["a"] == labels["node"], "left").select("key", F.col("a").alias("id"), "n", "sig", F.coalesce("component", "a").alias("component")).dropDuplicates(["key", "id"])
-    mixed_keys = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    m = m.join(mixed_keys, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    m = members.select("key", F.col("a").alias("id")).join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")).dropDuplicates(["key", "id"])
+    several = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi AND size > {HUBS + 1}").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    m = m.join(several, "key").join(classes.select("id", "n", "parity"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a part meets part j in the task (key, i, j) for i <= j
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "sig", "component")
+    m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "parity", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id", "n", "sig", "component")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id", "n", "parity", "component")), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
                         yield from compared(now, held)
@@ -253,15 +258,17 @@ def cross_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFram
 
     def compared(now: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         part, ids, n, comp = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 4))
-        sig = places_of([h[3] for h in held])
-        for r in range(len(held)):
+        bits = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+        for r in range(len(held) - 1):
             rest = slice(r + 1, None)
-            ok = (comp[rest] != comp[r]) & within(n[rest], n[r], (sig[rest] != sig[r]).sum(axis=1), percent)
+            # similar sets differ in at most (100 - percent) / (100 + percent) of both sizes' sum
+            ok = (comp[rest] != comp[r]) & (100 * np.minimum(n[rest], n[r]) >= percent * np.maximum(n[rest], n[r]))
             if now[1] != now[2]:
                 ok &= part[rest] != part[r]
-            if ok.any():
-                b = ids[rest][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, ids[r])), pa.array(np.maximum(b, ids[r]))], ["a", "b"])
+            at = r + 1 + np.flatnonzero(ok)
+            at = at[(100 + percent) * np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[at] + n[r])]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[r])), pa.array(np.maximum(ids[at], ids[r]))], ["a", "b"])
 
     return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "id").mapInArrow(run, "a long, b long").distinct()
 
@@ -323,20 +330,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = save(signatures(docs, size), "near-signatures")
-    classes = save(signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")).where("id IS NOT NULL"), "near-classes")
+    classes = save(signed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity")).where("id IS NOT NULL"), "near-classes")
     keys = index_keys(classes)
     hot = [r.key for r in keys.sample(SAMPLE, seed=5).groupBy("key").count().where(F.col("count") > HOT_KEY * SAMPLE).select("key").collect()]  # at most rows / HOT_KEY
     salt = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1).otherwise(0) if hot else F.lit(0)
     found = save(hub_pairs(keys.withColumn("salt", salt), percent), "near-buckets")
     pairs = found.where("kind = 0").select("a", "b")
-    members = found.where("kind = 2").select("key", "a", "n", "sig")
+    members = found.where("kind = 2").select("key", "a")
     if hot:
         more = save(hub_pairs(found.where("kind = 1").select("key", F.col("a").alias("id"), "n", "sig", F.lit(0).alias("salt")), percent), "near-hubs")
         pairs = pairs.unionByName(more.where("kind = 0").select("a", "b"))
-        members = members.unionByName(found.where("kind = 1").select("key", "a", "n", "sig"))
+        members = members.unionByName(found.where("kind = 1").select("key", "a"))
     links = save(confirmed(save(pairs.distinct(), "near-pairs"), docs, size, percent), "near-links")
     labels = save(components(links), "near-labels")
-    pairs = save(cross_pairs(members, labels, percent), "near-cross")
+    pairs = save(cross_pairs(members, labels, classes, percent), "near-cross")
     if pairs.limit(1).count():
         links = links.unionByName(save(confirmed(pairs, docs, size, percent), "near-cross-links"))
         labels = save(components(links), "near-labels")
