@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPARK, DUCKDB = "spark", "duckdb"
+#: Height of scalar text that becomes a column of its own.
+TALL = 4
 SERIES = "partition by code order by datetime"
 SECTION = "partition by datetime"
 
@@ -52,17 +54,17 @@ class Expr:
 
     @property
     def key(self) -> str:
-        """The tree as compact JSON; equal trees have equal keys."""
+        """A digest of the tree; equal trees have equal keys."""
         found = self.__dict__.get("_key")
         if found is None:
-            found = json.dumps([self.op, list(self.params), [a.key for a in self.args]], separators=(",", ":"))
+            found = hashlib.md5(json.dumps([self.op, list(self.params), [a.key for a in self.args]]).encode()).hexdigest()
             object.__setattr__(self, "_key", found)
         return found
 
     @property
     def alias(self) -> str:
         """Column name of the staged node."""
-        return "x" + hashlib.md5(self.key.encode()).hexdigest()[:16]
+        return "x" + self.key[:16]
 
     @property
     def windowed(self) -> bool:
@@ -76,6 +78,25 @@ class Expr:
             object.__setattr__(self, "_depth", found)
         return found
 
+    @property
+    def place(self) -> tuple[int, int]:
+        """The stage after which the node's value is known, and the height of the text that gives it.
+
+        Window nodes and every TALL-th scalar node on the way up are staged: parsers take long over deeply
+        nested text.
+        """
+        found = self.__dict__.get("_place")
+        if found is None:
+            stage = max([0, *(a.place[0] for a in self.args)])
+            height = 1 + max([0, *(a.place[1] for a in self.args)]) if self.args else 0
+            found = (stage + 1, 0) if self.windowed or height >= TALL else (stage, height)
+            object.__setattr__(self, "_place", found)
+        return found
+
+    @property
+    def staged(self) -> bool:
+        return self.windowed or (bool(self.args) and self.place[1] == 0)
+
     def walk(self) -> Iterable[Expr]:
         """Every distinct node, operands first."""
         seen: set[str] = set()
@@ -327,8 +348,8 @@ WINDOWS = {
 
 
 def render(e: Expr, dialect: str) -> str:
-    """Text of a node; window nodes below are named columns."""
-    return e.alias if e.windowed else _inline(e, dialect)
+    """Text of a node; staged nodes are named columns."""
+    return e.alias if e.staged else _inline(e, dialect)
 
 
 def _inline(e: Expr, dialect: str) -> str:
@@ -343,12 +364,12 @@ def _inline(e: Expr, dialect: str) -> str:
 
 
 def stages(exprs: Iterable[Expr], dialect: str) -> list[dict[str, str]]:
-    """Per nesting level, the window columns to add."""
+    """Per stage, the columns to add."""
     found: dict[int, dict[str, str]] = {}
     for root in exprs:
         for e in root.walk():
-            if e.windowed:
-                found.setdefault(e.depth, {})[e.alias] = _inline(e, dialect)
+            if e.staged:
+                found.setdefault(e.place[0], {})[e.alias] = _inline(e, dialect)
     return [found[k] for k in sorted(found)]
 
 
