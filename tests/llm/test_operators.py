@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import WORD, lower
+from samples import WORD, lower
 
 from ashlar.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, repeats, secrets, token_store, toxicity, url_filter
 from ashlar.llm.common import table_path
