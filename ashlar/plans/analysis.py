@@ -259,18 +259,18 @@ def turnover(labelled: DataFrame) -> DataFrame:
 # metrics of return series (series, timestamp, ret)
 def drawdowns(returns: DataFrame) -> DataFrame:
     w = Window.partitionBy("series").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    grown = returns.where("ret IS NOT NULL").withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(w)))
+    grown = returns.where("ret IS NOT NULL").withColumn("wealth", F.product(1 + F.col("ret")).over(w))
     return grown.withColumn("drawdown", F.try_divide(F.col("wealth"), F.max("wealth").over(w)) - 1)
 
 
 def return_metrics(returns: DataFrame, risk_free: float = 0.0, per_year: int = DAYS_A_YEAR) -> DataFrame:
     r, n = F.col("ret"), F.count("ret")
-    total = F.exp(F.sum(F.log1p(r))) - 1
+    total = F.product(1 + r) - 1
     vol = F.stddev_samp(r) * math.sqrt(per_year)
     excess = r - risk_free / per_year
     down = F.stddev_samp(F.when(excess < 0, excess)) * math.sqrt(per_year)
     m = drawdowns(returns).groupBy("series").agg(
-        n.alias("n"), total.alias("total_return"), (F.pow(1 + total, F.try_divide(F.lit(float(per_year)), n.cast("double"))) - 1).alias("annual_return"), vol.alias("volatility"),
+        n.alias("n"), total.alias("total_return"), F.when(total > -1, F.pow(1 + total, F.try_divide(F.lit(float(per_year)), n.cast("double"))) - 1).alias("annual_return"), vol.alias("volatility"),
         F.try_divide(F.avg(excess) * per_year, vol).alias("sharpe"), F.try_divide(F.avg(excess) * per_year, down).alias("sortino"), F.min("drawdown").alias("max_drawdown"),
         F.avg((r > 0).cast("double")).alias("win_rate"), F.max(r).alias("best"), F.min(r).alias("worst"),
     )

@@ -158,12 +158,23 @@ register(
     "portfolio_turnover",
     f"with {BASE_SQL}, {LABEL_SQL}, dd as (select timestamp, row_number() over (order by timestamp) as day from (select distinct timestamp from b)), d as (select * from lab join dd using (timestamp)) select a.timestamp, cast(p.quantile as integer) as was, {r('avg(cast(a.quantile <> p.quantile as double))', 'turnover')} from d a join d p on a.asset = p.asset and a.day = p.day + 1 where a.quantile is not null and p.quantile is not null group by 1, 2",
 )(lambda s, d: an.turnover(labelled(s, d)))
-_wealth = "wl as (select *, exp(sum(ln(1 + ret)) over (partition by series order by timestamp)) as wealth from ser where ret is not null), dr as (select *, wealth / nullif(max(wealth) over (partition by series order by timestamp), 0) - 1 as drawdown from wl)"
-_annual = "power(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1"
+
+
+def signed_log_sql(x: str) -> str:
+    return f"sign({x}) * ln(1 + abs({x}))"
+
+
+def with_logs(df: DataFrame, names: list[str]) -> DataFrame:
+    """Compounded values on a logarithmic scale: the test prices jump so much that they don't compare by digits."""
+    return df.withColumns({f"{c}_log": F.signum(c) * F.log(1 + F.abs(c)) for c in names}).drop(*names)
+
+
+_wealth = "wl as (select *, product(1 + ret) over (partition by series order by timestamp) as wealth from ser where ret is not null), dr as (select *, wealth / nullif(max(wealth) over (partition by series order by timestamp), 0) - 1 as drawdown from wl)"
+_annual = "case when product(1 + ret) > 0 then power(product(1 + ret), 252.0 / count(ret)) - 1 end"
 register(
     "return_metrics",
-    f"with {BASE_SQL}, {LABEL_SQL}, {GROUPS_SQL}, {SERIES_SQL}, {_wealth} select series, count(ret) as n, {r('exp(sum(ln(1 + ret))) - 1', 'total_return')}, {r(_annual, 'annual_return')}, {r('stddev_samp(ret) * sqrt(252.0)', 'volatility')}, {r('avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252.0), 0)', 'sharpe')}, {r('avg(ret) * 252 / nullif(stddev_samp(case when ret < 0 then ret end) * sqrt(252.0), 0)', 'sortino')}, {r('min(drawdown)', 'max_drawdown')}, {r('avg(cast(ret > 0 as double))', 'win_rate')}, {r('max(ret)', 'best')}, {r('min(ret)', 'worst')}, {r(f'({_annual}) / nullif(abs(min(drawdown)), 0)', 'calmar')} from dr group by series",
-)(lambda s, d: an.return_metrics(series(s, d)))
+    f"with {BASE_SQL}, {LABEL_SQL}, {GROUPS_SQL}, {SERIES_SQL}, {_wealth} select series, count(ret) as n, {r(signed_log_sql('product(1 + ret) - 1'), 'total_return_log')}, {r(signed_log_sql(_annual), 'annual_return_log')}, {r('stddev_samp(ret) * sqrt(252.0)', 'volatility')}, {r('avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252.0), 0)', 'sharpe')}, {r('avg(ret) * 252 / nullif(stddev_samp(case when ret < 0 then ret end) * sqrt(252.0), 0)', 'sortino')}, {r('min(drawdown)', 'max_drawdown')}, {r('avg(cast(ret > 0 as double))', 'win_rate')}, {r('max(ret)', 'best')}, {r('min(ret)', 'worst')}, {r(signed_log_sql(f'({_annual}) / nullif(abs(min(drawdown)), 0)'), 'calmar_log')} from dr group by series",
+)(lambda s, d: with_logs(an.return_metrics(series(s, d)), ["total_return", "annual_return", "calmar"]))
 register("value_at_risk", f"with {BASE_SQL}, {LABEL_SQL}, {GROUPS_SQL}, {SERIES_SQL}, ed as (select series, quantile_cont(ret, 0.05) as edge from ser group by series) select series, {r('-any_value(edge)', 'var')}, {r('-avg(case when ret <= edge then ret end)', 'cvar')} from ser join ed using (series) group by series")(lambda s, d: an.value_at_risk(series(s, d)))
 register(
     "beta_alpha",
