@@ -146,17 +146,26 @@ def chosen_terms(found: dict[str, tuple[int, float]]) -> list[tuple[str, float]]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
-    """Newton's method with a small ridge, both labels weighing the same."""
+    """Newton's method with a small ridge and steps that are halved until they help; both labels weigh the same."""
     x = np.column_stack([np.ones(len(x)), x])
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(each @ (np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (each * (p - y)) + ridge * w
         hessian = (x.T * (each * p * (1 - p))) @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        if abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now <= 1e-9 * max(1.0, abs(before)):
             break
     return w.tolist()
 

@@ -298,3 +298,11 @@ def test_repeats_of_one_id_and_nothing(spark, no_docs):
     got = sorted(((r["doc_id"], r["n_removed"]) for r in collected(repeats.find_repeats(docs))), key=str)
     assert got == [(1, 0), (1, 0), (2, len(text)), (None, len(text))]
     assert repeats.find_repeats(no_docs).count() == 0
+
+
+def test_model_of_separable_texts_stays_finite():
+    rnd = np.random.default_rng(2)
+    y = (np.arange(9000) % 3 == 0).astype(float)
+    x = np.column_stack([y * rnd.uniform(1.5, 4, 9000), y * rnd.uniform(0.1, 30, 9000), rnd.uniform(0, 10, 9000)])
+    w = np.array(toxicity.logistic(x, y))
+    assert (((w[0] + x @ w[1:]) >= 0) == (y > 0)).all()
