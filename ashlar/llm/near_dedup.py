@@ -47,7 +47,8 @@ _DELIMITERS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VALUES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _VALUES[_DELIMITERS] = 0
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
-_LONG = np.cumprod(np.full(1 << 16, 0xC2B2AE3D27D4EB4F, np.uint64))
+#: Factor of each further 4096 bytes of a word; 1 for the first, so that a word's hash is its own.
+_LONG = np.cumprod(np.array([1, *[0xC2B2AE3D27D4EB4F] * 65535], np.uint64))
 _MINHASH = np.random.Generator(np.random.PCG64(78)).integers(1, 1 << 63, (2, PLACES), dtype=np.uint64)
 _MINHASH[0] |= np.uint64(1)
 

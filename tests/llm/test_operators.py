@@ -244,6 +244,26 @@ def test_chains_of_near_copies(spark, monkeypatch, hot):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
+def test_word_hashes_do_not_depend_on_neighbours():
+    """Long words and long white space in a portion leave the other texts' sets as they are."""
+    text = b"some text of seven words in all"
+    alone = near_dedup.shingle_sets([text], 4)[0].tolist()
+    for long in (b"x" * 5000, b"a" + b" " * 9000 + b"b", "\u65e5".encode() * 3000):
+        got = near_dedup.shingle_sets([text, long, text], 4)
+        assert got[0].tolist() == got[2].tolist() == alone
+        assert got[1].tolist() == near_dedup.shingle_sets([long], 4)[0].tolist()
+    a, b = near_dedup.word_hashes([b"x" * 5000 + b"y", b"x" * 4999 + b"yx"])[0].tolist()
+    assert a != b
+
+
+def test_copies_in_different_portions(spark):
+    """The copies are a portion apart; one of them shares its portion with a long word."""
+    text = "two copies of one short text that must meet"
+    rows = [(1, text), (2, "x" * (1 << 20)), (3, text), (4, "other words " * 400)]
+    got = {r["doc_id"]: r["component_id"] for r in collected(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4))}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
 def test_pigeonhole():
     """Signatures that differ in 2 * CHUNKS - 1 places have a common key."""
     rnd = np.random.default_rng(0)
