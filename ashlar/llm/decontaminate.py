@@ -6,12 +6,14 @@ of unmarked words is marked again and again; the share of the item's words under
 which doesn't depend on the tiles' order in the document, so reordered passages are caught.
 
 Defined cases: null and empty texts, in documents or items, match nothing; items of fewer words than a
-tile are matched whole; repeated rows give a row each; empty tables give an empty result; other columns
+tile are matched whole; repeated rows give a row each; rows without a doc_id are
+told apart by their texts where rows are removed; empty tables give an empty result; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import defaultdict
@@ -29,6 +31,8 @@ LEAST_TILE, LEAST_COVERAGE = 5, 0.5
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, covered long, item_words long, tiles long, longest long, coverage double"
+#: Also the SHA-256 of the text, for rows without a doc_id.
+KEYED = f"{SCHEMA}, text_sha256 string"
 
 
 def tiles(pairs: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
@@ -127,8 +131,8 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def coverage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE) -> DataFrame:
-    """A row per document and test item that share a seed."""
+def keyed_coverage(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """A row per document and test item that share a seed, with text_sha256."""
     spark, out = docs.sparkSession, None
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for block in blocks_of(benchmark):
@@ -137,13 +141,18 @@ def coverage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE) ->
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, least)
             for batch in batches:
-                rows = [(d, *m, m[1] / m[2]) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for m in index.matches(t)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                rows = [(d, *m, m[1] / m[2], None if d is not None else hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for m in index.matches(t)]
+                cols = list(zip(*rows, strict=True)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.string())], names=[x.split()[0] for x in KEYED.split(", ")])
 
-        part = given.mapInArrow(run, SCHEMA)
+        part = given.mapInArrow(run, KEYED)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return spark.createDataFrame([], KEYED) if out is None else out
+
+
+def coverage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE) -> DataFrame:
+    """A row per document and test item that share a seed."""
+    return keyed_coverage(docs, benchmark, least).drop("text_sha256")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, threshold: float = LEAST_COVERAGE) -> DataFrame:
@@ -152,8 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE,
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, threshold: float = LEAST_COVERAGE) -> DataFrame:
     """The rows that hold no test item, with their columns."""
-    hit = contaminated(docs, benchmark, least, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")
+    hit = keyed_coverage(docs, benchmark, least).where(F.col("coverage") >= threshold).select(F.col("doc_id").alias("_hit"), F.col("text_sha256").alias("_hit_sha")).distinct()
+    doc_id = docs["doc_id"].cast("long")
+    sha = F.when(doc_id.isNull(), F.sha2(docs["text"], 256))
+    return docs.join(hit, doc_id.eqNullSafe(F.col("_hit")) & sha.eqNullSafe(F.col("_hit_sha")), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

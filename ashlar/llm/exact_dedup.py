@@ -8,7 +8,7 @@ whole normalised texts are grouped; equal fingerprints alone never drop a docume
 
 Defined cases: null counts as the empty text, and empty texts equal each other; of equal texts the row
 with the largest doc_id stays; where that doc_id comes twice with the text, each of its rows counts in the
-size and is marked as kept; an empty table gives an empty result; other columns are ignored.
+size and is marked as kept; null is a doc_id like the others, below all of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import ascii_lower, documents, save
 
 #: Bits of a fingerprint that name its block; the other 64 - QUOTIENT_BITS are its remainder.
 QUOTIENT_BITS = 10
+#: Parts that rows without a doc_id are dealt to; all of them are compared where one is routed.
+NULL_PARTS = 64
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,8 +108,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     many = merged(partition_filters(prints))
     routed = save(prints.join(many.select("fp"), "fp", "left_semi"), "dedup-routed")
     # whole texts of the routed rows only, compared byte by byte as grouping keys
-    ids = routed.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    # rows without an id go by a part's number; a row that is let through without need does no harm
+    parts = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.lit(NULL_PARTS - 1)).cast("array<long>")).otherwise(F.array("doc_id"))
+    places = routed.select("doc_id").distinct().select(F.explode(parts).alias("place"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("place", F.coalesce("doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(NULL_PARTS))))
+    texts = texts.join(places.hint("shuffle_hash"), "place", "left_semi")
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
     # two texts of one SHA-256 would make two groups of it; then the row's own text can't tell its group
     groups = groups.groupBy("sha").agg(F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"), F.count("*").alias("n")).withColumn("n", F.when(F.col("n") > 1, F.raise_error(F.lit("two texts have one SHA-256"))).otherwise(F.col("n")))

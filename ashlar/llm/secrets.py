@@ -5,7 +5,7 @@ and rule set that have been scanned; a scan reads one copy of each blob that has
 findings and ledger rows, and joins the findings back to all paths that hold the blob.
 
 Defined cases: a null text is the empty blob; empty texts have no findings; repeated rows and paths give
-a row each; an empty table adds nothing; other columns are ignored.
+a row each; null is a path like the others; an empty table adds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +83,9 @@ class Ledger:
         named = versions.select(F.col(path_column).alias("_path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
         seen = self.read().where(F.col("rules") == rules).select("blob")
         unseen = named.select("blob", "_path").groupBy("blob").agg(F.min("_path").alias("_path")).join(seen, "blob", "left_anti")
-        texts = named.join(unseen.hint("shuffle_hash"), ["blob", "_path"], "left_semi")
+        # null paths must match: a blob may have no other
+        u = unseen.select(F.col("blob").alias("_blob"), F.col("_path").alias("_least"))
+        texts = named.join(u.hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("_path").eqNullSafe(F.col("_least")), "left_semi")
         # repeated rows of one path and text come once; rows are already dealt by these columns
         found = scan_blobs(texts).dropDuplicates(["blob", "_path"])
         found.select("blob", F.lit(rules).alias("rules"), "spans").write.mode("append").parquet(self.path)

@@ -107,6 +107,23 @@ def test_filters_merge_without_loss():
     assert dict(zip((got[0] >> np.uint64(50)).tolist(), got[1].tolist(), strict=True)) == {5: 3, 7: 1, 9: 1}
 
 
+def test_rows_without_an_id(spark, no_docs):
+    """Repeated, secret-bearing and contaminated texts of null doc_ids are counted, scanned and removed."""
+    item = "the quick brown fox jumps over the lazy dog and sleeps all day"
+    secret = "token = abcdefghijkl12"
+    texts = [(None, "Twice"), (None, "twice"), (5, "other"), (None, "other"), (None, secret), (None, "alone"), (7, "single"), (None, f"so {item}"), (8, f"then {item}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in collected(exact_dedup.dedup(docs))), key=str)
+    assert got == sorted([(None, None, 2, True)] * 2 + [(5, 5, 2, True), (None, 5, 2, False)] + [(None, None, 1, True)] * 3 + [(7, 7, 1, True), (8, 8, 1, True)], key=str)
+    ledger = secrets.Ledger(spark, table_path(spark, "t"))
+    found = collected(ledger.scan(docs.unionAll(docs), "doc_id"))
+    assert len(found) == 2 * len(texts) and [[x["kind"] for x in r["spans"]] for r in found if r["spans"]] == [["assign"]] * 2
+    assert ledger.read().count() == len({t for _, t in texts})
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in collected(decontaminate.without_contaminated(docs, items))), key=str)
+    assert left == sorted(texts[:7], key=str)
+
+
 # 4
 def test_urls(spark):
     urls = ["https://A.Example.org/es/1", "http://example.org/en/12?x", "http://www.example.org/en/2", "http://x.com/fr/1#a", "http://x.com/de/1", "http://x.com/de", "http://notexample.org", None, "no scheme/x", "http://u.net/a?b://c", "http://u.net/b"]
