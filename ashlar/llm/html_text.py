@@ -5,6 +5,8 @@ and links gives its costs of being called content or boilerplate: capacities to
 Neighbours in page order and blocks near each other in the DOM are joined by smoothness capacities. The
 minimum cut, found by max-flow, is the labelling of least cost; the content side's blocks are the text.
 
+Bad names and forms count for what they hold, but not where they wrap the page's main part.
+
 Defined cases: null and empty pages have an empty text; markup that isn't closed or isn't opened is
 repaired as browsers do in the common cases; repeated rows get a row each; an empty table gives an empty
 result; other columns are ignored.
@@ -44,6 +46,8 @@ WEIGHTS = {"bias": -1.0, "good_tag": 4.0, "good_name": 1.5, "bad_tag": -9.0, "ba
 MOST_WORDS = 30
 #: Capacities between neighbours in page order and between blocks of one container; DOM steps weaken both.
 NEXT, SAME = 1.0, 0.8
+#: Share of the unmarked and its own text that a marked container without articles or good names around holds to be a wrapper.
+WRAPS = 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,6 +67,8 @@ class Container:
     good_tag: bool
     good_name: bool
     hidden: bool
+    own_tag: bool
+    own_name: bool
 
 
 @dataclass(slots=True)
@@ -76,13 +82,16 @@ def opened(tag: str, attributes: str, parent: Container | None) -> Container:
     names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
     p = parent
     inside = p is not None and p.good_tag
+    own_tag = tag in BAD_TAGS and not (tag == "header" and inside)
+    own_name = bool(names) and tag not in ("html", "body") and tag not in GOOD_TAGS and BAD_NAMES.search(names) is not None
     return Container(
         tag, p, p.depth + 1 if p else 0,
-        (p is not None and p.bad_tag) or (tag in BAD_TAGS and not (tag == "header" and inside)),
-        (p is not None and p.bad_name) or (bool(names) and tag not in ("html", "body") and tag not in GOOD_TAGS and BAD_NAMES.search(names) is not None),
+        (p is not None and p.bad_tag) or own_tag,
+        (p is not None and p.bad_name) or own_name,
         inside or tag in GOOD_TAGS,
         (p is not None and p.good_name) or (bool(names) and GOOD_NAMES.search(names) is not None),
         (p is not None and p.hidden) or (bool(attributes) and _HIDDEN.search(attributes) is not None),
+        own_tag, own_name,
     )
 
 
@@ -162,6 +171,54 @@ def odds(b: Block, any_good: bool) -> float:
     return x + w["good_name"] * c.good_name + w["bad_tag"] * c.bad_tag + w["bad_name"] * c.bad_name + w["hidden"] * c.hidden + w["heading"] * (len(c.tag) == 2 and c.tag[0] == "h" and c.tag != "hr")
 
 
+def unmark_wrappers(found: list[Block]) -> None:
+    """Take bad marks from what wraps the page's main part: a name may only mention a part, and a form may hold the whole page.
+
+    A container with a bad name, or a form, is a wrapper if it holds most of the text and most of the articles'
+    (or else of the good names') without being inside one; on pages without these, nearly all unmarked text. If
+    all articles are still under bad marks, they are judged without those of what is around them.
+    """
+    if not any(b.where.bad_tag or b.where.bad_name for b in found):
+        return
+    trait = next((t for t in ("good_tag", "good_name") if any(getattr(b.where, t) for b in found)), None)
+    every: dict[int, Container] = {}
+    held, good = {}, {}
+    sizes = [max(0, len(b.text) - b.linked) for b in found]
+    for b, n in zip(found, sizes, strict=True):
+        c = b.where
+        while c is not None:
+            k = id(c)
+            every[k] = c
+            held[k] = held.get(k, 0) + n
+            good[k] = good.get(k, 0) + n * (trait is not None and getattr(b.where, trait))
+            c = c.parent
+    order = sorted(every.values(), key=lambda c: c.depth)
+    top = id(order[0])
+    wrappers: set[int] = set()
+
+    def mark(reset: bool = False) -> None:
+        for c in order:
+            p, free = c.parent, id(c) in wrappers
+            around = p is not None and not (reset and c.tag in GOOD_TAGS and not p.good_tag)
+            c.bad_tag = (around and p.bad_tag) or (c.own_tag and not free)
+            c.bad_name = (around and p.bad_name) or (c.own_name and not free)
+
+    for c in order:
+        k = id(c)
+        if not (c.own_name or c.own_tag and c.tag == "form") or c.own_tag and c.tag != "form" or 2 * held[k] <= held[top]:
+            continue
+        if trait is None:
+            unmarked = sum(n for b, n in zip(found, sizes, strict=True) if not (b.where.bad_tag or b.where.bad_name))
+            wraps = held[k] >= WRAPS * (held[k] + unmarked) and not (c.parent.bad_tag or c.parent.bad_name)
+        else:
+            wraps = not getattr(c.parent, trait) and 2 * good[k] > good[top]
+        if wraps:
+            wrappers.add(k)
+            mark()
+    if trait == "good_tag" and all(b.where.bad_tag or b.where.bad_name for b in found if b.where.good_tag):
+        mark(reset=True)
+
+
 def steps(a: Container, b: Container) -> int:
     """Edges between two containers in the DOM."""
     n = 0
@@ -215,6 +272,7 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
+    unmark_wrappers(found)
     any_good = any(b.where.good_tag for b in found)
     costs = [odds(b, any_good) for b in found]
     edges, last = [], {}

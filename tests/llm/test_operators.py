@@ -153,6 +153,25 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_wrappers_with_bad_names_keep_the_article():
+    story = "<p>" + "The story goes on for quite some words here and more. " * 6 + "</p>"
+    want = html_text.main_text(f"<body><article>{story}</article></body>")
+    assert want.startswith("The story")
+    around = "<nav><a href=/>Home</a></nav>"
+    notes = "<div class='comments'><p>I like this very much, more than anything else here.</p></div>"
+    for name in ("layout has-sidebar", "no-sidebar", "post has-comments", "page-with-nav"):
+        assert html_text.main_text(f"<body>{around}<div class='{name}'><article>{story}</article>{notes}</div></body>") == want
+        assert html_text.main_text(f"<body>{around}<div class='{name}'><div><p>{story}</div>{notes}</div></body>") == want
+    assert html_text.main_text(f"<body><form id=aspnetForm>{around}<main>{story}</main></form></body>") == want
+    # the wrapper holds less than other parts
+    long = f"<div class=comments>{story * 3}</div>"
+    assert html_text.main_text(f"<body><div class=no-sidebar><article>{story}</article></div>{long}</body>") == want
+    # marks that tell the truth stay
+    assert html_text.main_text(f"<body><article>{story}</article><div class=related><article>{story}</article></div></body>") == want
+    assert html_text.main_text(f"<body><article>{story}{long}</article></body>") == want
+    assert html_text.main_text(f"<body><div class=post>{story}</div>{long}</body>") == want
+
+
 def test_cut_is_least(subtests=None):
     import itertools
     import random
