@@ -7,6 +7,7 @@ snapshot. Rolling windows are null unless they are full, except the tails, which
 from __future__ import annotations
 
 import math
+from contextvars import ContextVar
 
 from ..plans.expr import Expr, as_expr, ewm, field, node, rolling, rolling_corr, rolling_quantile, rolling_skew
 
@@ -16,6 +17,8 @@ EPS = 1e-3
 
 #: Rows of a code that a snapshot looks back on: six days of 241 bars.
 HISTORY = 6 * 241
+#: The most rows of a code that the features being built are for; 0: any number.
+_ROWS = ContextVar("rows", default=HISTORY)
 
 
 def RMEAN(n, x) -> Expr: return rolling("mean", n, x)
@@ -27,7 +30,7 @@ def RMIN(n, x) -> Expr: return rolling("min", n, x)
 def RSKEW(n, x) -> Expr: return rolling_skew(n, x)
 def RCORR(n, x, y) -> Expr: return rolling_corr(n, x, y)
 def RQ(q, n, x) -> Expr: return rolling_quantile(q, n, x)
-def EWM(alpha, x) -> Expr: return ewm(alpha, x, HISTORY)
+def EWM(alpha, x) -> Expr: return ewm(alpha, x, _ROWS.get())
 def LAG(k, x) -> Expr: return node("lag", x, params=(k,))
 def DIFF(k, x) -> Expr: return as_expr(x) - LAG(k, x)
 def PCT(k, x) -> Expr: return as_expr(x) / LAG(k, x) - 1
@@ -327,10 +330,14 @@ def attention() -> list[tuple[str, Expr]]:
 FAMILIES = {"round_number": round_number, "fomo_fud": fomo_fud, "retail_pattern": retail_pattern, "herding": herding, "microstructure": microstructure, "sentiment_cycle": sentiment_cycle, "attention": attention}
 
 
-def features(families=tuple(FAMILIES), median: float = 50.0) -> dict[str, Expr]:
-    """Features of some families by name; the first definition of a name wins."""
+def features(families=tuple(FAMILIES), median: float = 50.0, rows: int | None = HISTORY) -> dict[str, Expr]:
+    """Features of some families by name, for codes of at most so many rows (None: any number); the first definition of a name wins."""
     out: dict[str, Expr] = {}
-    for f in families:
-        for name, e in FAMILIES[f](*levels(median)) if f == "round_number" else FAMILIES[f]():
-            out.setdefault(name, as_expr(e))
+    was = _ROWS.set(rows or 0)
+    try:
+        for f in families:
+            for name, e in FAMILIES[f](*levels(median)) if f == "round_number" else FAMILIES[f]():
+                out.setdefault(name, as_expr(e))
+    finally:
+        _ROWS.reset(was)
     return out

@@ -288,9 +288,20 @@ MOST_LOG_WEIGHT = 600.0
 def ewm(alpha: float, x, rows: int | None = None) -> Expr:
     """Exponentially weighted mean of all rows so far.
 
-    Codes of at most so many rows can use running sums of growing weights, in linear time; otherwise the
-    weights that count are folded.
+    Codes of at most so many rows can use running sums of growing weights, in linear time. With rows = 0 any
+    number will do: the weights start anew with each block of rows, and the block before is added with what is
+    left of its weight, since older ones count for less than 1e-17. Otherwise the weights that count are folded.
     """
+    if rows == 0 and ewm_rows(alpha) > 64:
+        x, size = as_expr(x), ewm_rows(alpha)
+        row = node("rows", params=(None,)) - 1
+        block = (row - row % size) / size
+        weight = node("pow", 1 / (1 - alpha), row % size)
+
+        def total(e: Expr) -> Expr:
+            return node("fill", node("block", e, block), 0) + node("fill", node("block_before", e, block), 0) * (1 - alpha) ** size
+
+        return total(x * weight) / total(node("if", node("known", x), weight, blank()))
     if rows is not None and -math.log1p(-alpha) * rows < MOST_LOG_WEIGHT and ewm_rows(alpha) > 64:
         x = as_expr(x)
         weight = node("pow", 1 / (1 - alpha), node("rows", params=(None,)))
@@ -342,6 +353,8 @@ WINDOWS = {
     "covar": lambda a, p, d: f"covar_samp({a[0]}, {a[1]}) {_frame_of(p[0])}",
     "lag": lambda a, p, d: f"lag({a[0]}, {p[0]}) over ({SERIES})",
     "lead": lambda a, p, d: f"lead({a[0]}, {p[0]}) over ({SERIES})",
+    "block": lambda a, p, d: f"sum({a[0]}) over (partition by code, {a[1]} order by datetime rows between unbounded preceding and current row)",
+    "block_before": lambda a, p, d: f"sum({a[0]}) over (partition by code order by {a[1]} range between 1 preceding and 1 preceding)",
     "rows": lambda a, p, d: f"count(*) {_frame_of(p[0])}",
     "first": _tail_first, "rank": _rank, "section": _section, "section_cov": _section_cov,
 }

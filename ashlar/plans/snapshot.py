@@ -17,9 +17,9 @@ def median_close(panel: DataFrame) -> float:
     return 50.0 if found is None else float(found)
 
 
-def compute(panel: DataFrame, exprs: dict[str, Expr], snapshot: bool = True, fill: float | None = 0.0, history: int | None = HISTORY) -> DataFrame:
+def compute(panel: DataFrame, exprs: dict[str, Expr], snapshot: bool = True, fill: float | None = 0.0, history: int | None = None) -> DataFrame:
     """(datetime, code, one column per feature). history: rows per code that are looked back on, from the last
-    (None: all, for panels of no more than HISTORY rows a code).
+    (None: all; the expressions must then be built for any number of rows).
 
     All windows share one partitioning and order, so there is one exchange. With a snapshot, everything
     after the last windows runs on a row per code.
@@ -36,10 +36,10 @@ def compute(panel: DataFrame, exprs: dict[str, Expr], snapshot: bool = True, fil
     return panel.select("datetime", "code", *[value(e).alias(name) for name, e in exprs.items()])
 
 
-def minute_features(panel: DataFrame, families: tuple[str, ...] | None = None, snapshot: bool = True, fill: float | None = 0.0, history: int | None = HISTORY) -> DataFrame:
+def minute_features(panel: DataFrame, families: tuple[str, ...] | None = None, snapshot: bool = True, fill: float | None = 0.0, history: int | None = None) -> DataFrame:
     """The behaviour features, with levels by the panel's median close."""
     median = median_close(panel) if families is None or "round_number" in families else 50.0
-    return compute(panel, features(families, median) if families else features(median=median), snapshot, fill, history)
+    return compute(panel, features(families, median, history) if families else features(median=median, rows=history), snapshot, fill, history)
 
 
 def snapshot_sql(panel: str, exprs: dict[str, Expr], digits: int = 6) -> str:

@@ -76,8 +76,8 @@ _all_levels = mf.levels(50_000.0)
 for _family in mf.FAMILIES:
     _exprs = mf.features((_family,), 50_000.0)
     # SQL reads the price levels as constants: the test tables' median close lies between 10,000 and 100,000
-    register(f"features_{_family}", snapshot_sql(panel_sql("D"), _exprs))(lambda s, d, f=_family: minute_features(panel(s, d, "D"), (f,)))
-register("features_base", snapshot_sql(panel_sql("D"), mf.base_features()))(lambda s, d: compute(panel(s, d, "D"), mf.base_features()))
+    register(f"features_{_family}", snapshot_sql(panel_sql("D"), _exprs))(lambda s, d, f=_family: minute_features(panel(s, d, "D"), (f,), history=mf.HISTORY))
+register("features_base", snapshot_sql(panel_sql("D"), mf.base_features()))(lambda s, d: compute(panel(s, d, "D"), mf.base_features(), history=mf.HISTORY))
 
 # evaluation
 FACTORS = {"ma_ratio": n.Close() / n.Mean(n.Close(), 5), "volume_rank": n.Rank(n.Volume()), "momentum": lib.Momentum(3), "return": n.Close() / n.Ref(n.Close(), 1, "rows") - 1}

@@ -135,6 +135,31 @@ def test_stream_is_batch(spark, tmp_path):
     assert st.feature_stats(batch).count() == 5 * 41 and st.bar_metrics(batch).first().n_symbols == 2
 
 
+def test_long_codes_look_back_on_all_rows(spark):
+    """Stream and pipeline over 6,000 bars of a code: exponential means of all rows, and an early date's rows."""
+    import numpy as np
+
+    from ashlar.functions.processors import FeaturePipeline
+
+    n, rnd = 6000, np.random.default_rng(1)
+    close = 10 * np.exp(np.cumsum(rnd.normal(0, 1e-3, n)))
+    volume = rnd.uniform(100, 1000, n)
+    times = [datetime(2024, 1, 1) + timedelta(minutes=k) for k in range(n)]
+    bars = spark.createDataFrame([(t, "a", float(c), float(c), float(c), float(c), float(v), 1.0) for t, c, v in zip(times, close, volume, strict=True)], "time timestamp_ntz, symbol string, open double, close double, high double, low double, volume double, money double")
+    x = np.concatenate([[0.0], np.diff(close) / close[:-1]]) * np.log1p(volume)  # a first row has a return of 0
+
+    def mean(half_life, last):
+        w = 0.5 ** (np.arange(last + 1)[::-1] / half_life)
+        return (x[: last + 1] * w).sum() / w.sum()
+
+    asked = [times[k] for k in (1000, 3000, n - 1)]
+    for r in st.features_at(bars, asked, ("sentiment_cycle",)).collect():
+        for h in (15, 60, 241):
+            assert r[f"sentiment_memory_{h}min"] == pytest.approx(mean(h, times.index(r.datetime)), rel=1e-6, abs=1e-9)
+    early = FeaturePipeline(("sentiment_cycle",)).process(st.as_panel(bars), "2024-01-01")
+    assert early.count() == 1440
+
+
 def test_fills(spark):
     t = lambda m: datetime(2024, 1, 2, 9, m)
     schema = "time timestamp_ntz, symbol string, open double, close double, high double, low double, volume double, money double"
