@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces
 
 LEAST_TILE, LEAST_COVERAGE = 5, 0.5
 #: Characters of test items that go to the tasks at once; a larger benchmark is taken in blocks of this size.
@@ -140,7 +140,7 @@ def keyed_coverage(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFra
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, least)
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = [(d, *m, m[1] / m[2], None if d is not None else hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for m in index.matches(t)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.string())], names=[x.split()[0] for x in KEYED.split(", ")])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, save, shared_dir
+from .common import documents, pieces, save, shared_dir
 
 CHUNKS, WIDTH, ERRORS, BITS = 10, 4, 1, 4
 PLACES = CHUNKS * WIDTH
@@ -61,20 +61,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, and the number of words up to each text's start and the end."""
-    x = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    gaps = _DELIMITERS[x]
-    starts = np.flatnonzero(~gaps & np.concatenate([[True], gaps[:-1]])) if len(x) else np.zeros(0, np.int64)
+def word_hashes(texts: list[bytes], slab: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and the number of words up to each text's start and the end.
+
+    Bytes are worked on in slabs; a word that runs on into the next slab is summed up from its parts.
+    """
+    whole = b" ".join([*texts, b""])
+    every, sums, start = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    before = True  # was the last byte a delimiter?
+    for s in range(0, len(whole), slab):
+        x = np.frombuffer(whole, np.uint8, min(slab, len(whole) - s), s)
+        gaps = _DELIMITERS[x]
+        starts = np.flatnonzero(~gaps & np.concatenate([[before], gaps[:-1]]))
+        # places count from the start of a byte's word, or of the word before a gap, where values are 0
+        at = np.arange(s, s + len(x))
+        firsts = np.concatenate([[start], starts + s])
+        place = at - np.repeat(firsts, np.diff(np.concatenate([[0], starts, [len(x)]])))
+        values = _VALUES[x] * _POWERS[place & 4095]
+        if place.max() >= 4096:
+            values *= _LONG[(place >> 12) & 65535]
+        if len(starts):
+            if starts[0] > 0 and len(sums[-1]):
+                sums[-1][-1:] += values[: starts[0]].sum()
+            sums.append(np.add.reduceat(values, starts))
+            every.append(starts + s)
+            start = int(starts[-1]) + s
+        elif len(sums[-1]):
+            sums[-1][-1:] += values.sum()
+        before = bool(gaps[-1])
     ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    offsets = np.searchsorted(starts, ends)
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
-    place = np.arange(len(x)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(x)]])), axis=0) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(x)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(x)]])))])
-    values = _VALUES[x] * _POWERS[place & 4095]
-    if place.max() >= 4096:
-        values *= _LONG[(place >> 12) & 65535]
-    return mixed(np.add.reduceat(values, starts)), offsets
+    return mixed(np.concatenate(sums)), np.searchsorted(np.concatenate(every), ends)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -104,8 +120,8 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
 
 
-def portions(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """doc_ids and lower-cased texts of a batch, about a megabyte at a time."""
+def portions(batch: pa.RecordBatch, size: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids and lower-cased texts of a batch, about a quarter of a megabyte at a time."""
     ids, texts, held = [], [], 0
     for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
         ids.append(i)
@@ -122,7 +138,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, class (hash of the set; null if empty), signature (32 bits a place), parity (bitmap of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for ids, texts in portions(batch):
                 sets = shingle_sets(texts, size)
                 full = [s for s in sets if len(s)]
@@ -143,9 +159,7 @@ def index_keys(classes: DataFrame) -> DataFrame:
     kept = [list(c) for c in itertools.combinations(range(WIDTH), WIDTH - ERRORS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, 2048):
             sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, PLACES).astype(np.uint64)
             low = sig & np.uint64((1 << BITS) - 1)
             short = np.packbits(np.unpackbits(low.astype(np.uint8)[..., None], axis=-1)[..., 8 - BITS :].reshape(len(sig), -1), axis=-1)
@@ -204,8 +218,8 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "a", "b", "key", "n", "sig"])
                 out = []
 
-        for batch in batches:
-            sigs = places_of(batch.column("sig").to_pylist()) if batch.num_rows else None
+        for batch in pieces(batches, 2048):
+            sigs = places_of(batch.column("sig").to_pylist())
             key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
             same = np.zeros(len(key), bool)  # as the row before or after: the others stand alone
             same[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
@@ -227,7 +241,7 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     out.append((1, ids[r], 0, k[0], ns[r], raw[r]))
                 out.extend((0, a, b, k[0], 0, None) for a, b in hubs.pairs)
                 hubs.pairs.clear()
-            yield from full(20_000)
+            yield from full(5_000)
         yield from full(0)
 
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("id"), "id").mapInArrow(run, "kind int, a long, b long, key long, n long, sig binary")
@@ -247,7 +261,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id", "n", "parity", "component")), strict=True):
                 if row[:3] != now:
                     if len(held) > 1:
@@ -279,7 +293,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for ids, texts in portions(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["node", "shingles"])
 
@@ -291,7 +305,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             a, b = [], []
             for i, j, data in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 s = np.frombuffer(data, np.uint64)

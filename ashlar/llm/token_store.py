@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, table_path
+from .common import documents, pieces, table_path
 
 WINDOW, LEAST, CUT_BITS, MOST = 16, 64, 9, 4096
 END_ID = 2
@@ -150,29 +150,27 @@ def chunked(docs: DataFrame, tokenizer: str, width: int, end_id: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, sent = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [encode(t or "") + end for t in part.column("text").to_pylist()]
-                ids = np.frombuffer(b"".join(coded), f"<u{width}")
-                starts = np.concatenate([[0], np.cumsum([len(c) // width for c in coded])])
-                rows = []
-                for row, doc, start, ends in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), starts.tolist(), cuts(ids, starts), strict=False):
-                    hashes, lengths, first = [], [], start
-                    for e in ends:
-                        payload = ids[start:e].tobytes()
-                        h = hashlib.sha256(payload).digest()
-                        hashes.append(h)
-                        lengths.append(e - start)
-                        start = e
-                        if h not in sent:
-                            if len(sent) >= 1 << 18:
-                                sent.clear()
-                            sent.add(h)
-                            rows.append({"kind": "chunks", "key": h, "payload": payload})
-                    key = hashlib.sha256(row.to_bytes(8, "big")).digest()
-                    rows.append({"kind": "recipes", "key": key, "row": row, "doc_id": doc, "n": ends[-1] - first, "hashes": hashes, "lengths": lengths, "root": merkle_root(hashes)})
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+        for part in pieces(batches):
+            coded = [encode(t or "") + end for t in part.column("text").to_pylist()]
+            ids = np.frombuffer(b"".join(coded), f"<u{width}")
+            starts = np.concatenate([[0], np.cumsum([len(c) // width for c in coded])])
+            rows = []
+            for row, doc, start, ends in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), starts.tolist(), cuts(ids, starts), strict=False):
+                hashes, lengths, first = [], [], start
+                for e in ends:
+                    payload = ids[start:e].tobytes()
+                    h = hashlib.sha256(payload).digest()
+                    hashes.append(h)
+                    lengths.append(e - start)
+                    start = e
+                    if h not in sent:
+                        if len(sent) >= 1 << 18:
+                            sent.clear()
+                        sent.add(h)
+                        rows.append({"kind": "chunks", "key": h, "payload": payload})
+                key = hashlib.sha256(row.to_bytes(8, "big")).digest()
+                rows.append({"kind": "recipes", "key": key, "row": row, "doc_id": doc, "n": ends[-1] - first, "hashes": hashes, "lengths": lengths, "root": merkle_root(hashes)})
+            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return given.mapInArrow(run, ROWS)
@@ -202,8 +200,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, width:
     ordered.withColumn("range", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     sums = spark.read.parquet(f"{path}/recipes").groupBy("range").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
     sums = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    roots = spark.read.parquet(f"{path}/recipes").select("range", "doc_id", "row", "root").repartition("range").sortWithinPartitions("range", "doc_id", "row").mapInArrow(range_roots, "range int, root binary")
-    sums.join(roots, "range").write.parquet(f"{path}/manifest")
+    sums.join(roots_of_ranges(spark.read.parquet(f"{path}/recipes")), "range").write.parquet(f"{path}/manifest")
+
+
+def roots_of_ranges(recipes: DataFrame) -> DataFrame:
+    """range, root: the Merkle root of the roots of a range's documents, in order."""
+    return recipes.select("range", "doc_id", "row", "root").repartition("range").sortWithinPartitions("range", "doc_id", "row").mapInArrow(range_roots, "range int, root binary")
 
 
 def range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +224,16 @@ def range_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, row, start, n, hashes, lengths, root; start counts the ids of all documents before."""
+    """doc_id, row, start, n, hashes, lengths, root, sound; start counts the ids of all documents before.
+
+    sound: the roots of the range's documents have the Merkle root that the manifest holds for it, in a range
+    of as many documents and ids as it says.
+    """
     r = spark.read.parquet(f"{path}/recipes")
-    m = spark.read.parquet(f"{path}/manifest").select("range", F.col("start").alias("base"))
+    held = spark.read.parquet(f"{path}/manifest")
+    found = r.groupBy("range").agg(F.sum("n").alias("n_found"), F.count("*").alias("documents_found")).join(roots_of_ranges(r).withColumnRenamed("root", "root_found"), "range")
+    sound = (F.col("root") == F.col("root_found")) & (F.col("n") == F.col("n_found")) & (F.col("documents") == F.col("documents_found"))
+    m = held.join(found, "range").select("range", F.col("start").alias("base"), sound.alias("sound"))
     inside = Window.partitionBy("range").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     return r.join(m, "range").withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("base", "range")
 
@@ -234,10 +243,24 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:
-    """A row per place of a chunk in a document: doc_id, row, seq, hash, length, after (ids of the document behind it)."""
-    r = recipes(spark, path).select("doc_id", "row", "start", "n", "root", F.posexplode(F.arrays_zip("hashes", "lengths")).alias("seq", "c"), "lengths")
-    before = F.aggregate(F.slice("lengths", 1, F.col("seq") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    return r.select("doc_id", "row", "start", "n", "seq", F.col("c.hashes").alias("hash"), F.col("c.lengths").alias("length"), (F.col("n") - before).alias("after"))
+    """A row per place of a chunk in a document: doc_id, row, start, n, seq, hash, length, after (ids of the document
+    behind it), sound (the recipe has its Merkle root and length, and the manifest holds it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            hashes, n = batch.column("hashes").to_pylist(), batch.column("n").to_pylist()
+            counts = np.array([len(h) for h in hashes], np.int64)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            lengths = np.array([x for each in batch.column("lengths").to_pylist() for x in each], np.int64)
+            behind = np.concatenate([np.cumsum(lengths[::-1])[::-1], [0]])  # ids from a chunk on, of all documents of the cut
+            after = behind[1:] - np.repeat(behind[first[1:]], counts)
+            whole = behind[first[:-1]] - behind[first[1:]]
+            sound = [s and merkle_root(h) == root and w == m for s, h, root, w, m in zip(batch.column("sound").to_pylist(), hashes, batch.column("root").to_pylist(), whole.tolist(), n, strict=True)]
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [*(batch.column(k).take(of) for k in ("doc_id", "row", "start", "n")), pa.array(np.arange(len(of)) - np.repeat(first[:-1], counts), pa.int32()), pa.array([h for each in hashes for h in each], pa.binary()), pa.array(lengths, pa.int32()), pa.array(after), pa.array(sound, pa.bool_()).take(of)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "start", "n", "seq", "hash", "length", "after", "sound"])
+
+    return recipes(spark, path).select("doc_id", "row", "start", "n", "hashes", "lengths", "root", "sound").mapInArrow(run, "doc_id long, row long, start long, n long, seq int, hash binary, length int, after long, sound boolean")
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -283,11 +306,12 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, chunks, verified, read back from the store's files.
 
     A document's CRC-32 is put together from its chunks' CRCs, so that chunks are read once each and
-    their payloads don't move. verified: every chunk is what its name says.
+    their payloads don't move. verified: every chunk is what its name says, the chunks'
+    names have the recipe's Merkle root, and its range's recipes have that of the manifest.
     """
 
     def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, payloads = batch.column("hash").to_pylist(), batch.column("payload").to_pylist()
             crc = [zlib.crc32(np.frombuffer(p, f"<u{width}").astype("<u4").tobytes()) for p in payloads]
             ok = [hashlib.sha256(p).digest() == h for h, p in zip(names, payloads, strict=True)]
@@ -300,7 +324,7 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "row", "start", "length", "ok")), pa.array(crc.astype(np.int64))], ["doc_id", "row", "start", "length", "ok", "crc"])
 
     held = chunks(spark, path).mapInArrow(of_chunks, "hash binary, crc long, held int, ok boolean")
-    got = places(spark, path).join(held, "hash").select("doc_id", "row", "start", "length", "after", "crc", (F.col("ok") & (F.col("held") == F.col("length"))).alias("ok"))
+    got = places(spark, path).join(held, "hash").select("doc_id", "row", "start", "length", "after", "crc", (F.col("sound") & F.col("ok") & (F.col("held") == F.col("length"))).alias("ok"))
     got = got.mapInArrow(carried, "doc_id long, row long, start long, length int, ok boolean, crc long")
     return got.groupBy("doc_id", "row", "start").agg(F.sum("length").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"), F.count("*").alias("n_chunks"), F.every("ok").alias("verified")).drop("row")
 

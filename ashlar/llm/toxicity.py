@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, pieces, shared_dir
 
 #: Bounds of the labelled sample that the lexicon and the model are fitted on: rows of either label.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -101,7 +100,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(), Counter()]
-        for batch in batches:
+        for batch in pieces(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set(_WORD.findall(fold(text)))
                 counts[bool(toxic)].update({w[:k] for w in words for k in LENGTHS if k <= len(w)})
@@ -122,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(model)
-        for batch in batches:
+        for batch in pieces(batches):
             x = [features(t, a) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in x], pa.float64()) for i in range(3)] + [batch.column("toxic")], ["a", "b", "c", "toxic"])
 
@@ -173,12 +172,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 def score(model: Model):
     """A function from a text column to scores between 0 and 1."""
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a, w = automaton(model), np.array(model.coefficients)
         for part in texts:
-            x = np.array([features(t or "", a) for t in part], float).reshape(-1, 3)
-            yield pd.Series(np.zeros(len(x)) if model.empty else 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
+            cuts = (part.slice(at, 256).to_pylist() for at in range(0, len(part), 256))
+            x = np.array([features(t or "", a) for cut in cuts for t in cut], float).reshape(-1, 3)
+            yield pa.array(np.zeros(len(x)) if model.empty else 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
+        pa.default_memory_pool().release_unused()
 
     return run
 

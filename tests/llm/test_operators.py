@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import WORD, lower
 
 from ashlar.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, repeats, secrets, token_store, toxicity, url_filter
@@ -52,8 +53,6 @@ def test_store_of_nothing_and_repeated_rows(spark, no_docs, docs):
 
 
 def test_damaged_chunk_is_noticed(spark, docs):
-    from pyspark.sql import functions as F
-
     path = table_path(spark, "t")
     token_store.write_store(docs.where("doc_id < 9"), path)
     parts = spark.read.parquet(f"{path}/parts").withColumn("payload", F.when(F.col("kind") == "chunks", F.concat(F.substring("payload", 1, 2), F.col("payload"))).otherwise(F.col("payload")))
@@ -61,6 +60,27 @@ def test_damaged_chunk_is_noticed(spark, docs):
     assert not any(r["verified"] for r in collected(token_store.digests(spark, path)))
 
 
+def changed(spark, path, table, change):
+    """Write a store's table again with a change."""
+    spark.read.parquet(f"{path}/{table}").transform(change).checkpoint().write.mode("overwrite").parquet(f"{path}/{table}")
+
+
+@pytest.mark.parametrize("table, change", [
+    ("recipes", lambda df: df.withColumn("root", F.lit(b"bad"))),
+    ("recipes", lambda df: df.withColumn("hashes", F.reverse("hashes")).withColumn("lengths", F.reverse("lengths"))),
+    ("recipes", lambda df: df.withColumn("doc_id", 8 - F.col("doc_id"))),  # recipes of different documents change places
+    ("recipes", lambda df: df.where("doc_id > 0")),
+    ("manifest", lambda df: df.withColumn("root", F.lit(b"bad"))),
+])
+def test_changed_recipes_and_manifests_are_noticed(spark, docs, table, change):
+    path = table_path(spark, "t")
+    long = docs.where("doc_id < 9").withColumn("text", F.expr("concat_ws(' ', text, transform(sequence(1, 99), i -> sha2(concat(text, i), 256)))"))
+    token_store.write_store(long.coalesce(1), path)
+    assert all(r["verified"] for r in collected(token_store.digests(spark, path)))
+    changed(spark, path, table, change)
+    assert not any(r["verified"] for r in collected(token_store.digests(spark, path)))
+
+
 # 2
 BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile("[0-9a-f]+"), 0, 16)}
 
