@@ -7,15 +7,16 @@ minimum cut, found by max-flow, is the labelling of least cost; the content side
 
 Bad names and forms count for what they hold, but not where they wrap the page's main part.
 
-Defined cases: null and empty pages have an empty text; markup that isn't closed or isn't opened is
-repaired as browsers do in the common cases; repeated rows get a row each; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: null and empty pages have an empty text; elements that aren't closed or weren't opened are
+repaired as browsers do in the common cases; a tag without its closing bracket is text; the time is linear in
+the page's length for markup and text of any kind, and pages of any length are taken whole; repeated rows get
+a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Kinds of tags.
 RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
 BLOCKS = frozenset(
@@ -42,17 +45,19 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog button select header sea
 GOOD_TAGS = frozenset(["article", "main"])
 
 #: The classifier's weights: bias and what each trait adds to the log odds of being content.
-WEIGHTS = {"bias": -1.0, "good_tag": 4.0, "good_name": 1.5, "bad_tag": -9.0, "bad_name": -9.0, "no_good": -3.0, "links": -3.0, "words": 0.08, "heading": 1.0, "hidden": -9.0}
+WEIGHTS = {"bias": -1.0, "good_tag": 4.0, "good_name": 1.5, "bad_tag": -9.0, "bad_name": -9.0, "no_good": -3.0, "links": -3.0, "words": 0.08, "heading": 1.0}
 MOST_WORDS = 30
 #: Capacities between neighbours in page order and between blocks of one container; DOM steps weaken both.
 NEXT, SAME = 1.0, 0.8
 #: Share of the unmarked and its own text that a marked container without articles or good names around holds to be a wrapper.
 WRAPS = 0.9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: Each alternative ends at the next angle bracket outside of quotes or takes what it has read for good, so that the time is linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*+>", re.I) for t in RAW}
+#: Elements nested deeper than this count as children of the one at this depth, as in browsers.
+MOST_DEPTH = 512
 
 
 @dataclass(slots=True)
@@ -66,7 +71,6 @@ class Container:
     bad_name: bool
     good_tag: bool
     good_name: bool
-    hidden: bool
     own_tag: bool
     own_name: bool
 
@@ -90,7 +94,6 @@ def opened(tag: str, attributes: str, parent: Container | None) -> Container:
         (p is not None and p.bad_name) or own_name,
         inside or tag in GOOD_TAGS,
         (p is not None and p.good_name) or (bool(names) and GOOD_NAMES.search(names) is not None),
-        (p is not None and p.hidden) or (bool(attributes) and _HIDDEN.search(attributes) is not None),
         own_tag, own_name,
     )
 
@@ -99,6 +102,7 @@ def blocks(html: str) -> list[Block]:
     """Runs of text between block-level tags, white space made single, with their containers."""
     top = opened("html", "", None)
     stack, out, held, in_link, linked = [top], [], [], False, 0
+    standing = Counter()  # elements of the stack by tag
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -131,11 +135,11 @@ def blocks(html: str) -> list[Block]:
                 in_link = False
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        in_link = False
-                        break
+                if standing[tag]:
+                    while stack[-1].tag != tag:
+                        standing[stack.pop().tag] -= 1
+                    standing[stack.pop().tag] -= 1
+                    in_link = False
             continue
         if tag in RAW and not m[3].endswith("/"):
             close = _RAW_END[tag].search(html, at)
@@ -149,16 +153,19 @@ def blocks(html: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             if stack[-1].tag == "p" and len(stack) > 1:
-                stack.pop()
+                standing[stack.pop().tag] -= 1
             if tag in CLOSES_ITSELF:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in CLOSES_ITSELF[tag]:
+                        for c in stack[k:]:
+                            standing[c.tag] -= 1
                         del stack[k:]
                         break
                     if stack[k].tag in BOUNDS:
                         break
             if tag not in VOID:
-                stack.append(opened(tag, m[3], stack[-1]))
+                stack.append(opened(tag, m[3], stack[min(len(stack), MOST_DEPTH) - 1]))
+                standing[tag] += 1
     flush()
     return out
 
@@ -168,7 +175,7 @@ def odds(b: Block, any_good: bool) -> float:
     w, c = WEIGHTS, b.where
     x = w["bias"] + w["words"] * min(MOST_WORDS, b.text.count(" ") + 1) + w["links"] * min(1.0, b.linked / len(b.text))
     x += w["good_tag"] if c.good_tag else w["no_good"] if any_good else 0.0
-    return x + w["good_name"] * c.good_name + w["bad_tag"] * c.bad_tag + w["bad_name"] * c.bad_name + w["hidden"] * c.hidden + w["heading"] * (len(c.tag) == 2 and c.tag[0] == "h" and c.tag != "hr")
+    return x + w["good_name"] * c.good_name + w["bad_tag"] * c.bad_tag + w["bad_name"] * c.bad_name + w["heading"] * (len(c.tag) == 2 and c.tag[0] == "h" and c.tag != "hr")
 
 
 def unmark_wrappers(found: list[Block]) -> None:
@@ -237,35 +244,33 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
     for i, j, c in edges:
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
-    excess = list(costs)
-    sources = [i for i, c in enumerate(costs) if c > 0]
-    reached: dict[int, int] = {}
-    while True:
-        reached = {i: -1 for i in sources if excess[i] > 1e-9}
-        queue, found = deque(reached), None
-        while queue and found is None:
-            i = queue.popleft()
-            for j, c in near[i].items():
-                if c > 1e-9 and j not in reached:
-                    reached[j] = i
-                    if excess[j] < -1e-9:
-                        found = j
-                        break
-                    queue.append(j)
-        if found is None:
-            break
-        path, j = [], found
-        while reached[j] >= 0:
-            path.append((reached[j], j))
-            j = reached[j]
-        flow = min(excess[j], -excess[found], *(near[a][b] for a, b in path))
-        excess[j] -= flow
-        excess[found] += flow
-        for a, b in path:
-            near[a][b] -= flow
-            near[b][a] += flow
-    # what the sinks can't be reached from either side of stays with its own odds
-    return [i in reached or costs[i] > 0 and excess[i] > 1e-9 for i in range(len(costs))]
+    excess, closed = list(costs), set()
+    for source in [i for i, c in enumerate(costs) if c > 0]:
+        while source not in closed and excess[source] > 1e-9:
+            reached, queue, found = {source: -1}, deque([source]), None
+            while queue and found is None:
+                i = queue.popleft()
+                for j, c in near[i].items():
+                    if c > 1e-9 and j not in reached and j not in closed:
+                        reached[j] = i
+                        if excess[j] < -1e-9:
+                            found = j
+                            break
+                        queue.append(j)
+            if found is None:  # no path leads from here to a sink any more, and so none will lead through here
+                closed.update(reached)
+                break
+            path, j = [], found
+            while reached[j] >= 0:
+                path.append((reached[j], j))
+                j = reached[j]
+            flow = min(excess[source], -excess[found], *(near[a][b] for a, b in path))
+            excess[source] -= flow
+            excess[found] += flow
+            for a, b in path:
+                near[a][b] -= flow
+                near[b][a] += flow
+    return [i in closed for i in range(len(costs))]
 
 
 def main_text(html: str | None) -> str:
@@ -292,7 +297,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pa.array([main_text(h) for h in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], ["page_id", "url", "text"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -212,6 +213,23 @@ def test_wrappers_with_bad_names_keep_the_article():
     assert html_text.main_text(f"<body><div class=post>{story}</div>{long}</body>") == want
 
 
+@pytest.mark.parametrize("page", [
+    "<b" * 500_000, "<div " * 200_000, "</p" * 300_000, "<!" * 500_000, "<a href='" * 100_000, "<script>" + "</script " * 100_000, "<!--" * 200_000, "class " * 100_000,
+    "<div>" * 100_000 + "</p>" * 100_000, "<ul><li>" * 50_000, "".join(f"<p>Block number {i} of many." for i in range(100_000)), "".join(f"<p>x<div><a>y {i}</a></div>" for i in range(30_000)),
+], ids=range(12))
+def test_long_and_broken_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_pages_with_repeated_rows_and_clashing_columns(spark):
+    page = "<body><article><p>Some words that are the story of this page, which go on for a while.</article></body>"
+    pages = spark.createDataFrame([(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (None, None, page, None, None)], "page_id long, url string, html string, text string, n_chars string")
+    got = collected(html_text.extract(pages))
+    assert [r["page_id"] for r in got].count(1) == 2 and len(got) == 3 and len({r["text"] for r in got}) == 1 and got[0]["text"].startswith("Some words")
+
+
 def test_cut_is_least(subtests=None):
     import itertools
     import random
