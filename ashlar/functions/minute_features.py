@@ -15,10 +15,8 @@ PERIODS = (5, 15, 60, 241)
 EPS = 1e-3
 
 
-#: Rows of a code that a snapshot looks back on: six days of 241 bars.
-HISTORY = 6 * 241
 #: The most rows of a code that the features being built are for; 0: any number.
-_ROWS = ContextVar("rows", default=HISTORY)
+_ROWS = ContextVar("rows", default=0)
 
 
 def RMEAN(n, x) -> Expr: return rolling("mean", n, x)
@@ -87,8 +85,16 @@ def rsi(p) -> Expr:
     return 100 - 100 / (1 + gain / (loss + EPS))
 
 
-def base_features() -> dict[str, Expr]:
-    """The base features by name."""
+def base_features(rows: int | None = None) -> dict[str, Expr]:
+    """The base features by name, for codes of at most so many rows as in features."""
+    was = _ROWS.set(rows or 0)
+    try:
+        return _base_features()
+    finally:
+        _ROWS.reset(was)
+
+
+def _base_features() -> dict[str, Expr]:
     made = {"close_ret_1": cr(1)}
     of = {
         "close_ret": cr, "volume_ret": vr, "ret_rolling_mean": ret_mean, "ret_rolling_std": ret_std, "ret_rolling_var": ret_var, "volume_rolling_mean": vol_mean, "volume_rolling_std": vol_std,
@@ -330,8 +336,9 @@ def attention() -> list[tuple[str, Expr]]:
 FAMILIES = {"round_number": round_number, "fomo_fud": fomo_fud, "retail_pattern": retail_pattern, "herding": herding, "microstructure": microstructure, "sentiment_cycle": sentiment_cycle, "attention": attention}
 
 
-def features(families=tuple(FAMILIES), median: float = 50.0, rows: int | None = HISTORY) -> dict[str, Expr]:
-    """Features of some families by name, for codes of at most so many rows (None: any number); the first definition of a name wins."""
+def features(families=tuple(FAMILIES), median: float = 50.0, rows: int | None = None) -> dict[str, Expr]:
+    """Features of some families by name, for codes of at most so many rows (None: any number; TAILS: for tail_values);
+    the first definition of a name wins."""
     out: dict[str, Expr] = {}
     was = _ROWS.set(rows or 0)
     try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,8 +132,11 @@ class FeaturePipeline:
         """The last row of each code, or with a date all rows of that date."""
         from ..plans.snapshot import minute_features
 
-        out = minute_features(bars, self.families, snapshot=target_date is None, fill=None)
-        return out if target_date is None else out.where(F.to_date("datetime") == F.to_date(F.lit(target_date)))
+        if target_date is None:
+            return minute_features(bars, self.families, fill=None)
+        day = date.fromisoformat(target_date)
+        start, end = (datetime(d.year, d.month, d.day) for d in (day, day + timedelta(days=1)))
+        return minute_features(bars.where(F.col("datetime") < F.lit(end).cast("timestamp_ntz")), self.families, fill=None, since=start)
 
     def normalize(self, df: DataFrame, family: str) -> DataFrame:
         from .minute_features import features

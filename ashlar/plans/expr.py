@@ -281,6 +281,8 @@ def ewm_rows(alpha: float) -> int:
     return math.ceil(-39.2 / math.log1p(-alpha)) if alpha < 1 else 1
 
 
+#: Stands for a number of rows: exponential means stay nodes of their own (see tails).
+TAILS = -1
 #: Rows of a code for which running weights can't overflow, by the logarithm of the largest.
 MOST_LOG_WEIGHT = 600.0
 
@@ -292,6 +294,8 @@ def ewm(alpha: float, x, rows: int | None = None) -> Expr:
     number will do: the weights start anew with each block of rows, and the block before is added with what is
     left of its weight, since older ones count for less than 1e-17. Otherwise the weights that count are folded.
     """
+    if rows == TAILS and ewm_rows(alpha) > 64:
+        return node("ewm", x, params=(alpha,))
     if rows == 0 and ewm_rows(alpha) > 64:
         x, size = as_expr(x), ewm_rows(alpha)
         row = node("rows", params=(None,)) - 1

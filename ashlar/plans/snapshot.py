@@ -1,14 +1,13 @@
-"""Feature values of all rows, or of each code's last row."""
+"""Feature values of all rows, or of the last ones of each code."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.minute_features import HISTORY, features
-from .expr import SPARK, Expr, factors_sql, render, stages
-
-LAST = "row_number() over (partition by code order by datetime desc)"
+from ..functions.minute_features import features
+from .expr import SPARK, TAILS, Expr, factors_sql, render, stages
+from .tails import tail_values
 
 
 def median_close(panel: DataFrame) -> float:
@@ -17,32 +16,27 @@ def median_close(panel: DataFrame) -> float:
     return 50.0 if found is None else float(found)
 
 
-def compute(panel: DataFrame, exprs: dict[str, Expr], snapshot: bool = True, fill: float | None = 0.0, history: int | None = None) -> DataFrame:
-    """(datetime, code, one column per feature). history: rows per code that are looked back on, from the last
-    (None: all; the expressions must then be built for any number of rows).
+def compute(panel: DataFrame, exprs: dict[str, Expr], fill: float | None = 0.0) -> DataFrame:
+    """(datetime, code, one column per feature) at every row, by window functions.
 
-    All windows share one partitioning and order, so there is one exchange. With a snapshot, everything
-    after the last windows runs on a row per code.
+    All windows share one partitioning and order, so there is one exchange.
     """
-    if history is not None:
-        panel = panel.withColumn("_age", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("datetime")))).where(F.col("_age") <= history).drop("_age")
-    levels = stages(exprs.values(), SPARK)
-    for k, level in enumerate(levels):
-        extra = [F.expr(LAST).alias("_from_last")] if snapshot and k == len(levels) - 1 else []
-        panel = panel.select("*", *[F.expr(text).alias(name) for name, text in level.items()], *extra)
-    if snapshot:
-        panel = panel.withColumn("_from_last", F.expr(LAST)).where("_from_last = 1") if not levels else panel.where("_from_last = 1")
+    for level in stages(exprs.values(), SPARK):
+        panel = panel.select("*", *[F.expr(text).alias(name) for name, text in level.items()])
     value = lambda e: F.expr(render(e, SPARK)) if fill is None else F.coalesce(F.expr(render(e, SPARK)), F.lit(fill))
     return panel.select("datetime", "code", *[value(e).alias(name) for name, e in exprs.items()])
 
 
-def minute_features(panel: DataFrame, families: tuple[str, ...] | None = None, snapshot: bool = True, fill: float | None = 0.0, history: int | None = None) -> DataFrame:
-    """The behaviour features, with levels by the panel's median close."""
+def minute_features(panel: DataFrame, families: tuple[str, ...] | None = None, snapshot: bool = True, fill: float | None = 0.0, since=None) -> DataFrame:
+    """The behaviour features, with levels by the panel's median close: of each code's last row, of its rows from a
+    time on, or (snapshot=False) of all rows. All look back on all rows of the code."""
+    chosen = {"families": families} if families else {}
     median = median_close(panel) if families is None or "round_number" in families else 50.0
-    return compute(panel, features(families, median, history) if families else features(median=median, rows=history), snapshot, fill, history)
+    if snapshot or since is not None:
+        return tail_values(panel, features(median=median, rows=TAILS, **chosen), fill, since)
+    return compute(panel, features(median=median, rows=None, **chosen), fill)
 
 
 def snapshot_sql(panel: str, exprs: dict[str, Expr], digits: int = 6) -> str:
     """Rounded snapshot as DuckDB SQL."""
-    panel = f"select * from ({panel}) qualify row_number() over (partition by code order by datetime desc) <= {HISTORY}"
     return factors_sql(panel, exprs, wrap=lambda name, text: f"round(coalesce({text}, 0), {digits}) + 0.0", tail="qualify row_number() over (partition by code order by datetime desc) = 1")

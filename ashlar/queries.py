@@ -11,8 +11,9 @@ from .functions import factors as lib
 from .functions import minute_features as mf
 from .operators import nodes as n
 from .plans import analysis as an
-from .plans.expr import Expr, factors_sql, field, node, with_factors
-from .plans.snapshot import compute, minute_features, snapshot_sql
+from .plans.expr import TAILS, Expr, factors_sql, field, node, with_factors
+from .plans.snapshot import minute_features, snapshot_sql
+from .plans.tails import tail_values
 from .sources.panels import PANELS, panel, panel_sql
 
 DIGITS = 6
@@ -72,12 +73,10 @@ for _name, _exprs in NODES.items():
     register(_name, factors_sql(panel_sql("E"), _exprs, wrap=wrap))(lambda s, d, e=_exprs: with_factors(panel(s, d, "E"), e))
 
 # minute features on the daily panel of return flags, the last row of each code
-_all_levels = mf.levels(50_000.0)
 for _family in mf.FAMILIES:
-    _exprs = mf.features((_family,), 50_000.0)
     # SQL reads the price levels as constants: the test tables' median close lies between 10,000 and 100,000
-    register(f"features_{_family}", snapshot_sql(panel_sql("D"), _exprs))(lambda s, d, f=_family: minute_features(panel(s, d, "D"), (f,), history=mf.HISTORY))
-register("features_base", snapshot_sql(panel_sql("D"), mf.base_features()))(lambda s, d: compute(panel(s, d, "D"), mf.base_features(), history=mf.HISTORY))
+    register(f"features_{_family}", snapshot_sql(panel_sql("D"), mf.features((_family,), 50_000.0, None)))(lambda s, d, f=_family: minute_features(panel(s, d, "D"), (f,)))
+register("features_base", snapshot_sql(panel_sql("D"), mf.base_features()))(lambda s, d: tail_values(panel(s, d, "D"), mf.base_features(TAILS)))
 
 # evaluation
 FACTORS = {"ma_ratio": n.Close() / n.Mean(n.Close(), 5), "volume_rank": n.Rank(n.Volume()), "momentum": lib.Momentum(3), "return": n.Close() / n.Ref(n.Close(), 1, "rows") - 1}

@@ -7,6 +7,8 @@ and a batch give the same rows. Output is written per (date, bar) and replaced w
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +53,10 @@ def as_panel(bars: DataFrame) -> DataFrame:
 
 
 def features_at(bars: DataFrame, times: list, families: tuple[str, ...] | None = None) -> DataFrame:
-    """Features of the asked bar times, each from the bars up to it. All rows are computed in one pass: no window looks ahead."""
-    out = minute_features(as_panel(bars), families, snapshot=False, history=None)
-    return out.where(F.col("datetime").isin(times))
+    """Features of the asked bar times, each from the bars up to it. No window looks ahead, so all from the first
+    asked time on are computed in one pass; bars further back than any window reaches aren't kept."""
+    upto = bars.where(F.col("time") <= F.lit(max(times)).cast("timestamp_ntz"))
+    return minute_features(as_panel(upto), families, since=min(times)).where(F.col("datetime").isin(times))
 
 
 class BarStore:
@@ -85,9 +88,9 @@ class BarStore:
         done = self.features()
         if done is not None:
             times = times.join(done.select(F.col("datetime").alias("time")).distinct(), "time", "left_anti")
-        todo = [r.time for r in times.orderBy("time").collect()]  # bar times of a day: 241 at most
-        if todo:
-            out = features_at(bars, todo, self.families).withColumn("date", F.to_date("datetime")).withColumn("bar", F.date_format("datetime", "HHmmss"))
+        todo = [r.time for r in times.orderBy("time").collect()]  # a row per bar time: 241 a day
+        for _, day in itertools.groupby(todo, key=lambda t: t.date()):  # what a pass holds of a code is a day and its look-back
+            out = features_at(bars, list(day), self.families).withColumn("date", F.to_date("datetime")).withColumn("bar", F.date_format("datetime", "HHmmss"))
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "bar").parquet(f"{self.path}/features")
         return len(todo)
 

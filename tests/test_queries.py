@@ -6,7 +6,7 @@ from oracle import connect, same
 from ashlar.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(k for k in ORACLES if not k.startswith("features_") or k in ("features_microstructure", "features_round_number")))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf_dir, name):
     same(QUERIES[name](spark, sf_dir).toPandas(), connect(sf_dir).sql(ORACLES[name]).df())
 
