@@ -35,6 +35,15 @@ class FactorData:
         keys = ["timestamp", "asset"]
         return FactorData(factor.select(*keys, "factor_value").join(returns.select(*keys, "return"), keys, "full_outer"), name, frequency)
 
+    @staticmethod
+    def from_frame(frame: DataFrame, name: str, start: str | None = None, end: str | None = None, frequency: str = "daily", attributes: dict | None = None) -> FactorData:
+        """From rows (timestamp, asset, factor_value, return) of closed dates."""
+        if missing := {"timestamp", "asset", "factor_value", "return"} - set(frame.columns):
+            raise ValueError(f"missing columns: {sorted(missing)}")
+        for bound, test in ((start, F.col("timestamp").__ge__), (end, F.col("timestamp").__le__)):
+            frame = frame if bound is None else frame.where(test(F.lit(bound).cast("timestamp_ntz")))
+        return FactorData(frame, name, frequency, attributes or {})
+
     def validate(self) -> DataFrame:
         share = lambda c: (F.sum(F.col(c).isNull().cast("double")) / F.count("*")).alias(f"{c}_missing")
         return self.frame.agg(F.count("*").alias("rows"), share("factor_value"), share("return"))
@@ -292,6 +301,15 @@ def beta_alpha(returns: DataFrame, benchmark: DataFrame, risk_free: float = 0.0,
     return pairs.groupBy("series").agg(beta.alias("beta"), alpha.alias("alpha"), F.try_divide(F.avg(active) * math.sqrt(per_year), F.stddev_samp(active)).alias("information_ratio"))
 
 
+def all_metrics(returns: DataFrame, benchmark: DataFrame | None = None, risk_free: float = 0.0, per_year: int = DAYS_A_YEAR) -> DataFrame:
+    """Every metric of each series, side by side; with a benchmark(timestamp, bench) also those against it."""
+    out = return_metrics(returns, risk_free, per_year).join(value_at_risk(returns), "series")
+    if benchmark is None:
+        return out
+    active = returns.join(benchmark, "timestamp").groupBy("series").agg((F.stddev_samp(F.col("ret") - F.col("bench")) * math.sqrt(per_year)).alias("tracking_error"))
+    return out.join(beta_alpha(returns, benchmark, risk_free, per_year), "series", "left").join(active, "series", "left")
+
+
 def position_turnover(positions: DataFrame) -> DataFrame:
     """Half the sum of absolute changes of weight(timestamp, asset, weight) per date, from the second on."""
     d = dated(positions)
@@ -314,6 +332,11 @@ def factor_correlation(wide: DataFrame, names: list[str], method: str = "pearson
     return flat.select("p.*")
 
 
+def high_correlation(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The pairs of factor_correlation of at least this size."""
+    return pairs.where(F.abs("corr") >= threshold)
+
+
 def combination_weights(metrics: DataFrame, names: list[str], method: str = "equal_weight") -> dict[str, float]:
     """Weights from batch_ic's metrics: equal, by size of the mean IC, or by positive ICIR (``optimal`` is the same)."""
     got = {r.factor: r for r in metrics.collect()}
@@ -426,6 +449,51 @@ def stability(metrics: DataFrame) -> DataFrame:
     return metrics.agg((1 - F.try_divide(F.stddev_samp("ic_mean"), F.abs(F.avg("ic_mean")))).alias("stability"), F.avg("ic_mean").alias("mean"))
 
 
+def parameter_parts(frames: dict[str, DataFrame]) -> DataFrame:
+    """A part per value of a parameter; frames of equal columns."""
+    return reduce(lambda a, b: a.unionByName(b), [df.withColumn("part", F.lit(str(k))) for k, df in frames.items()])
+
+
+def sensitivity(metrics: DataFrame) -> DataFrame:
+    """One row over parts: mean, range and deviation of their coefficients, the best part by ratio, stability."""
+    best = F.max_by("part", F.struct(F.col("icir").isNotNull(), "icir"))
+    return metrics.agg(
+        F.count("*").alias("n_parts"), F.avg("ic_mean").alias("mean_ic"), (F.max("ic_mean") - F.min("ic_mean")).alias("ic_range"), F.stddev_samp("ic_mean").alias("ic_std"), best.alias("best_part"), F.max("icir").alias("best_icir"),
+        F.coalesce(1 - F.try_divide(F.stddev_samp("ic_mean"), F.abs(F.avg("ic_mean"))), F.lit(0.0)).alias("stability"),
+    )
+
+
+def degradation(metrics: DataFrame) -> DataFrame:
+    """Per pair of parts train and test (train_k and test_k): their mean coefficients, the decay and the ratio of test to train."""
+    pair = F.coalesce(F.nullif(F.regexp_extract("part", r"_(\d+)$", 1), F.lit("")), F.lit("0"))
+    side = lambda name, c: F.max(F.when(F.col("part").startswith(name), F.col(c)))
+    both = metrics.groupBy(pair.cast("int").alias("pair")).agg(side("train", "ic_mean").alias("train_ic"), side("test", "ic_mean").alias("test_ic"), side("train", "icir").alias("train_icir"), side("test", "icir").alias("test_icir"))
+    return both.withColumn("ic_decay", F.col("test_ic") - F.col("train_ic")).withColumn("ic_ratio", F.try_divide("test_ic", "train_ic"))
+
+
+def split_at(df: DataFrame, date: str) -> DataFrame:
+    """Parts train (to the date) and test (from it on); the date is in both."""
+    at, t = F.lit(date).cast("timestamp_ntz"), F.col("timestamp")
+    both = F.array_compact(F.array(F.when(t <= at, F.lit("train")), F.when(t >= at, F.lit("test"))))
+    return df.withColumn("part", F.explode(both))
+
+
+def out_of_sample_test(df: DataFrame, ratio: float = 0.7, split_date: str | None = None, kind: str = "split", method: str = "spearman", min_periods: int = 20, **options) -> DataFrame:
+    """Degradation from training to test dates: of one split, of rolling windows or of walk-forward folds."""
+    parts = {"split": lambda: train_test(df, ratio) if split_date is None else split_at(df, split_date), "rolling": lambda: rolling_oos(df, **options), "walk_forward": lambda: walk_forward(df, **options)}
+    if kind not in parts:
+        raise ValueError(f"unknown kind {kind}")
+    return degradation(ic_by_part(parts[kind](), method, 1, min_periods))
+
+
+def robustness_test(df, kind: str = "subsample", method: str = "spearman", min_periods: int = 20, **options) -> DataFrame:
+    """Sensitivity over parts: subsamples of dates, return columns, asset universes, or values of a parameter (df: frames by value)."""
+    parts = {"subsample": lambda: subsamples(df, **options), "return_period": lambda: return_periods(df, **options), "universe": lambda: by_group(df, **options), "parameter": lambda: parameter_parts(df)}
+    if kind not in parts:
+        raise ValueError(f"unknown kind {kind}")
+    return sensitivity(ic_by_part(parts[kind](), method, 1, min_periods))
+
+
 def return_periods(df: DataFrame, columns: list[str]) -> DataFrame:
     """A part per return column."""
     return df.unpivot(["timestamp", "asset", "factor_value"], columns, "part", "return")

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,6 +170,19 @@ class FactorRegistry:
         x, y = (self._entry(key)["versions"][v] for v in (a, b))
         return {"factor_changed": x["factor"] != y["factor"], "configs_changed": x["configs"] != y["configs"]}
 
+    def version_info(self, key: str, version: str | None = None) -> dict:
+        """Details of a version, by default of the current one."""
+        e = self._entry(key)
+        v = version or e["current"]
+        if v not in e["versions"]:
+            raise KeyError(f"no version {v}")
+        held = e["versions"][v]
+        return {"factor_id": key, "version": v, "current": v == e["current"], **{k: held[k] for k in ("changes", "created", "configs")}, "expression": str(Expr.from_dict(held["factor"]))}
+
+    def performance_summary(self, key: str) -> dict:
+        m = self.get_metadata(key)
+        return {"factor_id": key, "name": m.name, "category": m.category, "updated": m.updated, "by_frequency": m.performance}
+
     def rollback(self, key: str, version: str) -> None:
         e = self._entry(key)
         if version not in e["versions"]:
@@ -231,16 +245,18 @@ class FactorMonitor:
     def __init__(self, registry: FactorRegistry, least: int = 5):
         self.registry, self.least = registry, least
 
-    def batch_evaluate(self, keys: list[str], panel: DataFrame) -> DataFrame:
+    def batch_evaluate(self, keys: list[str], panel: DataFrame, ahead: int = 0) -> DataFrame:
         """(factor, ic_mean, rank_ic_mean, ic_std, ir, coverage), best ratio first. All factors in one pass.
 
-        Deviations are of the population here, and coverage is the share of dates with enough pairs.
+        Coefficients are with the return of the same row (ahead=0), or of a later one. Deviations are of the
+        population here, and coverage is the share of dates with enough pairs.
         """
         from ..operators.nodes import Close, Ref
 
         exprs = {k: self.registry.get_factor(k)[0] for k in keys}
         wide = with_factors(panel, exprs | {"return": Close() / Ref(Close(), 1, "rows") - 1}).withColumnsRenamed({"datetime": "timestamp", "code": "asset"})
-        rows = wide.unpivot(["timestamp", "asset", "return"], keys, "factor", "factor_value").withColumnRenamed("return", "forward")
+        wide = an.forward_returns(wide, ahead) if ahead else wide.withColumn("forward", F.col("return"))
+        rows = wide.unpivot(["timestamp", "asset", "forward"], keys, "factor", "factor_value")
         pearson = an.daily_ic(rows, "pearson", self.least, ("factor",))
         rank = an.daily_ic(rows, "spearman", self.least, ("factor",)).withColumnRenamed("ic", "rank_ic")
         both = pearson.join(rank, ["factor", "timestamp"])
@@ -254,6 +270,11 @@ class FactorMonitor:
         self.registry.update_metadata(key, performance=self.registry.get_metadata(key).performance | {frequency: found})
         return found
 
+    def multi_frequency(self, key: str, panels: dict[str, DataFrame]) -> DataFrame:
+        """A row of metrics per configuration of the factor, with its frequency's panel."""
+        rows = [self.batch_evaluate([key], panels[c.input_freq]).select(F.lit(c.input_freq).alias("frequency"), F.lit(c.window_length).alias("window_length"), "*") for c in self.registry.get_factor(key)[1]]
+        return reduce(lambda a, b: a.unionByName(b), rows)
+
     def detect_decay(self, key: str, panel: DataFrame, days: int = 90, usual: float = 0.05, least_share: float = 0.7) -> dict:
         """Whether the mean IC of the last days is under a share of a usual one."""
         end = panel.agg(F.max("datetime")).first()[0]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import factors as lib
 from .functions import minute_features as mf
+from .functions.processors import cs_minmax, cs_rank
 from .operators import nodes as n
 from .plans import analysis as an
+from .plans.engine import align_timestamps, calendar
 from .plans.expr import TAILS, Expr, factors_sql, field, node, with_factors
 from .plans.snapshot import minute_features, snapshot_sql
 from .plans.tails import tail_values
@@ -193,7 +195,11 @@ def zscore_sql(c: str, source: str = "timestamp") -> str:
 
 
 register("combine_equal", f"with {WIDE_SQL}, z as (select timestamp, asset, {', '.join(f'{zscore_sql(c)} as {c}' for c in NAMES)} from w) select timestamp, asset, {r('ma_ratio / 3.0 + volume_rank / 3.0 + momentum / 3.0', 'factor_value')} from z where {_known}")(lambda s, d: an.combined(wide(s, d), dict.fromkeys(NAMES, 1 / 3)))
-register("combine_icir")(lambda s, d: an.combined(wide(s, d), an.combination_weights(an.batch_ic(long(s, d), "spearman", 1, LEAST), NAMES, "icir_weight")))
+_weights = f"raw as (select factor, greatest(coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0), 0) as x from ic group by factor), wt as (select {', '.join(f'''max(case when factor = '{c}' then x end) as w_{c}''' for c in NAMES)}, sum(x) as total from raw)"
+_weighted = " + ".join(f"{c} * case when total > 0 then w_{c} / total else 1.0 / {len(NAMES)} end" for c in NAMES)
+register("combine_icir", f"with {LONG_SQL}, {ic_sql('b', 'factor')}, {_weights}, z as (select timestamp, asset, {', '.join(f'{zscore_sql(c)} as {c}' for c in NAMES)} from w) select timestamp, asset, {r(_weighted, 'factor_value')} from z, wt where {_known}")(
+    lambda s, d: an.combined(wide(s, d), an.combination_weights(an.batch_ic(long(s, d), "spearman", 1, LEAST), NAMES, "icir_weight"))
+)
 register("principal_components")(lambda s, d: an.principal_components(wide(s, d), NAMES)[0])
 
 # preparation
@@ -222,7 +228,12 @@ ic_parts("ic_rolling_oos", lambda df: an.rolling_oos(df, 12, 6, 4), "select case
 ic_parts("ic_walk_forward", lambda df: an.walk_forward(df, 4), "select case when floor((day - 1) / floor(days / 5)) < k then 'train_' else 'test_' end || k as part, timestamp, asset, fv, ret from d join range(1, 5) t(k) on floor((day - 1) / floor(days / 5)) <= k")
 ic_parts("ic_subsamples", lambda df: an.subsamples(df, 5, 0.8, 7), None)
 register("stability_subsamples")(lambda s, d: an.stability(an.ic_by_part(an.subsamples(base(s, d), 5, 0.8, 7), "spearman", 1, LEAST)))
-register("look_ahead", f"with {BASE_SQL} select cast(0 as bigint) as differing from b limit 1")(lambda s, d: _look_ahead(s, d))
+_early = {"f": n.Zscore(lib.Momentum(5))}
+_cut = f"select * from ({panel_sql('E')}) where datetime <= timestamp '2024-01-15'"
+register(
+    "look_ahead",
+    f"with a as (select * from ({factors_sql(panel_sql('E'), _early)}) where datetime <= timestamp '2024-01-15'), c as ({factors_sql(_cut, _early)}) select count(*) filter (round(a.f, 6) is distinct from round(c.f, 6)) as differing from a full join c on a.datetime = c.datetime and a.code = c.code",
+)(lambda s, d: _look_ahead(s, d))
 
 
 def _look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +245,45 @@ def _look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_rows.join(past, ["datetime", "code"], "full_outer").agg(F.count_if(~F.col("f").eqNullSafe(F.col("g"))).alias("differing"))
 
 
+# what else is asked of parts, portfolios and preparation
+LABELS_BY_VOLUME = f"qe as (select *, volume_rank as vr, list_sort(list_distinct(list_value({', '.join(f'quantile_cont(volume_rank, {k / 3}) over (partition by timestamp)' for k in range(4))}))) as edges from w), qp as (select timestamp, asset, ma_ratio as fv, ret, cast(len(list_filter(edges[2:-2], lambda v: v < vr)) + 1 as integer) as part from qe where vr is not null and len(edges) > 1)"
+_by_volume = f"with {WIDE_SQL}, {LABELS_BY_VOLUME}, p as (select *, lead(ret) over (partition by part, asset order by timestamp) as fwd from qp), {ic_sql('p', 'part')}, m as ({metrics_sql('part')})"
+
+
+def volume_parts(s, d):
+    rows = wide(s, d).select("timestamp", "asset", F.col("ma_ratio").alias("factor_value"), "return", "volume_rank")
+    return an.ic_by_part(an.by_quantile(rows, "volume_rank", 3), "spearman", 1, LEAST)
+
+
+register("ic_by_quantile", f"{_by_volume} select * from m")(volume_parts)
+register("ic_monotonicity", f"{_by_volume}, st as (select sign(ic_mean - lag(ic_mean) over (order by part)) as s from m) select {r('sum(s) / nullif(count(s), 0)', 'monotonicity')} from st")(lambda s, d: an.monotonicity(volume_parts(s, d)))
+_train_test = part_sql("select 'train' as part, timestamp, asset, fv, ret from d where day <= floor(days * 0.7) + 1 union all select 'test', timestamp, asset, fv, ret from d where day >= floor(days * 0.7) + 1")
+_pick = lambda side, c: f"max(case when part = '{side}' then {c} end)"
+register(
+    "out_of_sample",
+    f"with m as ({_train_test}) select cast(0 as integer) as pair, {', '.join(r(_pick(side, c), n) for side, c, n in (('train', 'ic_mean', 'train_ic'), ('test', 'ic_mean', 'test_ic'), ('train', 'icir', 'train_icir'), ('test', 'icir', 'test_icir')))}, {r(_pick('test', 'ic_mean') + ' - ' + _pick('train', 'ic_mean'), 'ic_decay')}, {r(_pick('test', 'ic_mean') + ' / nullif(' + _pick('train', 'ic_mean') + ', 0)', 'ic_ratio')} from m",
+)(lambda s, d: an.out_of_sample_test(base(s, d), min_periods=LEAST))
+_windows = (3, 5, 8)
+_by_window = {str(k): {"f": n.Close() / n.Mean(n.Close(), k), "return": FACTORS["return"]} for k in _windows}
+_param_rows = " union all ".join(f"select '{k}' as part, datetime as timestamp, code as asset, f as fv, \"return\" as ret from ({factors_sql(panel_sql('E'), e)})" for k, e in _by_window.items())
+register(
+    "parameter_sensitivity",
+    f"with p0 as ({_param_rows}), p as (select *, lead(ret) over (partition by part, asset order by timestamp) as fwd from p0), {ic_sql('p', 'part')}, m as (select part, avg(ic) as ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) as icir from ic group by part) select count(*) as n_parts, {r('avg(ic_mean)', 'mean_ic')}, {r('max(ic_mean) - min(ic_mean)', 'ic_range')}, {r('stddev_samp(ic_mean)', 'ic_std')}, arg_max(part, icir) as best_part, {r('max(icir)', 'best_icir')}, {r('coalesce(1 - stddev_samp(ic_mean) / nullif(abs(avg(ic_mean)), 0), 0)', 'stability')} from m",
+)(lambda s, d: an.robustness_test({k: with_factors(panel(s, d, "E"), e).withColumnsRenamed({"datetime": "timestamp", "code": "asset", "f": "factor_value"}) for k, e in _by_window.items()}, "parameter", min_periods=LEAST))
+register("high_correlation", " union all ".join(f"select * from (with {WIDE_SQL}, k as (select {', '.join(NAMES)} from w where {_known}) select '{a}' as a, '{b}' as b, {r(corr_sql(a, b), 'corr')} from k) where abs(corr) >= 0.02" for a, b in _pairs))(lambda s, d: an.high_correlation(an.factor_correlation(wide(s, d), NAMES), 0.02))
+register(
+    "position_turnover",
+    f"with {BASE_SQL}, wp as (select timestamp, asset, fv / sum(fv) over (partition by timestamp) as weight from b where fv is not null), dd as (select timestamp, row_number() over (order by timestamp) as day from (select distinct timestamp from wp)), x as (select day, asset, weight from wp join dd using (timestamp)), ch as (select coalesce(a.day, p.day + 1) as day, abs(coalesce(a.weight, 0) - coalesce(p.weight, 0)) as c from x a full join x p on a.asset = p.asset and a.day = p.day + 1) select dd.timestamp, {r('sum(c) / 2', 'turnover')} from ch join dd using (day) where day > 1 group by 1",
+)(lambda s, d: an.position_turnover(base(s, d).where("factor_value IS NOT NULL").withColumn("weight", F.col("factor_value") / F.sum("factor_value").over(Window.partitionBy("timestamp"))).select("timestamp", "asset", "weight")))
+register("aligned", f"with {BASE_SQL} select timestamp, asset, {r('fv', 'factor_value')}, {r('fwd', 'forward')} from b where fv is not null and fwd is not null")(lambda s, d: an.aligned(base(s, d).select("timestamp", "asset", "factor_value"), base(s, d).select("timestamp", "asset", "return")))
+for _m, _x in (("rank", f"(({rank_sql('fv', 'timestamp')}) / nullif(count(fv) over (partition by timestamp), 0) - 0.5) * 3.46"), ("minmax", "(fv - min(fv) over (partition by timestamp)) / (max(fv) over (partition by timestamp) - min(fv) over (partition by timestamp) + 1e-8)")):
+    register(f"processor_{_m}", f"with {BASE_SQL} select timestamp as datetime, asset as code, {r(_x, 'x')} from b")(lambda s, d, m=_m: {"rank": cs_rank, "minmax": cs_minmax}[m]()(base(s, d).select(F.col("timestamp").alias("datetime"), F.col("asset").alias("code"), F.col("factor_value").alias("x"))))
+register(
+    "align_timestamps",
+    f"with e as ({panel_sql('E')}), t as (select cast(x as timestamp) + interval 15 hour as tm from range(timestamp '2024-01-08', timestamp '2024-01-20', interval 1 day) q(x) where isodow(x) < 6), g as (select tm, code from t, (select distinct code from e) where cast(tm as date) <= (select cast(max(datetime) as date) from e)) select g.tm as datetime, g.code, {r('arg_max(e.close, e.datetime)', 'close')} from g left join e on e.code = g.code and e.datetime <= g.tm group by 1, 2",
+)(lambda s, d: align_timestamps(panel(s, d, "E").select("datetime", "code", "close"), calendar(s, "2024-01-08", "2024-01-19")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank IC of price over its five-day mean against the next day's return."""
     return QUERIES["ic_spearman"](spark, sf_dir)

@@ -155,14 +155,3 @@ def validate(online: DataFrame, offline: DataFrame, relative: float = 1e-3, abso
 
 def validation_summary(columns: DataFrame, least: float = 0.999) -> DataFrame:
     return columns.agg(F.count("*").alias("total_columns"), F.count_if(F.col("equal_ratio") >= least).alias("matched_columns"), F.count_if(F.col("equal_ratio") < least).alias("diverged_columns"), F.avg("equal_ratio").alias("mean_equal_ratio"))
-
-
-#: What log lines of a run look like.
-LOG_LINES = {"bar_complete": r"bar (\d{2}:\d{2}) complete in ([\d.]+) s", "abandon": r"bar (\d{2}:\d{2}) abandoned after (\d+)", "exit": r"run ended at (\d{2}:\d{2})"}
-
-
-def log_events(lines: DataFrame) -> DataFrame:
-    """(kind, bar, detail) from log lines (value)."""
-    kind = F.coalesce(*[F.when(F.col("value").rlike(p), k) for k, p in LOG_LINES.items()])
-    group = lambda i: F.coalesce(*[F.when(F.col("value").rlike(p), F.regexp_extract("value", p, i) if i <= p.count("(") else F.lit("")) for p in LOG_LINES.values()])
-    return lines.select(kind.alias("kind"), group(1).alias("bar"), group(2).alias("detail")).where(F.col("kind").isNotNull())
