@@ -14,6 +14,7 @@ size and is marked as kept; null is a doc_id like the others, below all of them;
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, documents, save
 
-#: Bits of a fingerprint that name its block; the other 64 - QUOTIENT_BITS are its remainder.
-QUOTIENT_BITS = 10
+#: Fingerprints in a block of the filters, about; the number of blocks follows from that of the rows.
+BLOCK = 1 << 18
 #: Parts that rows without a doc_id are dealt to; all of them are compared where one is routed.
 NULL_PARTS = 64
 
@@ -43,7 +44,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, sha string")
 
 
-def partition_filters(prints: DataFrame) -> DataFrame:
+def quotient_bits(rows: int) -> int:
+    """Bits of a fingerprint that name its block; the others are its remainder."""
+    return max(6, math.ceil(math.log2(max(1, rows / BLOCK))))
+
+
+def partition_filters(prints: DataFrame, bits: int) -> DataFrame:
     """quotient, remainders, counts: one filter per batch of a partition, split into its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,19 +57,18 @@ def partition_filters(prints: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
             if sum(map(len, held)) >= 1 << 20:
-                yield filter_blocks(np.concatenate(held), None)
+                yield filter_blocks(np.concatenate(held), bits)
                 held = []
         if held:
-            yield filter_blocks(np.concatenate(held), None)
+            yield filter_blocks(np.concatenate(held), bits)
 
     return prints.select("fp").mapInArrow(run, "quotient int, remainders binary, counts binary")
 
 
-def filter_blocks(fp: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
+def filter_blocks(fp: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted distinct fingerprints with their counts, as rows of (quotient, remainders, counts)."""
-    keys, inverse = np.unique(fp, return_inverse=True)
-    counts = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.uint64)
-    shift = np.uint64(64 - QUOTIENT_BITS)
+    keys, counts = np.unique(fp, return_counts=True)
+    counts, shift = counts.astype(np.uint64), np.uint64(64 - bits)
     quotient, remainder = (keys >> shift).astype(np.int32), keys & ((np.uint64(1) << shift) - np.uint64(1))
     ends = np.flatnonzero(np.diff(quotient, append=-1))
     starts = np.concatenate([[0], ends[:-1] + 1]).astype(int)
@@ -71,7 +76,7 @@ def filter_blocks(fp: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["quotient", "remainders", "counts"])
 
 
-def merged(filters: DataFrame) -> DataFrame:
+def merged(filters: DataFrame, bits: int) -> DataFrame:
     """fp, n for every fingerprint counted more than once. Blocks of one quotient meet in one partition and merge one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +85,13 @@ def merged(filters: DataFrame) -> DataFrame:
             for q, r, c in zip(*(batch.column(k).to_pylist() for k in ("quotient", "remainders", "counts")), strict=True):
                 if q != quotient:
                     if parts:
-                        yield repeated(quotient, parts)
+                        yield repeated(quotient, parts, bits)
                     quotient, parts = q, []
                 parts.append((np.frombuffer(r, np.uint64), np.frombuffer(c, np.uint64)))
                 if len(parts) > 64:
                     parts = [merge(parts)]
         if parts:
-            yield repeated(quotient, parts)
+            yield repeated(quotient, parts, bits)
 
     return filters.repartition("quotient").sortWithinPartitions("quotient").mapInArrow(run, "fp long, n long")
 
@@ -96,16 +101,17 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(inverse, weights=np.concatenate([c for _, c in parts])).astype(np.uint64)
 
 
-def repeated(quotient: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def repeated(quotient: int, parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
     keys, counts = merge(parts)
-    fp = (np.uint64(quotient) << np.uint64(64 - QUOTIENT_BITS)) | keys[counts > 1]
+    fp = (np.uint64(quotient) << np.uint64(64 - bits)) | keys[counts > 1]
     return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(counts[counts > 1].astype(np.int64))], ["fp", "n"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     prints = save(fingerprints(docs), "dedup-prints")
-    many = merged(partition_filters(prints))
+    bits = quotient_bits(prints.count())
+    many = save(merged(partition_filters(prints, bits), bits), "dedup-repeated")
     routed = save(prints.join(many.select("fp"), "fp", "left_semi"), "dedup-routed")
     # whole texts of the routed rows only, compared byte by byte as grouping keys
     # rows without an id go by a part's number; a row that is let through without need does no harm

@@ -12,8 +12,10 @@ doc_id lose everything and take no part in the rest. Then
 3. each group marks the bytes under strings that start in a smaller doc_id.
 
 Only equality of 50-byte prefixes matters here, so names needn't be lexicographic ranks and the recursion
-ends at the first names that are 50 bytes long. Sorted arrays move as binary columns; what one bucket or
-one group holds is bounded by the parameters.
+ends at the first names that are 50 bytes long. Names and prefixes are 64-bit fingerprints that aren't checked
+byte by byte: two different 50-byte strings count as equal with a chance of 2**-64. Sorted arrays move as binary
+columns; the number of buckets follows from the bytes of text, and that of groups as well, whose bounds are
+quantiles of doc_id, so a group is larger where its documents are much longer than others'.
 
 Defined cases: null is the empty text; texts under 50 bytes lose nothing; rows of one doc_id count as one
 document and don't remove each other's bytes; a null doc_id counts as larger than all others; an empty
@@ -22,10 +24,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +40,8 @@ from .common import documents, save
 COVER_MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 LENGTH, BLOCK = 50, 20
 assert {(a - b) % COVER_MODULUS for a in COVER for b in COVER} == set(range(COVER_MODULUS)) and COVER_MODULUS - 1 + BLOCK <= LENGTH
-#: Bytes of text in a group; a slab of hashes; buckets of names and prefixes.
-GROUP_BYTES, SLAB, BUCKETS = 8 << 20, 1 << 20, 256
+#: Bytes of text in a group, a slab of hashes, and bytes of text whose names and prefixes are one bucket's.
+GROUP_BYTES, SLAB, BUCKET_BYTES = 8 << 20, 1 << 20, 4 << 20
 LARGEST = (1 << 63) - 1
 
 _MULTIPLIER = 0xB5297A4D3F84D5B5
@@ -96,20 +96,20 @@ class Group:
         owner = np.repeat(np.arange(first, last + 1), lengths)
         return at, at - self.starts[owner], self.starts[owner + 1] - at
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places and their 40-bit names."""
+    def names(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places and their names of 32 bits besides those of the bucket."""
         places, names = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
         for s, sums in slabs(self.x):
             at, inside, left = self.slab_places(s)
             at = at[_SAMPLED[inside % COVER_MODULUS] & (left >= BLOCK)]
             places.append(at.astype(np.uint32))
-            names.append(fingerprint(sums, at - s, BLOCK) >> np.uint64(24))
+            names.append(fingerprint(sums, at - s, BLOCK) >> np.uint64(32 - bits))
         return np.concatenate(places), np.concatenate(names)
 
-    def suffixes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def suffixes(self, repeated: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Places with a repeated name within reach, and their 64-bit prefix names."""
         hits = np.zeros(len(self.x) + COVER_MODULUS, bool)
-        at, names = self.names()
+        at, names = self.names(bits)
         if len(repeated) and len(at):
             i = np.minimum(np.searchsorted(repeated, names), len(repeated) - 1)
             hits[at[repeated[i] == names]] = True
@@ -135,9 +135,18 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def group_bounds(docs: DataFrame, group_bytes: int) -> list[int]:
-    """Upper doc_ids of all groups but the last; as many as the text has group_bytes."""
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def bucket_bits(n: int) -> int:
+    """Bits of a name or prefix that tell its bucket, for so many bytes of text."""
+    return max(4, math.ceil(math.log2(max(1, n / BUCKET_BYTES))))
+
+
+def prefix_bytes(bits: int) -> int:
+    """Bytes that hold what a bucket leaves open of a prefix's 64 bits."""
+    return 7 if bits >= 8 else 8
+
+
+def group_bounds(docs: DataFrame, group_bytes: int, n: int) -> list[int]:
+    """Upper doc_ids of all groups but the last; as many as the n bytes of text have group_bytes."""
     k = math.ceil(n / group_bytes)
     if k < 2:
         return []
@@ -191,13 +200,13 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     return docs.select("g", "doc_id", "text").mapInArrow(run, "g int, ids binary, lengths binary, texts binary")
 
 
-def name_rows(group: Group, g: int) -> pa.Table:
+def name_rows(group: Group, g: int, bits: int) -> pa.Table:
     """bucket, g, names: the group's sorted sampled names, each at most twice."""
-    names = np.sort(group.names()[1])
+    names = np.sort(group.names(bits)[1])
     third = np.zeros(len(names), bool)
     third[2:] = names[2:] == names[:-2]
     names = names[~third]
-    at = np.searchsorted(names, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+    at = np.searchsorted(names, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
     full = np.flatnonzero(np.diff(at))
     return pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "data": pa.array([packed(names[at[b] : at[b + 1]], 4) for b in full], pa.binary())})
 
@@ -241,17 +250,17 @@ def repeated_names(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
 
 
-def earlier_groups(rows: DataFrame) -> DataFrame:
+def earlier_groups(rows: DataFrame, bits: int) -> DataFrame:
     """Answers of kind 1: per group and bucket, a bit for each of its sorted prefixes: does an earlier group have it?"""
 
     def answer(bucket: int, gs: list[int], data: list[bytes]) -> pa.RecordBatch:
-        parts = [unpacked(d, 7) for d in data]
+        parts = [unpacked(d, prefix_bytes(bits)) for d in data]
         lengths = [len(p) for p in parts]
         order = np.argsort(np.concatenate(parts), kind="stable")  # parts stand by group, so equal ones do too
         prefix = np.concatenate(parts)[order]
-        bits = np.zeros(len(prefix), bool)
-        bits[order[1:]] = prefix[1:] == prefix[:-1]
-        return answer_rows(1, bucket, [(g, np.packbits(b).tobytes()) for g, b in zip(gs, np.split(bits, np.cumsum(lengths)[:-1]), strict=True)])
+        again = np.zeros(len(prefix), bool)
+        again[order[1:]] = prefix[1:] == prefix[:-1]
+        return answer_rows(1, bucket, [(g, np.packbits(b).tobytes()) for g, b in zip(gs, np.split(again, np.cumsum(lengths)[:-1]), strict=True)])
 
     return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
 
@@ -259,7 +268,8 @@ def earlier_groups(rows: DataFrame) -> DataFrame:
 class Opened:
     """A group's documents in doc_id order, without whole copies of smaller ones."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table):
+    def __init__(self, docs: pa.Table, answers: pa.Table, bits: int):
+        self.bits = bits
         rows: list[tuple[int, bytes]] = []
         for ids, lengths, texts in zip(*(docs.column(c).to_pylist() for c in ("ids", "lengths", "texts")), strict=True):
             whole, at = zstandard.ZstdDecompressor().decompress(texts), 0
@@ -278,21 +288,23 @@ class Opened:
     def find(self) -> Opened:
         """The candidate suffixes, made alike in both later steps."""
         repeated = [unpacked(d, 4) | np.uint64(b << 32) for k, b, d in self.answers if k == 0]
-        self.places, prefixes = self.group.suffixes(np.concatenate(repeated) if repeated else np.zeros(0, np.uint64))
+        self.places, prefixes = self.group.suffixes(np.concatenate(repeated) if repeated else np.zeros(0, np.uint64), self.bits)
         self.prefixes, self.first, self.inverse = np.unique(prefixes, return_index=True, return_inverse=True)
         return self
 
     def prefix_rows(self) -> list[tuple[int, bytes]]:
         """(bucket, sorted prefixes) of the group, each once."""
-        bucket = (self.prefixes >> np.uint64(56)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-        return [(b, packed(self.prefixes[at[b] : at[b + 1]], 7)) for b in range(BUCKETS) if at[b + 1] > at[b]]
+        at = self.bucket_edges()
+        return [(b, packed(self.prefixes[at[b] : at[b + 1]], prefix_bytes(self.bits))) for b in np.flatnonzero(np.diff(at)).tolist()]
+
+    def bucket_edges(self) -> np.ndarray:
+        """Where the buckets of the sorted prefixes start."""
+        return np.searchsorted((self.prefixes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1))
 
     def removed(self) -> np.ndarray:
         """Per byte of the group, whether it goes."""
         rank = np.cumsum([0] + [int(a != b) for a, b in zip(self.ids, self.ids[1:], strict=False)])
-        bucket = (self.prefixes >> np.uint64(56)).astype(np.int64)
-        at = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        at = self.bucket_edges()
         earlier = np.zeros(len(self.prefixes), bool)
         for k, b, d in self.answers:
             if k == 1:
@@ -309,22 +321,23 @@ class Opened:
 def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end of the bytes that go), kept_sha256, kept (with keep_text: the bytes that stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = group_bounds(docs, group_bytes)
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds, bits = group_bounds(docs, group_bytes, n), bucket_bits(n)
     docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(group_of(bounds)).cast("int"))
     copies = save(copies_of_smaller(docs), "whole-copies")
     grouped = packed_documents(docs).groupBy("g")
 
     def names(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        o = Opened(docs, answers)
-        return name_rows(o.group, o.g)
+        o = Opened(docs, answers, bits)
+        return name_rows(o.group, o.g, bits)
 
     def prefixes(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        o = Opened(docs, answers).find()
+        o = Opened(docs, answers, bits).find()
         rows = o.prefix_rows()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([o.g] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     def spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        o = Opened(docs, answers).find()
+        o = Opened(docs, answers, bits).find()
         gone, starts = o.removed(), o.group.starts
         rows = {name: [] for name in SPANS.names}
 
@@ -343,24 +356,14 @@ def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: boo
 
     rows = "bucket int, g int, data binary"
     repeated = save(repeated_names(grouped.cogroup(copies.groupBy("g")).applyInArrow(names, rows)), "repeated-names")
-    release(docs.sparkSession)
     answers = copies.unionByName(repeated)
-    earlier = save(earlier_groups(grouped.cogroup(answers.groupBy("g")).applyInArrow(prefixes, rows)), "earlier-groups")
-    release(docs.sparkSession)
+    earlier = save(earlier_groups(grouped.cogroup(answers.groupBy("g")).applyInArrow(prefixes, rows), bits), "earlier-groups")
     return grouped.cogroup(answers.unionByName(earlier).groupBy("g")).applyInArrow(spans, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of what has been saved."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

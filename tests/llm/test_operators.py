@@ -143,7 +143,7 @@ def test_exact_dedup(spark, given, rows, no_docs, docs):
 
 def test_filters_merge_without_loss():
     a, b = np.array([5, 5, 7], np.uint64), np.array([5, 9], np.uint64)
-    parts = [exact_dedup.filter_blocks(x << np.uint64(50), None).to_pydict() for x in (a, b)]
+    parts = [exact_dedup.filter_blocks(x << np.uint64(50), 10).to_pydict() for x in (a, b)]
     got = exact_dedup.merge([(np.frombuffer(r, np.uint64), np.frombuffer(c, np.uint64)) for p in parts for r, c in zip(p["remainders"], p["counts"], strict=True)])
     assert dict(zip((got[0] >> np.uint64(50)).tolist(), got[1].tolist(), strict=True)) == {5: 3, 7: 1, 9: 1}
 
@@ -400,8 +400,9 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("group", [8 << 20, 3000])
-def test_repeats(spark, given, rows, group):
+@pytest.mark.parametrize("group, bucket", [(8 << 20, 4 << 20), (3000, 4 << 20), (3000, 100)])
+def test_repeats(spark, given, rows, group, bucket, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in collected(repeats.find_repeats(given, group))}
     assert got == removed(rows)
 
