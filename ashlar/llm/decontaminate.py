@@ -1,14 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters and digits. Documents and test items are joined on the hashes of
-shared LEAST_TILE-word seeds (Karp-Rabin). For each pair with a seed, the longest non-overlapping match
-of unmarked words is marked again and again; the share of the item's words under tiles is its coverage,
-which doesn't depend on the tiles' order in the document, so reordered passages are caught.
+Words are lower-cased runs of letters and digits. Documents and test items are joined on the hashes and words of
+shared LEAST_TILE-word seeds (Karp-Rabin); a Bloom filter of the items' seeds, bounded in size, keeps other places
+of the documents out of the join. For each pair with a seed, the longest non-overlapping match of unmarked
+words is marked again and again; the share of the item's words under tiles is its coverage, which doesn't
+depend on the tiles' order in the document, so reordered passages are caught. Neither the documents nor the
+benchmark are held whole anywhere.
 
 Defined cases: null and empty texts, in documents or items, match nothing; items of fewer words than a
-tile are matched whole; repeated rows give a row each; rows without a doc_id are
-told apart by their texts where rows are removed; empty tables give an empty result; other columns
-are ignored.
+tile are matched whole, so that an item of one word covers each text with that word; of matches of equal length
+the one that is first in the item, then in the text, is marked first; texts of any length are taken whole;
+repeated rows of documents or items give a row each; rows without a doc_id are told apart by their texts where
+rows are removed; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pieces
+from .common import documents, pieces, save
 
 LEAST_TILE, LEAST_COVERAGE = 5, 0.5
-#: Characters of test items that go to the tasks at once; a larger benchmark is taken in blocks of this size.
-BLOCK_CHARS = 16_000_000
+#: Bits of the filter of seeds per seed, and at least and at most; past the most it lets more through, which the join sorts out.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+#: Hashes of words that a task keeps at hand.
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, covered long, item_words long, tiles long, longest long, coverage double"
 #: Also the SHA-256 of the text, for rows without a doc_id.
@@ -72,82 +78,118 @@ def tiles(pairs: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
     return out
 
 
+class Hashes(dict):
+    """64-bit hashes of words, a bounded number of them at hand."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return found
+
+
 def windows(ids: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of k ids."""
-    h = np.zeros(len(ids) - k + 1, np.uint64)
-    for i in range(k):
+    h = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+    for i in range(k if len(h) else 0):
         h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : len(ids) - k + 1 + i]
         h ^= h >> np.uint64(31)
     return h
 
 
-class Index:
-    """A block of test items: word ids, and per tile length the sorted seed hashes with their places."""
+def words_of(text: str, hashes: Hashes) -> tuple[list[str], np.ndarray]:
+    words = _WORD.findall(text.lower())
+    return words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.vocabulary: dict[str, int] = {}
-        self.items = []
-        seeds = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _WORD.findall(text.lower())]
-            if not words:
-                continue
-            k = min(least, len(words))
-            for p, h in enumerate(windows(np.array(words, np.uint64), k).tolist()):
-                seeds[k][h].append((len(self.items), p))
-            self.items.append((item, words))
-        self.seeds = {k: (np.array(sorted(s), np.uint64), dict(s)) for k, s in seeds.items()}
-
-    def matches(self, text: str) -> Iterator[tuple]:
-        """item_id, covered, words, tiles, longest of each item that shares a seed with the text."""
-        get = self.vocabulary.get
-        words = _WORD.findall(text.lower())
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        for k, (hashes, places) in self.seeds.items():
-            if len(ids) < k:
-                continue
-            h = windows(ids, k)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            pairs = defaultdict(list)
-            for t in np.flatnonzero(hashes[at] == h).tolist():
-                for i, p in places[int(h[t])]:
-                    if self.items[i][1][p : p + k] == ids[t : t + k].tolist():
-                        pairs[i].append((p, t))
-            for i, found in pairs.items():
-                got = tiles(found, k)
-                yield self.items[i][0], sum(n for *_, n in got), len(self.items[i][1]), len(got), max(n for *_, n in got)
-
-
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size, one after another."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += len(r.text)
-        if size >= BLOCK_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+
+SEEDS = "item long, item_id long, item_words int, k int, p int, h long, seed string"
+
+
+def seeds_of(benchmark: DataFrame, least: int) -> DataFrame:
+    """A row per run of ``least`` words of a test item (of all words, if they are fewer), saved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in pieces(batches):
+            rows = []
+            for item, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
+                words, ids = words_of(text or "", hashes)
+                k = min(least, len(words))
+                rows += [(item, item_id, len(words), k, p, h, " ".join(words[p : p + k])) for p, h in enumerate(windows(ids, k).view(np.int64).tolist() if k else [])]
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["item", "item_id", "item_words", "k", "p", "h", "seed"])
+
+    return save(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, SEEDS), "seeds")
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Words of a Bloom filter with two places per seed, MOST_BITS at most, and the lengths of the seeds."""
+    n, lengths = seeds.agg(F.count("*"), F.collect_set("k")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_SEED * n).bit_length()))
+    spot = seeds.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("x")).select(F.col("x").bitwiseAND(bits - 1).alias("x"))
+    found = spot.groupBy((F.col("x") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out, sorted(lengths)
+
+
+def passing(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of hashes that the filter doesn't rule out."""
+    mask = np.uint64(len(words) * 64 - 1)
+    bit = lambda x: (words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+    at = np.flatnonzero(bit(h & mask))
+    return at[bit((h[at] >> np.uint64(32)) & mask).astype(bool)]
 
 
 def keyed_coverage(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
     """A row per document and test item that share a seed, with text_sha256."""
-    spark, out = docs.sparkSession, None
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in blocks_of(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, least)
-            for batch in pieces(batches):
-                rows = [(d, *m, m[1] / m[2], None if d is not None else hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for m in index.matches(t)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.string())], names=[x.split()[0] for x in KEYED.split(", ")])
-
-        part = given.mapInArrow(run, KEYED)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], KEYED) if out is None else out
+    seeds = seeds_of(benchmark, least)
+    words, lengths = seed_filter(seeds)
+    sent = docs.sparkSession.sparkContext.broadcast(words)  # 8 MB at most
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = Hashes(), sent.value
+        for batch in pieces(batches):
+            rows = []
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                found, ids = words_of(text or "", hashes)
+                key = None if doc is not None or not text else hashlib.sha256(text.encode()).hexdigest()
+                for k in lengths:
+                    h = windows(ids, k)
+                    for t in passing(h, held).tolist():
+                        rows.append((row, doc, key, k, t, int(h[t : t + 1].view(np.int64)[0]), " ".join(found[t : t + k])))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["row", "doc_id", "text_sha256", "k", "t", "h", "seed"])
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, pairs = None, None, []
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64()), pa.array(cols[7], pa.string())], names=[x.split()[0] for x in KEYED.split(", ")])
+
+        def closed() -> tuple:
+            doc, key, item_id, n, k = first
+            got = tiles(pairs, k)
+            covered = sum(m for *_, m in got)
+            return doc, item_id, covered, n, len(got), max(m for *_, m in got), covered / n, key
+
+        for batch in pieces(batches, 4096):
+            rows = []
+            for row, item, p, t, *rest in zip(*(batch.column(c).to_pylist() for c in ("row", "item", "p", "t", "doc_id", "text_sha256", "item_id", "item_words", "k")), strict=True):
+                if (row, item) != now:
+                    if pairs:
+                        rows.append(closed())
+                    now, first, pairs = (row, item), rest, []
+                pairs.append((p, t))
+            yield out(rows)
+        if pairs:
+            yield out([closed()])
+
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = given.mapInArrow(hits, "row long, doc_id long, text_sha256 string, k int, t int, h long, seed string")
+    both = found.join(seeds, ["k", "h", "seed"]).drop("h", "seed")
+    return both.repartition("row", "item").sortWithinPartitions("row", "item", "p", "t").mapInArrow(tiled, KEYED)
 
 
 def coverage(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE) -> DataFrame:

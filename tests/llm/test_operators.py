@@ -382,6 +382,43 @@ def test_decontamination(spark, no_docs):
     assert sorted(r["doc_id"] for r in collected(decontaminate.without_contaminated(docs, items))) == [2, 3, 4, 5]
 
 
+def tiled_by_hand(item, text, least=5):
+    """Greedy tiling from its definition: the longest run of unmarked equal words, first in the item, then in the text."""
+    a, b = (re.findall(r"\w+", (x or "").lower()) for x in (item, text))
+    k = min(least, len(a))
+    free_a, free_b, sizes = [True] * len(a), [True] * len(b), []
+    while k:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and free_a[p + n] and free_b[t + n]:
+                    n += 1
+                best = max(best, (n, -p, -t))
+        n, p, t = best[0], -best[1], -best[2]
+        if n < k:
+            break
+        free_a[p : p + n], free_b[t : t + n] = [False] * n, [False] * n
+        sizes.append(n)
+    return (sum(sizes), len(a), len(sizes), max(sizes)) if sizes else None
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_coverage_is_that_of_tiling_by_hand(spark, monkeypatch, bits):
+    """Few different words, so that seeds repeat; items shorter than a tile; a filter that lets all through; clashing columns."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    rnd = random.Random(8)
+    make = lambda n: " ".join(rnd.choice(["ab", "Cd", "e", "\u00fc", "f5"]) for _ in range(n))
+    items = [(i, make(rnd.choice([1, 3, 8, 12]))) for i in range(8)] + [(8, None), (9, ""), (3, make(7)), (None, make(9))]
+    texts = [(i, make(rnd.randint(0, 30))) for i in range(25)] + [(25, None), (26, ""), (None, make(20)), (4, make(20)), (4, items[3][1] + " x " + items[3][1])]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], "doc_id long, text string, h string, seed string").repartition(3)
+    got = sorted((tuple(r)[:6] for r in decontaminate.coverage(docs, spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, k string")).collect()), key=str)
+    assert got == sorted(((d, i, *tiled) for d, t in texts for i, x in items if (tiled := tiled_by_hand(x, t))), key=str)
+
+
 def test_tiling_marks_the_longest_first():
     assert sorted(decontaminate.tiles([(0, 10), (1, 11), (2, 12), (1, 30), (2, 31)], 2)) == [(0, 10, 4)]
     assert sorted(decontaminate.tiles([(0, 5), (1, 6), (2, 0)], 2)) == [(0, 5, 3)]
