@@ -8,8 +8,9 @@ equal passages give equal chunks wherever they stand. The store has three Parque
   number of ids before it, and the file range it belongs to;
 * ``manifest``: per range of recipes, the Merkle root of its documents' roots.
 
-Defined cases: a null text is empty; an empty text is stored as the end id alone; repeated rows are stored
-each, in doc_id order; a null doc_id sorts first; an empty table makes empty tables; other columns are ignored.
+Defined cases: a null text is empty; an empty text is stored as the end id alone; a text of any length is taken
+whole; repeated rows are stored each, in doc_id order; a null doc_id sorts first; an empty table makes empty
+tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def default_tokenizer() -> str:
 def encoder(path: str, width: int):
     """A function from text to its ids' bytes, by the tokenizers library.
 
-    In a byte-level vocabulary a space that follows a word begins the next one, and so does a lone newline;
+    Vocabularies that aren't byte-level or normalise their input, and texts that hold the content of an added
+    token, are given to the library whole. In a byte-level vocabulary a space that follows a word begins the next one, and so does a lone newline;
     a text without two spaces or newlines in a row is the concatenation of the pieces that these begin, and
     equal pieces are encoded once.
     """
@@ -51,7 +53,9 @@ def encoder(path: str, width: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    if tokenizer.get_vocab_size() > 1 << 8 * width:
+        raise ValueError(f"ids of this vocabulary don't fit in {width} bytes")
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     tokenize = tokenizer.model.tokenize
     pieces: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
@@ -89,11 +93,14 @@ def encoder(path: str, width: int):
             pieces[p] = found
         return found
 
+    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or type(tokenizer.model).__name__ != "BPE":
+        _tokenizers[path, width] = whole
+        return whole
     newline = whole("\n")
 
     def encode(text: str) -> bytes:
         parts = text.replace("\n", " \n").split(" ")
-        if "" in parts or "\n" in parts:
+        if "" in parts or "\n" in parts or any(a in text for a in added):
             return whole(text)
         head = whole(parts[0]) if parts[0][0] != "\n" else learned(parts[0])
         found = list(map(pieces.get, parts[1:]))

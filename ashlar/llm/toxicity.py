@@ -5,9 +5,10 @@ The lexicon is learned: word beginnings that are much more frequent in texts lab
 as it can be without losing texts. A text's features are the weight of its matches outside exception
 phrases, that weight per word, and its length; a logistic model of these gives the score.
 
-Defined cases: null and empty texts have no match and get the score of no match; rows without a label
-are scored all the same; with no labelled row of either kind every score is 0; repeated rows get a row
-each; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have no match and get the score of no match; texts of any length are
+scored whole; rows without a label are scored all the same; with labelled rows of one kind only every score is
+0; labels of other documents only are an error; ties among terms go by the alphabet, those in the sample by
+doc_id; repeated rows get a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, shared_dir
+from .common import documents, pieces, save, shared_dir
 
 #: Bounds of the labelled sample that the lexicon and the model are fitted on: rows of either label.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -87,16 +88,21 @@ def features(text: str, a) -> tuple[float, float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of a bounded sample of rows that may be learned from, the same in every run."""
+    """text, toxic of a bounded sample of the given documents that may be learned from, the same in every run, saved."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    # of those labels only whose documents are here, so that a shard or filtered corpus has its own sample
+    usable = usable.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     parts = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = parts[0].unionByName(parts[1])  # MOST_TOXIC + MOST_CLEAN rows at most
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return save(found, "labelled")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit the lexicon and the logistic model on the labelled sample."""
     sample = labelled(docs, labels)
+    if sample.isEmpty() and not docs.isEmpty() and not labels.isEmpty():
+        raise ValueError("no label is of a document that may be learned from")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(), Counter()]

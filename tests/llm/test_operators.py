@@ -61,6 +61,17 @@ def test_damaged_chunk_is_noticed(spark, docs):
     assert not any(r["verified"] for r in collected(token_store.digests(spark, path)))
 
 
+def test_added_tokens_and_other_vocabularies(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.default_tokenizer())
+    encode = token_store.encoder(token_store.default_tokenizer(), 2)
+    for text in ("one <|endoftext|> two", "<|endoftext|>", "a <|endoftext|", "x" * 50_000 + " y"):
+        assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        token_store.encoder(token_store.default_tokenizer(), 1)
+
+
 def changed(spark, path, table, change):
     """Write a store's table again with a change."""
     spark.read.parquet(f"{path}/{table}").transform(change).checkpoint().write.mode("overwrite").parquet(f"{path}/{table}")
@@ -255,6 +266,19 @@ def test_toxicity(spark, docs, no_docs):
     assert toxicity.learn(no_docs, labels.limit(0)).empty
 
 
+def test_labels_are_bounded_after_the_join(spark, monkeypatch):
+    """A shard learns from its own labelled rows, however many labels others have; labels of others alone are an error."""
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 30)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 30)
+    rows = [(i, f"report {i} said {'scumbag worthless' if i % 2 else 'kind words'} things", "x", "y") for i in range(2000, 2100)]
+    shard = spark.createDataFrame(rows + rows[:3] + [(None, "scumbag", None, None)], "doc_id long, text string, toxic string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    kept = [r.doc_id for r in toxicity.without_toxic(shard, labels).collect()]
+    assert sorted(kept) == sorted([i for i, *_ in rows if i % 2 == 0] + [i for i, *_ in rows[:3] if i % 2 == 0])
+    with pytest.raises(ValueError):
+        toxicity.learn(shard, labels.where("doc_id < 2000"))
+
+
 def test_exception_phrase():
     model = toxicity.Model({"trash": 3.0}, [-1.0, 2.0, 1.0, 0.0], False)
     a = toxicity.automaton(model)
