@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark's setting for that.
+#: Spark's settings: rows that go to Python at once, and whether a query's shuffle files go when it has ended.
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 DROPS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ashlar-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if spark.conf.get(ROWS_A_BATCH) == "10000":  # Spark's own; texts are large rows
+        spark.conf.set(ROWS_A_BATCH, "2000")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from .common import documents, pieces, table_path
 
 WINDOW, LEAST, CUT_BITS, MOST = 16, 64, 9, 4096
 END_ID = 2
-#: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 300 MB together).
-CACHE_ENTRIES = 800_000
+#: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 60 MB together).
+CACHE_ENTRIES = 150_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -59,7 +60,7 @@ def encoder(path: str, width: int):
     tokenize = tokenizer.model.tokenize
     pieces: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
-    kind = f"<u{width}"
+    kind, code = f"<u{width}", {2: "H", 4: "I"}[width]
     # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     alphabet = {b: b if b in printable else 256 + sum(x not in printable for x in range(b)) for b in range(256)}
@@ -73,7 +74,7 @@ def encoder(path: str, width: int):
         if p[-1] in punctuation and p[-2:-1].isalpha():
             return simple(p[:-1]) + punctuation[p[-1]]
         if p[p[0] == " " :].isalpha():
-            return np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))], kind).tobytes()
+            return array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))]).tobytes()
         return whole(p)
 
     def learned(p: str) -> bytes:
