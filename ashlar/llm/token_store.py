@@ -29,8 +29,8 @@ from .common import documents, pieces, table_path
 
 WINDOW, LEAST, CUT_BITS, MOST = 16, 64, 9, 4096
 END_ID = 2
-#: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 60 MB together).
-CACHE_ENTRIES = 150_000
+#: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 160 MB together).
+CACHE_ENTRIES = 400_000
 
 _tokenizers: dict[str, tuple] = {}
 
