@@ -7,7 +7,8 @@ in whose share of the cumulative weights the i-th golden-ratio point falls; the
 takes the source's block r modulo its number of blocks.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source is a source of its own,
-last in order; repeated rows count each; an empty table gives an empty result; other columns are ignored.
+last in order; repeated rows count each, and those of one doc_id stand together in the order of their sizes; rows
+without a doc_id are mixed like others, as one document; texts of any length are cut into blocks; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,10 +108,11 @@ def cut(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(sums, ["sid", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # block b holds the words w with floor(w * blocks / source_size) = b
-    block_of = lambda w: F.expr(f"({w} * blocks) div source_size")
+    # block b holds the words w with floor(w * blocks / source_size) = b; the products pass 64 bits from some 17 G words a source on
+    wide = lambda x: f"cast({x} as decimal(38, 0))"
+    block_of = lambda w: F.expr(f"({wide(w)} * blocks) div source_size")
     d = d.withColumn("block", F.explode(F.sequence(block_of("at"), block_of("(at + size - 1)"))))
-    first, end = F.expr("(block * source_size + blocks - 1) div blocks"), F.expr("((block + 1) * source_size + blocks - 1) div blocks")
+    first, end = (F.expr(f"({wide(b)} * source_size + blocks - 1) div blocks") for b in ("block", "block + 1"))
     return d.select("sid", "doc_id", "at", "size", "block", (F.least(end, F.col("at") + F.col("size")) - F.greatest(first, F.col("at"))).alias("words"))
 
 

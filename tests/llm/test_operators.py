@@ -335,6 +335,13 @@ def shingles(text, n=4):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
+def test_blocks_of_a_source_past_64_bits(spark):
+    sized = spark.createDataFrame([(1, "a", 6 * 10**12), (2, "a", 6 * 10**12)], "doc_id long, sized_source string, size long")
+    sources = spark.createDataFrame([(1, "a", 12 * 10**12, 1_600_000)], "sid int, source string, source_size long, blocks long")
+    got = mixing.cut(sized, sources, 11).agg(F.sum("words").alias("words"), F.min("words").alias("least"), F.max("words").alias("most"), F.max("block").alias("last")).first()
+    assert (got.words, got.least, got.most, got.last) == (12 * 10**12, 7_500_000, 7_500_000, 1_599_999)
+
+
 def test_near_dedup(spark, given, rows, no_docs):
     sets = {i: shingles(t) for i, t, *_ in rows}
     root = components(sets)
