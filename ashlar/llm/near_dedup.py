@@ -13,8 +13,9 @@ So no link is lost between classes that share a bucket.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing;
 texts with fewer words than a shingle are one shingle; repeated rows get a row each, and rows of one
-doc_id with different texts count as one document with the first of them as its set; an empty table gives
-an empty result; other columns are ignored.
+doc_id with different texts count as one document with the first of them as its set; rows without a doc_id
+have the component of equal sets that have one, or none, and stay in the latter case only; texts and words of any
+length are taken whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -326,7 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) by alternating large-star and small-star rounds."""
     edges = edges.select("a", "b").where("a < b").distinct()
     state = None
-    for _ in range(60):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         edges = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
@@ -334,7 +335,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = edges.groupBy("b").agg(F.min("a").alias("m"))
         edges = edges.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct().checkpoint()
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == state:
+        if new == state:  # a round without a change: each node points at its smallest
             break
         state = new
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
