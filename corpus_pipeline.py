@@ -13,27 +13,27 @@ from ashlar.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon's model doesn't reject."""
+    """Documents that the lexicon's model doesn't reject; a text that is null or empty has no match and stays."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
+    """One document of each group of near copies: the smallest doc_id. Rows without words, and repeated rows of that doc_id, all stay."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Rows without a doc_id are judged by their texts."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix by source takes them."""
+    """Documents as often as the mix by source takes them; those without words stay once. A null source is a source."""
     return mixed_documents(docs)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of all documents in a content-addressed store; per document what is read back from it."""
+    """Ids of all documents in a content-addressed store; per document, in repeated rows too, what is read back from it."""
     path = table_path(spark, "pipeline-store")
     write_store(docs, path)
     return digests(spark, path)
