@@ -138,16 +138,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def chosen_terms(found: dict[str, tuple[int, float]]) -> list[tuple[str, float]]:
     """Of word beginnings, the longest with nearly the same texts, without those that a shorter chosen one covers."""
-    longest = {}
-    for term, (pos, odds) in found.items():
-        if not any(p >= 0.97 * pos for t, (p, _) in found.items() if len(t) == len(term) + 1 and t.startswith(term)):
-            longest[term] = (pos, odds)
+    longer: dict[str, int] = {}  # of the beginnings one letter longer, the most texts
+    for term, (pos, _) in found.items():
+        longer[term[:-1]] = max(pos, longer.get(term[:-1], 0))
+    longest = {term: (pos, odds) for term, (pos, odds) in found.items() if longer.get(term, 0) < 0.97 * pos}
     best = sorted(longest, key=lambda t: (-longest[t][1] * longest[t][0] ** 0.5, t))
-    kept: list[str] = []
+    kept: set[str] = set()
     for term in sorted(best, key=lambda t: (len(t), t)):
-        if not any(term.startswith(k) and longest[k][1] >= longest[term][1] - 1 for k in kept):
-            kept.append(term)
-    return [(t, longest[t][1]) for t in best if t in set(kept)][:MOST_TERMS]
+        shorter = (term[:n] for n in range(1, len(term)))
+        if not any(k in kept and longest[k][1] >= longest[term][1] - 1 for k in shorter):
+            kept.add(term)
+    return [(t, longest[t][1]) for t in best if t in kept][:MOST_TERMS]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
