@@ -91,8 +91,7 @@ def aligned(factor: DataFrame, returns: DataFrame, periods: int = 1, dropna: boo
 def winsorized(df: DataFrame, lower: float = 0.01, upper: float = 0.99, by_date: bool = True, column: str = "factor_value") -> DataFrame:
     w = Window.partitionBy("timestamp") if by_date else Window.partitionBy(F.lit(1))
     if not by_date:  # one row of bounds rather than one window over everything
-        low, high = df.agg(F.percentile(column, lower), F.percentile(column, upper)).first()
-        low, high = F.lit(low), F.lit(high)
+        low, high = map(F.lit, overall_percentiles(df, column, (lower, upper)))
     else:
         low, high = F.percentile(column, lower).over(w), F.percentile(column, upper).over(w)
     x = F.col(column)
@@ -120,6 +119,40 @@ def average_rank(x: Column, *part: str) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*part, x.isNull(), x)) - 1) / 2.0)
 
 
+def ranked_values(df: DataFrame, column: str) -> DataFrame:
+    """x, n, before: each known value, its rows, and the rows with smaller ones.
+
+    Rows are counted in two levels, by ranges of values and in each range, so that no task has all of them. There are
+    as many ranges as shuffle partitions, by approximate quantiles of the distinct values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = counts.agg(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    step = math.isqrt(len(bounds)) or 1
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<double>")
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("x")))
+    counts = counts.withColumn("coarse", below(array(bounds[step - 1 :: step])) * step)
+    counts = counts.withColumn("range", F.col("coarse") + below(F.slice(array(bounds), F.col("coarse") + 1, step)))
+    sums = counts.groupBy("range").agg(F.sum("n").alias("n"))
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("range", up_to(Window.orderBy("range")).alias("base"))  # one row a range
+    return counts.join(sums, "range").select("x", "n", (F.col("base") + up_to(Window.partitionBy("range").orderBy("x"))).alias("before"))
+
+
+def overall_percentiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Interpolated percentiles over all rows; None without known values."""
+    known = df.where(F.col(column).isNotNull()).count()
+    if not known:
+        return [None] * len(shares)
+    places = [p * (known - 1) for p in shares]
+    wanted = sorted({f(p) for p in places for f in (math.floor, math.ceil)})
+    holds = [F.lit(i).between(F.col("before"), F.col("before") + F.col("n") - 1) for i in wanted]
+    rows = ranked_values(df, column).where(reduce(lambda a, b: a | b, holds)).collect()  # two rows a share at most
+    at = {i: float(r.x) for r in rows for i in wanted if r.before <= i < r.before + r.n}
+    low, high = [at[math.floor(p)] for p in places], [at[math.ceil(p)] for p in places]
+    return [a if a == b else a + (p - math.floor(p)) * (b - a) for p, a, b in zip(places, low, high, strict=True)]
+
+
 def standardized(df: DataFrame, method: str = "zscore", column: str = "factor_value") -> DataFrame:
     """Per date: z-score (no deviation: unchanged), min-max (constant: 0.5), or rank over all rows."""
     w, x = Window.partitionBy("timestamp"), F.col(column)
@@ -324,8 +357,10 @@ def factor_correlation(wide: DataFrame, names: list[str], method: str = "pearson
     """(a, b, corr) of every pair over the rows where all factors are known."""
     d = wide.dropna(subset=names)
     if method == "spearman":
-        # ranks of one factor are one sort of all its values
-        d = reduce(lambda df, c: df.withColumn(c, average_rank(F.col(c))), names, d.select(*names))
+        given = d = d.select(*names)
+        for c in names:
+            ranks = ranked_values(given, c).select(F.col("x").alias(f"{c}|x"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"{c}|rank"))
+            d = d.join(ranks, F.col(c) == F.col(f"`{c}|x`")).withColumn(c, F.col(f"`{c}|rank`")).drop(f"{c}|x", f"{c}|rank")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     one = d.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
     flat = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("p"))
