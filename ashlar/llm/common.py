@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -65,12 +65,12 @@ def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(DROPS) if was is None else spark.conf.set(DROPS, was)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and outlives lost executors."""
+def save(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write a table to the shared folder, in a folder per value of some columns if told, and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
     with shuffle_files_dropped(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

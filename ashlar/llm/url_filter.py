@@ -3,7 +3,7 @@
 A cascade gives exact membership over a known key universe: level 1 encodes the listed keys, level 2 the
 unlisted keys that pass level 1, level 3 the listed keys that pass level 2, and so on until nothing passes
 wrongly. Each level is one row with an array of 64-bit words, read as a scalar subquery, so that judging a
-key takes no join.
+key takes no join. Filters have a size at most; beyond it there is a cascade per shard of the keys.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, and is judged as the empty
 key; repeated rows get a row each; an empty list blocks nothing; an empty table gives an empty result;
@@ -12,18 +12,21 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, save
+from .common import LOWER, UPPER, save, table_path
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the url's path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Share of wrong keys that a level lets pass, and its number of hash functions.
-PASS, HASHES = 1 / 16, 4
-#: Words of a level's filter at most (64 MB); a longer list is joined instead.
+#: Hash functions of a level at least; a level lets 2**-HASHES of the wrong keys pass.
+HASHES = 4
+#: Words of a filter at most (64 MB); the keys of a longer list are dealt into shards with a cascade each.
 MOST_WORDS = 8_000_000
 
 
@@ -40,67 +43,110 @@ def fitting(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*cases)
 
 
-def places(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits)) for j in range(HASHES)]
+def places(key: Column, level: int, bits: int, hashes: int = HASHES) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits)) for j in range(hashes)]
 
 
-def bloom(keys: DataFrame, level: int, n: int) -> tuple[DataFrame, int]:
-    """A one-row table with the filter's words, and its number of bits."""
-    words = max(1, math.ceil(n * math.log2(1 / PASS) / math.log(2) / 64))
-    spot = keys.select(F.explode(F.array(*places(F.col("key"), level, words * 64))).alias("p"))
+def words_for(n: int, hashes: int) -> int:
+    """64-bit words of a filter that holds n keys with this number of hash functions."""
+    return max(1, math.ceil(n * hashes / math.log(2) / 64))
+
+
+def bloom(keys: DataFrame, level: int, n: int, hashes: int) -> DataFrame:
+    """A one-row table with the words of the keys' filter."""
+    words = words_for(n, hashes)
+    spot = keys.select(F.explode(F.array(*places(F.col("key"), level, words * 64, hashes))).alias("p"))
     parts = spot.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
     every = keys.sparkSession.range(words).withColumnRenamed("id", "w").join(parts, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("x"))
-    return save(every.select(F.transform("x", lambda s: s["bits"]).alias("words")), f"bloom-{level}"), words * 64
+    return save(every.select(F.transform("x", lambda s: s["bits"]).alias("words")), f"bloom-{level}")
+
+
+class Level(NamedTuple):
+    """One filter of a cascade."""
+
+    table: DataFrame
+    number: int
+    bits: int
+    hashes: int
+
+    def passes(self, key: Column) -> Column:
+        """Whether all of the key's bits are set."""
+        words = self.table.select("words").scalar()
+        tests = [F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in places(key, self.number, self.bits, self.hashes)]
+        return functools.reduce(operator.and_, tests)
 
 
-def passes(key: Column, table: DataFrame, level: int, bits: int) -> Column:
-    """Whether all of the key's bits are set."""
-    words = table.select("words").scalar()
-    tests = [F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in places(key, level, bits)]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
-    return out
+def levels_of(inside: DataFrame, outside: DataFrame) -> list[Level]:
+    """The cascade's levels for listed and unlisted keys, each once.
+
+    The first level lets no more unlisted keys pass than there are listed ones, however many there are of the
+    former, so that no later level is larger than the first.
+    """
+    levels: list[Level] = []
+    n = inside.count()
+    hashes = first_hashes(n, outside.count())
+    while n:
+        level = Level(bloom(inside, len(levels) + 1, n, hashes), len(levels) + 1, words_for(n, hashes) * 64, hashes)
+        levels.append(level)
+        inside, outside = save(outside.where(level.passes(F.col("key"))), "passed"), inside
+        n, hashes = inside.count(), HASHES
+    return levels
+
+
+def first_hashes(listed: int, unlisted: int) -> int:
+    return max(HASHES, math.ceil(math.log2(max(1, unlisted) / max(1, listed))))
+
+
+def listed_by(levels: list[Level], key: Column) -> Column:
+    found = F.lit(len(levels) % 2 == 1)
+    for level in reversed(levels):
+        found = F.when(~level.passes(key), F.lit(level.number % 2 == 0)).otherwise(found)
+    return found
 
 
 class Cascade:
-    """Exact membership in a list, over a universe of keys."""
+    """Exact membership in a list, over a universe of keys.
+
+    Where a filter would have more than most_words words, keys are dealt into shards by hash, with a cascade
+    each. Rows are then written by shard, and a shard's rows are judged by its own cascade alone.
+    """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
+    def __init__(self, listed: DataFrame, universe: DataFrame, most_words: int = MOST_WORDS):
         """listed(key), universe(key). Keys of the list that aren't in the universe are encoded as well."""
-        self.levels: list[tuple[DataFrame, int]] = []
-        self.joined: DataFrame | None = None
-        listed = save(listed.select("key").where("key IS NOT NULL").distinct(), "listed")
-        n = listed.count()
-        if n * math.log2(1 / PASS) / math.log(2) / 64 > MOST_WORDS:
-            self.joined = listed
-            return
-        inside, outside = listed, save(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"), "unlisted")
-        while n:
-            level = len(self.levels) + 1
-            self.levels.append(bloom(inside, level, n))
-            wrong = save(outside.where(passes(F.col("key"), self.levels[-1][0], level, self.levels[-1][1])), "passed")
-            inside, outside = wrong, inside
-            n = inside.count()
+        inside = save(listed.select("key").where("key IS NOT NULL").distinct(), "listed")
+        outside = save(universe.select("key").where("key IS NOT NULL").distinct().join(inside, "key", "left_anti"), "unlisted")
+        n, m = inside.count(), outside.count()
+        self.shards = math.ceil(words_for(n, first_hashes(n, m)) / most_words)
+        if self.shards == 1:
+            self.parts = [levels_of(inside, outside)]
+        else:
+            inside, outside = self.dealt(inside, "key", "listed-shards"), self.dealt(outside, "key", "unlisted-shards")
+            self.parts = [levels_of(inside.where(f"_shard = {i}"), outside.where(f"_shard = {i}")) for i in range(self.shards)]
+        self.levels = self.parts[0]
+
+    def dealt(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows written by shard of the key; a null key has shard 0. A shard with a very common key takes several tasks."""
+        shard = F.coalesce(F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(self.shards)), F.lit(0)).cast("int")
+        return save(rows.withColumn("_shard", shard).hint("rebalance", "_shard"), name, by=["_shard"])
 
     def judge(self, rows: DataFrame, key: str, name: str) -> DataFrame:
         """rows with a boolean column: is the key listed?"""
-        if self.joined is not None:
-            hit = self.joined.select(F.col("key").alias("_listed"))
-            return rows.join(hit, rows[key] == hit["_listed"], "left").withColumn(name, F.col("_listed").isNotNull()).drop("_listed")
-        n = len(self.levels)
-        found = F.lit(n % 2 == 1)
-        for level in range(n, 0, -1):
-            found = F.when(~passes(F.col(key), self.levels[level - 1][0], level, self.levels[level - 1][1]), F.lit(level % 2 == 0)).otherwise(found)
-        return rows.withColumn(name, found)
+        if self.shards == 1:
+            return rows.withColumn(name, listed_by(self.levels, F.col(key)))
+        path = table_path(rows.sparkSession, "judged")
+        dealt, out = self.dealt(rows, key, "rows-by-shard"), None
+        for i, levels in enumerate(self.parts):
+            out = dealt.where(f"_shard = {i}").drop("_shard").withColumn(name, listed_by(levels, F.col(key)))
+            out.write.mode("append").parquet(path)
+        return rows.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, most_words: int = MOST_WORDS) -> DataFrame:
     """page_id, host, path, rule, verdict: the longest rule's verdict, else block for listed host-and-path keys and allow for others."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("key", F.concat("host", "path")).withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
-    cascade = Cascade(listed, rows.where("fit IS NULL").select("key"))
+    cascade = Cascade(listed, rows.where("fit IS NULL").select("key"), most_words)
     judged = cascade.judge(rows, "key", "is_listed")
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), F.when(F.col("is_listed"), "block").otherwise("allow")).alias("verdict"))
 

@@ -196,6 +196,29 @@ def test_cascade_is_exact(spark):
     assert url_filter.Cascade(listed.limit(0), universe).judge(universe, "key", "x").where("x").count() == 0
 
 
+def test_cascade_in_shards_is_exact(spark):
+    universe = spark.range(3000).selectExpr("cast(id as string) as key")
+    listed = universe.where("cast(key as long) % 7 = 0")
+    c = url_filter.Cascade(listed, universe, most_words=10)
+    assert c.shards > 2 and len(c.parts) == c.shards
+    # a very common key, repeated rows and a null key
+    rows = universe.unionByName(spark.range(2000).selectExpr("'7' as key")).unionByName(spark.sql("SELECT cast(null as string) AS key"))
+    judged = c.judge(rows, "key", "x")
+    assert judged.columns == ["key", "x"] and judged.count() == 5001
+    assert judged.where("key IS NOT NULL AND (x IS NULL OR x != (cast(key as long) % 7 = 0))").count() == 0
+    pages = universe.selectExpr("cast(key as long) AS page_id", "concat('http://u.net/', key) AS url")
+    keys = listed.selectExpr("concat('u.net/', key) AS key")
+    few, many = (sorted(map(tuple, url_filter.judge_urls(pages, keys, most_words=w).collect())) for w in (10, 1000))
+    assert few == many and len(few) == 3000
+
+
+def test_few_listed_keys_bound_the_later_levels(spark):
+    universe = spark.range(20_000).selectExpr("cast(id as string) as key")
+    c = url_filter.Cascade(universe.where("cast(key as long) < 5"), universe)
+    assert max(level.bits for level in c.levels) == c.levels[0].bits and c.levels[0].hashes == 12
+    assert c.judge(universe, "key", "x").where("x != (cast(key as long) < 5)").count() == 0
+
+
 # 5
 def test_main_text(spark):
     page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>First   par.<p>Second<br>line<script>x()</script></article><div class='comments'><p>I like this very much, more than anything else here.</p></div><footer>f</footer>"
