@@ -21,6 +21,7 @@ length are taken whole; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ MOST_DISTANCE = 24
 HUBS = 4
 #: Bits of a set's parity bitmap.
 PARITY = 2048
-#: Members of a bucket part that is compared at once in the second pass; pairs of a hub checked in one task.
+#: Members of a bucket's size band that are compared at once in the second pass; pairs of a hub checked in one task.
 PART, PAIRS_A_TASK = 2048, 512
 #: Keys with more members than this (estimated from a sample) are first worked on in SALTS parts.
 HOT_KEY, SALTS, SAMPLE = 20_000, 16, 0.01
@@ -248,45 +249,64 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.xxhash64("id"), "id").mapInArrow(run, "kind int, a long, b long, key long, n long, sig binary")
 
 
+def size_band(n, percent: int):
+    """Sets whose sizes allow the similarity are in the same or in neighbouring bands."""
+    return F.floor(F.log(n) / (max(0.01, math.log(100 / percent)) * (1 + 1e-9))).cast("int")
+
+
 def cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of bucket members in different components that sizes and parity bitmaps allow.
 
-    A bucket's members are held in parts; each part is compared with itself and every later part.
+    The members of a bucket of more than PART are dealt into bands by the size of their sets, and a band's into
+    parts; each part is compared with itself, with every later part of its band and with the parts of the next band.
     """
     m = members.select("key", F.col("a").alias("id")).join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")).dropDuplicates(["key", "id"])
-    several = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi AND size > {HUBS + 1}").select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    m = m.join(several, "key").join(classes.select("id", "n", "parity"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a part meets part j in the task (key, i, j) for i <= j
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "parity", "component")
+    several = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi AND size > {HUBS + 1}").select("key", "size")
+    band = F.when(F.col("size") > PART, size_band(F.col("n"), percent)).otherwise(0)
+    m = m.join(several, "key").join(classes.select("id", "n", "parity"), "id").withColumn("band", band)
+    bands = m.groupBy("key", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    after = bands.select("key", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
+    before = bands.select("key", (F.col("band") + 1).alias("band"), F.col("parts").alias("last_parts"))
+    bands = bands.join(after, ["key", "band"], "left").join(before, ["key", "band"], "left")
+    m = m.join(bands, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # the task (key, low, i, high, j) compares part i of the lower band with part j of the same band (i <= j) or the next
+    upto = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    part, band = F.col("part"), F.col("band")
+    own = F.transform(upto("parts"), lambda o: F.struct(band.alias("low"), F.least(part, o).alias("i"), band.alias("high"), F.greatest(part, o).alias("j")))
+    up = F.transform(upto("next_parts"), lambda o: F.struct(band.alias("low"), part.alias("i"), (band + 1).alias("high"), o.alias("j")))
+    down = F.transform(upto("last_parts"), lambda o: F.struct((band - 1).alias("low"), o.alias("i"), band.alias("high"), part.alias("j")))
+    none = F.array().cast("array<struct<low:int,i:int,high:int,j:int>>")
+    m = m.withColumn("task", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))))
+    m = m.select("key", "task.low", "task.i", "task.high", "task.j", "band", "part", "id", "n", "parity", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in pieces(batches):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "id", "n", "parity", "component")), strict=True):
-                if row[:3] != now:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "i", "high", "j", "band", "part", "id", "n", "parity", "component")), strict=True):
+                if row[:5] != now:
                     if len(held) > 1:
                         yield from compared(now, held)
-                    now, held = row[:3], []
-                held.append(row[3:])
+                    now, held = row[:5], []
+                held.append(row[5:])
         if len(held) > 1:
             yield from compared(now, held)
 
     def compared(now: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        part, ids, n, comp = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 4))
-        bits = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+        band, part, ids, n, comp = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2, 3, 5))
+        bits = np.frombuffer(b"".join(h[4] for h in held), np.uint64).reshape(len(held), -1)
         for r in range(len(held) - 1):
             rest = slice(r + 1, None)
             # similar sets differ in at most (100 - percent) / (100 + percent) of both sizes' sum
             ok = (comp[rest] != comp[r]) & (100 * np.minimum(n[rest], n[r]) >= percent * np.maximum(n[rest], n[r]))
-            if now[1] != now[2]:
-                ok &= part[rest] != part[r]
+            if now[1:3] != now[3:]:
+                ok &= (band[rest] != band[r]) | (part[rest] != part[r])
             at = r + 1 + np.flatnonzero(ok)
             at = at[(100 + percent) * np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[at] + n[r])]
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[r])), pa.array(np.maximum(ids[at], ids[r]))], ["a", "b"])
 
-    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "part", "id").mapInArrow(run, "a long, b long").distinct()
+    tasks = ["key", "low", "i", "high", "j"]
+    return m.repartition(*tasks).sortWithinPartitions(*tasks, "band", "part", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

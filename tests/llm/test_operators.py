@@ -392,6 +392,23 @@ def test_chains_of_near_copies(spark, monkeypatch, hot):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
+@pytest.mark.parametrize("part", [16, 2048])
+def test_cross_pairs_by_bands_lose_none(spark, monkeypatch, part):
+    """Every pair of a bucket that sizes allow, and no other, in whatever bands and parts it is dealt."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "PART", part)
+    rnd = random.Random(9)
+    sizes = {(k, i): rnd.choice([rnd.randint(1, 300), 100, 125, 80, 64]) for k in (7, 8) for i in range(k * 1000, k * 1000 + 130)}
+    members = spark.createDataFrame([(k, i) for k, i in sizes] * 2, "key long, a long")
+    classes = spark.createDataFrame([(i, n, bytes(256)) for (_, i), n in sizes.items()], "id long, n long, parity binary")
+    together = {7000, 7001, 7002}
+    labels = spark.createDataFrame([(i, 7000) for i in together], "node long, component long")
+    got = [(r["a"], r["b"]) for r in collected(near_dedup.cross_pairs(members, labels, classes, 80))]
+    want = {(i, j) for (k, i), n in sizes.items() for (h, j), m in sizes.items() if k == h and i < j and not {i, j} <= together and 100 * min(n, m) >= 80 * max(n, m)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_word_hashes_do_not_depend_on_neighbours():
     """Long words and long white space in a portion leave the other texts' sets as they are."""
     text = b"some text of seven words in all"
