@@ -15,7 +15,7 @@ Only equality of 50-byte prefixes matters here, so names needn't be lexicographi
 ends at the first names that are 50 bytes long. Names and prefixes are 64-bit fingerprints that aren't checked
 byte by byte: two different 50-byte strings count as equal with a chance of 2**-64. Sorted arrays move as binary
 columns; the number of buckets follows from the bytes of text, and that of groups as well, whose bounds are
-quantiles of doc_id, so a group is larger where its documents are much longer than others'.
+quantiles of doc_id weighed by length.
 
 Defined cases: null is the empty text; texts under 50 bytes lose nothing; rows of one doc_id count as one
 document and don't remove each other's bytes; a null doc_id counts as larger than all others; an empty
@@ -145,12 +145,19 @@ def prefix_bytes(bits: int) -> int:
     return 7 if bits >= 8 else 8
 
 
-def group_bounds(docs: DataFrame, group_bytes: int, n: int) -> list[int]:
-    """Upper doc_ids of all groups but the last; as many as the n bytes of text have group_bytes."""
+def group_bounds(docs: DataFrame, group_bytes: int, n: int, rows: int) -> list[int]:
+    """Upper doc_ids of all groups but the last; as many as the n bytes of text have group_bytes.
+
+    Quantiles of doc_id, each counted once and once more for every mean length that its text holds: there are at most two
+    such counts a row, so a group has at most twice group_bytes and the texts of one doc_id (bar the quantiles' error, a
+    twentieth of a group).
+    """
     k = math.ceil(n / group_bytes)
     if k < 2:
         return []
-    found = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0]
+    counts = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / (n / rows)).cast("int")
+    weighed = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.sequence(F.lit(0), counts)))
+    found = weighed.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0]
     return sorted(set(found or []))
 
 
@@ -321,8 +328,9 @@ class Opened:
 def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end of the bytes that go), kept_sha256, kept (with keep_text: the bytes that stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bounds, bits = group_bounds(docs, group_bytes, n), bucket_bits(n)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    n = size.bytes or 0
+    bounds, bits = group_bounds(docs, group_bytes, n, size.rows), bucket_bits(n)
     docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(group_of(bounds)).cast("int"))
     copies = save(copies_of_smaller(docs), "whole-copies")
     grouped = packed_documents(docs).groupBy("g")

@@ -523,6 +523,19 @@ def test_repeats_of_one_id_and_nothing(spark, no_docs):
     assert repeats.find_repeats(no_docs).count() == 0
 
 
+def test_groups_are_bounded_by_bytes(spark):
+    """Long documents that stand together don't make a large group."""
+    sizes = {i: 20_000 if 700 <= i < 800 else 20 for i in range(1000)}
+    docs = spark.createDataFrame([(i, "x" * k) for i, k in sizes.items()] + [(None, "y" * 1000)], "doc_id long, text string")
+    n = sum(sizes.values()) + 1000
+    bounds = repeats.group_bounds(docs, 100_000, n, len(sizes) + 1)
+    groups = np.zeros(len(bounds) + 1)
+    for i, k in sizes.items():
+        groups[np.searchsorted(bounds, i)] += k
+    assert len(bounds) > 10 and groups.max() <= 2.05 * 100_000 + 20_000
+    assert repeats.group_bounds(docs.limit(0), 100_000, 0, 0) == []
+
+
 def test_model_of_separable_texts_stays_finite():
     rnd = np.random.default_rng(2)
     y = (np.arange(9000) % 3 == 0).astype(float)
