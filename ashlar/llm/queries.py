@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op9_decontaminate
 from .exact_dedup import op3_exact_dedup
 from .html_text import op5_html_text
+from .merkle_manifest import ORACLE as OP12_ORACLE
+from .merkle_manifest import op12_merkle_manifest
 from .mixing import op7_mix_sources
 from .near_dedup import op8_near_dedup
 from .repeats import op10_repeated_strings
@@ -14,10 +16,11 @@ from .toxicity import op6_toxicity
 from .url_filter import ORACLE as OP4_ORACLE
 from .url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op5_html_text, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op5_html_text, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings, op12_merkle_manifest)}
 
 ORACLES = {
     "op4_url_filter": OP4_ORACLE,
+    "op12_merkle_manifest": OP12_ORACLE,
     "op3_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
