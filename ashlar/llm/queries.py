@@ -9,6 +9,7 @@ from .merkle_manifest import ORACLE as OP12_ORACLE
 from .merkle_manifest import op12_merkle_manifest
 from .mixing import op7_mix_sources
 from .near_dedup import op8_near_dedup
+from .recurrent_lm import op11_recurrent_lm
 from .repeats import op10_repeated_strings
 from .secrets import op2_secret_scan
 from .token_store import op1_token_store
@@ -18,7 +19,7 @@ from .url_filter import op4_url_filter
 from .wavelet_search import ORACLE as OP13_ORACLE
 from .wavelet_search import op13_ranked_search
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op5_html_text, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings, op12_merkle_manifest, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_secret_scan, op3_exact_dedup, op4_url_filter, op5_html_text, op6_toxicity, op7_mix_sources, op8_near_dedup, op9_decontaminate, op10_repeated_strings, op11_recurrent_lm, op12_merkle_manifest, op13_ranked_search)}
 
 ORACLES = {
     "op4_url_filter": OP4_ORACLE,

@@ -9,7 +9,7 @@ is the one type besides, in its class, as it is in the base model among all.
 * Counts are of all learning texts: tasks count words, Spark adds up. Words beyond the COMMON most frequent (a bounded dictionary in the tasks) get their
   counts by a join on the word, and come back as a sum per document.
 * Learning goes over all learning texts once, in ROUNDS jobs: each task goes on from the last round's parameters over its part, by
-  backpropagation through windows of WINDOW tokens; the parameters of all tasks are averaged by their tokens, block by block, in Spark. What the driver holds is
+  backpropagation through windows of tokens; the parameters of all tasks are averaged by their tokens, block by block, in Spark. What the driver holds is
   one set of parameters, whose size doesn't depend on the corpus.
 * Documents stand one after another in lanes, side by side. The state goes on from window to window and begins anew with each
   document, in learning and in scoring, so that a score is of the complete document and of nothing else.
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import documents, pieces, save, shared_dir, shuffle_files_dropped
 
 #: Words that are symbols of their own; words whose counts the tasks hold, and their longest in bytes.
-HEAD, COMMON, LONGEST = 4096, 1 << 16, 48
+HEAD, COMMON, LONGEST = 2048, 1 << 16, 48
 #: Classes of words, and bytes at a word's end that tell them. The end is a class besides.
-CLASSES, ENDING = 64, 3
-#: Units of the state, tokens that gradients go back, rounds, lanes at most, and tokens that a task is given in a round at least.
-WIDTH, WINDOW, ROUNDS, LANES, PART = 20, 16, 6, 384, 1 << 18
+CLASSES, ENDING = 32, 3
+#: Units of the state, rounds, lanes at most, and tokens that a task is given in a round at least.
+WIDTH, ROUNDS, LANES, PART = 16, 4, 512, 1 << 21
+#: Tokens of a lane in a window, that is how far gradients go back: WINDOW, or more where lanes are few, up to FULL tokens of all and LONG_WINDOW.
+WINDOW, FULL, LONG_WINDOW = 16, 2048, 128
 RATE, CLIP, BLOCK = 0.08, 1.0, 1 << 14
 #: Logits end here, so that their exponentials stay finite.
 MOST_LOGIT = np.float32(60)
@@ -333,12 +335,15 @@ class Lanes:
 
     def windows(self, end: int) -> Iterator[tuple[np.ndarray, ...]]:
         """Places, whether they are in their lane, what is given, where documents begin, what is to be told: steps x lanes that go on."""
-        for t in range(0, int(self.length[0]), WINDOW):
+        t = 0
+        while t < self.length[0]:
             n = int((self.length > t).sum())
-            inside = np.arange(t, min(t + WINDOW, int(self.length[0])))[:, None] < self.length[None, :n]
+            steps = min(max(WINDOW, FULL // n), LONG_WINDOW)
+            inside = np.arange(t, min(t + steps, int(self.length[0])))[:, None] < self.length[None, :n]
             place = np.where(inside, self.at[:n] + np.arange(t, t + len(inside))[:, None], self.at[:n])
             begins = self.begins[place]
             yield place, inside, np.where(begins, end, self.flat[place - 1]), begins, self.flat[place]
+            t += steps
 
 
 def learn_from(net: Network, docs: list[np.ndarray], lanes: int) -> None:
