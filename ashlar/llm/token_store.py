@@ -16,6 +16,7 @@ tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ END_ID = 2
 #: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 160 MB together).
 CACHE_ENTRIES = 400_000
 
+#: White space besides the space and the newline, as Python and Unicode have it, and a run of any white space with one of these.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[ \n{OTHER_SPACE}][{OTHER_SPACE}]|[{OTHER_SPACE}][ \n]")
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -103,6 +108,8 @@ def encoder(path: str, width: int):
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts or "\n" in parts or any(a in text for a in added):
             return whole(text)
+        if any(c in text for c in OTHER_SPACE) and _RUN.search(text):
+            return whole(text)
         head = whole(parts[0]) if parts[0][0] != "\n" else learned(parts[0])
         found = list(map(pieces.get, parts[1:]))
         if None in found:
@@ -272,14 +279,15 @@ def places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, ids: every document put together again from its chunks."""
+    """doc_id, start, ids: every document put together again from its chunks; a chunk that isn't there is an error."""
     kind = f"<u{width}"
 
     @F.pandas_udf("array<int>")
     def ids(parts):
         return parts.map(lambda x: np.frombuffer(b"".join(x), kind).astype(np.int32))
 
-    got = places(spark, path).join(chunks(spark, path), "hash").groupBy("doc_id", "row", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
+    payload = F.coalesce("payload", F.raise_error(F.concat(F.lit("the store lacks the chunk "), F.hex("hash"))).cast("binary")).alias("payload")
+    got = places(spark, path).join(chunks(spark, path), "hash", "left").groupBy("doc_id", "row", "start").agg(F.array_sort(F.collect_list(F.struct("seq", payload))).alias("parts"))
     return got.select("doc_id", "start", ids(F.transform("parts", lambda x: x["payload"])).alias("ids"))
 
 
@@ -315,7 +323,8 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     A document's CRC-32 is put together from its chunks' CRCs, so that chunks are read once each and
     their payloads don't move. verified: every chunk is what its name says, the chunks'
-    names have the recipe's Merkle root, and its range's recipes have that of the manifest.
+    names have the recipe's Merkle root, and its range's recipes have that of the manifest. A document keeps its
+    row and its length by the recipe where chunks are lost, and isn't verified.
     """
 
     def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +341,8 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "row", "start", "length", "ok")), pa.array(crc.astype(np.int64))], ["doc_id", "row", "start", "length", "ok", "crc"])
 
     held = chunks(spark, path).mapInArrow(of_chunks, "hash binary, crc long, held int, ok boolean")
-    got = places(spark, path).join(held, "hash").select("doc_id", "row", "start", "length", "after", "crc", (F.col("sound") & F.col("ok") & (F.col("held") == F.col("length"))).alias("ok"))
+    ok = F.coalesce(F.col("sound") & F.col("ok") & (F.col("held") == F.col("length")), F.lit(False)).alias("ok")
+    got = places(spark, path).join(held, "hash", "left").select("doc_id", "row", "start", "length", "after", F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), ok)
     got = got.mapInArrow(carried, "doc_id long, row long, start long, length int, ok boolean, crc long")
     return got.groupBy("doc_id", "row", "start").agg(F.sum("length").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"), F.count("*").alias("n_chunks"), F.every("ok").alias("verified")).drop("row")
 
