@@ -18,8 +18,8 @@ columns; the number of buckets follows from the bytes of text, and that of group
 quantiles of doc_id weighed by length.
 
 Defined cases: null is the empty text; texts under 50 bytes lose nothing; rows of one doc_id count as one
-document and don't remove each other's bytes; a null doc_id counts as larger than all others; an empty
-table gives an empty result; other columns are ignored.
+document, whatever their texts, and don't remove each other's bytes; rows without a doc_id count as one document
+behind all others, dealt into as many groups as their bytes ask for; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,15 +178,17 @@ def group_of(bounds: list[int]):
 
 
 def copies_of_smaller(docs: DataFrame) -> DataFrame:
-    """g, kind 2, bucket 0, data (doc_ids): texts that a smaller doc_id has whole."""
-    whole = docs.select("g", "doc_id", F.sha2("text", 256).alias("sha")).where("doc_id IS NOT NULL AND sha IS NOT NULL")
-    first = whole.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = whole.join(first, "sha").where("doc_id > first").select("g", "doc_id").distinct()
+    """g, kind 2, bucket 0, data (doc_id and SHA-256 of each, 8 and 32 bytes): texts that a smaller doc_id has whole."""
+    whole = docs.select("g", F.coalesce("doc_id", F.lit(LARGEST)).alias("id"), F.unhex(F.sha2("text", 256)).alias("sha")).where("sha IS NOT NULL")
+    first = whole.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    copies = whole.join(first, "sha").where("id > first").select("g", "id", "sha").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, ids = batch.column("g").to_numpy(), batch.column("doc_id").to_numpy()
-            yield answer_rows(2, 0, [(int(k), ids[g == k].tobytes()) for k in np.unique(g)])
+            held: dict[int, list[bytes]] = {}
+            for g, i, sha in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "sha")), strict=True):
+                held.setdefault(g, []).append(i.to_bytes(8, "little", signed=True) + sha)
+            yield answer_rows(2, 0, [(g, b"".join(rows)) for g, rows in held.items()])
 
     return copies.mapInArrow(run, ANSWER)
 
@@ -257,16 +259,21 @@ def repeated_names(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
 
 
-def earlier_groups(rows: DataFrame, bits: int) -> DataFrame:
-    """Answers of kind 1: per group and bucket, a bit for each of its sorted prefixes: does an earlier group have it?"""
+def earlier_groups(rows: DataFrame, bits: int, last: int) -> DataFrame:
+    """Answers of kind 1: per group and bucket, a bit for each of its sorted prefixes: does an earlier group have it?
+
+    Groups from ``last`` on are parts of one document, none of them earlier than another.
+    """
 
     def answer(bucket: int, gs: list[int], data: list[bytes]) -> pa.RecordBatch:
         parts = [unpacked(d, prefix_bytes(bits)) for d in data]
         lengths = [len(p) for p in parts]
         order = np.argsort(np.concatenate(parts), kind="stable")  # parts stand by group, so equal ones do too
         prefix = np.concatenate(parts)[order]
+        of = np.repeat(np.minimum(gs, last), lengths)[order]
+        new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
         again = np.zeros(len(prefix), bool)
-        again[order[1:]] = prefix[1:] == prefix[:-1]
+        again[order] = of > of[np.maximum.accumulate(np.where(new, np.arange(len(prefix)), 0))]
         return answer_rows(1, bucket, [(g, np.packbits(b).tobytes()) for g, b in zip(gs, np.split(again, np.cumsum(lengths)[:-1]), strict=True)])
 
     return rows.repartition("bucket").sortWithinPartitions("bucket", "g").mapInArrow(lambda it: by_bucket(it, answer), ANSWER)
@@ -286,9 +293,13 @@ class Opened:
         rows.sort()
         self.g = docs.column("g")[0].as_py() if docs.num_rows else 0
         self.answers = sorted(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True), key=lambda r: r[:2])
-        copies = {i for k, _, d in self.answers if k == 2 for i in np.frombuffer(d, np.int64).tolist()}
-        self.copies = [r for r in rows if r[0] in copies]
-        rows = [r for r in rows if r[0] not in copies]
+        copies: dict[int, set[bytes]] = {}
+        for k, _, d in self.answers:
+            for at in range(0, len(d), 40) if k == 2 else ():
+                copies.setdefault(int.from_bytes(d[at : at + 8], "little", signed=True), set()).add(d[at + 8 : at + 40])
+        is_copy = [i in copies and hashlib.sha256(t).digest() in copies[i] for i, t in rows]
+        self.copies = [r for r, c in zip(rows, is_copy, strict=True) if c]
+        rows = [r for r, c in zip(rows, is_copy, strict=True) if not c]
         self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
         self.group = Group(self.texts)
 
@@ -328,10 +339,12 @@ class Opened:
 def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end of the bytes that go), kept_sha256, kept (with keep_text: the bytes that stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("last"), F.count("*").alias("rows")).first()
     n = size.bytes or 0
     bounds, bits = group_bounds(docs, group_bytes, n, size.rows), bucket_bits(n)
-    docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(group_of(bounds)).cast("int"))
+    last = len(bounds) + 1  # the rows without a doc_id, from this group on
+    part = F.lit(last) + F.pmod(F.xxhash64("text"), F.lit(max(1, math.ceil((size.last or 0) / group_bytes))))
+    docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), part).otherwise(group_of(bounds)).cast("int"))
     copies = save(copies_of_smaller(docs), "whole-copies")
     grouped = packed_documents(docs).groupBy("g")
 
@@ -365,7 +378,7 @@ def find_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, keep_text: boo
     rows = "bucket int, g int, data binary"
     repeated = save(repeated_names(grouped.cogroup(copies.groupBy("g")).applyInArrow(names, rows)), "repeated-names")
     answers = copies.unionByName(repeated)
-    earlier = save(earlier_groups(grouped.cogroup(answers.groupBy("g")).applyInArrow(prefixes, rows), bits), "earlier-groups")
+    earlier = save(earlier_groups(grouped.cogroup(answers.groupBy("g")).applyInArrow(prefixes, rows), bits, last), "earlier-groups")
     return grouped.cogroup(answers.unionByName(earlier).groupBy("g")).applyInArrow(spans, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 

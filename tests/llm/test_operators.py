@@ -61,6 +61,35 @@ def test_damaged_chunk_is_noticed(spark, docs):
     assert not any(r["verified"] for r in collected(token_store.digests(spark, path)))
 
 
+def test_lost_chunks_are_noticed(spark, docs):
+    """A document that lacks some or all of its chunks keeps its row, isn't verified, and can't be read."""
+    path = table_path(spark, "t")
+    token_store.write_store(docs.where("doc_id < 9"), path)
+    held = {r["doc_id"]: r for r in collected(token_store.digests(spark, path))}
+    lost = token_store.places(spark, path).where("doc_id = 3").select(F.col("hash").alias("key"))
+    spark.read.parquet(f"{path}/parts").join(lost, "key", "left_anti").checkpoint().write.mode("overwrite").partitionBy("kind").parquet(f"{path}/parts")
+    got = {r["doc_id"]: r for r in collected(token_store.digests(spark, path))}
+    assert {i: (r["n_tokens"], r["verified"]) for i, r in got.items()} == {i: (r["n_tokens"], i != 3) for i, r in held.items()}
+    with pytest.raises(Exception, match="lacks the chunk"):
+        token_store.read_store(spark, path).collect()
+
+
+def test_ids_of_texts_with_white_space_of_all_kinds():
+    """Runs that mix spaces, newlines and the rest of Unicode's white space, beside words and signs."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, encode, rnd = Tokenizer.from_file(token_store.default_tokenizer()), token_store.encoder(token_store.default_tokenizer(), 2), random.Random(6)
+    space = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\u200b", "\ufeff", "\u180e"]
+    texts = ["a \xa0 \xa0", "end. \xa0 \xa0 Next", "a\r\nb\r\n", "x\t y", "\u3000 a"]
+    for _ in range(20_000):
+        some = [*rnd.sample(space, 2), " ", " ", "\n", "a", "Wort", "né", "7", ".", "'s", "日"]
+        texts.append("".join(rnd.choices(some, k=rnd.randint(1, 9))))
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_added_tokens_and_other_vocabularies(spark):
     from tokenizers import Tokenizer
 
@@ -497,22 +526,47 @@ def test_tiling_marks_the_longest_first():
 
 # 10
 def removed(rows):
-    first, out = {}, {}
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+    """Sorted (doc_id, bytes, bytes removed, runs, what is left): rows of one doc_id are one document, those without one the last."""
+    order = lambda i: (i is None, i or 0)
+    first, out = {}, []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            s = b[k : k + 50]
+            first[s] = min(first.get(s, order(i)), order(i))
+    for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
-            if first.setdefault(b[k : k + 50], i) < i:
+            if first[b[k : k + 50]] < order(i):
                 gone[k : k + 50] = b"\1" * 50
-        out[i] = (len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1])), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
-    return out
+        out.append((i, len(b), sum(gone), sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1])), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeats_found(docs, group=repeats.GROUP_BYTES):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in collected(repeats.find_repeats(docs, group))), key=str)
 
 
 @pytest.mark.parametrize("group, bucket", [(8 << 20, 4 << 20), (3000, 4 << 20), (3000, 100)])
 def test_repeats(spark, given, rows, group, bucket, monkeypatch):
     monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in collected(repeats.find_repeats(given, group))}
-    assert got == removed(rows)
+    assert repeats_found(given, group) == removed(rows)
+
+
+@pytest.mark.parametrize("group", [8 << 20, 400])
+def test_repeats_where_rows_share_ids(spark, group):
+    """Repeated ids with equal and with different texts, rows without an id, whole copies among them."""
+    import random
+
+    rnd = random.Random(group)
+    make = lambda n: "".join(rnd.choice("abcdefgh ü") for _ in range(n))
+    x, y, parts = make(99), make(89), [make(70) for _ in range(12)]
+    rows = [(1, x), (2, x), (2, y), (3, "xx " + y)]
+    for _ in range(120):
+        i = rnd.choice([None, None, *range(4, 40)])
+        rows.append((i, "".join(rnd.choice([*parts, make(20), x, y]) for _ in range(rnd.randint(0, 4))) if rnd.random() < 0.7 else rnd.choice(parts)))
+    assert repeats_found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group) == removed(rows)
 
 
 def test_repeats_of_one_id_and_nothing(spark, no_docs):
