@@ -16,7 +16,7 @@ a row each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -102,9 +102,19 @@ def blocks(html: str) -> list[Block]:
     """Runs of text between block-level tags, white space made single, with their containers."""
     top = opened("html", "", None)
     stack, out, held, in_link, linked = [top], [], [], False, 0
-    standing = Counter()  # elements of the stack by tag
+    places: dict[str, list[int]] = defaultdict(list)  # of the elements of the stack by tag, in order
     at, end = 0, len(html)
 
+    def close_from(k: int) -> None:
+        """Close the elements of the stack from a place on."""
+        for c in stack[k:]:
+            places[c.tag].pop()
+        del stack[k:]
+
+    def nearest(tags) -> int:
+        """The highest place in the stack with one of some tags."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def flush() -> None:
         nonlocal linked
         if held:
@@ -135,10 +145,8 @@ def blocks(html: str) -> list[Block]:
                 in_link = False
             elif tag in BLOCKS:
                 flush()
-                if standing[tag]:
-                    while stack[-1].tag != tag:
-                        standing[stack.pop().tag] -= 1
-                    standing[stack.pop().tag] -= 1
+                if places.get(tag):
+                    close_from(places[tag][-1])
                     in_link = False
             continue
         if tag in RAW and not m[3].endswith("/"):
@@ -153,19 +161,14 @@ def blocks(html: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             if stack[-1].tag == "p" and len(stack) > 1:
-                standing[stack.pop().tag] -= 1
+                close_from(len(stack) - 1)
             if tag in CLOSES_ITSELF:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSES_ITSELF[tag]:
-                        for c in stack[k:]:
-                            standing[c.tag] -= 1
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BOUNDS:
-                        break
+                k = nearest(CLOSES_ITSELF[tag])
+                if k and k >= nearest(BOUNDS):
+                    close_from(k)
             if tag not in VOID:
+                places[tag].append(len(stack))
                 stack.append(opened(tag, m[3], stack[min(len(stack), MOST_DEPTH) - 1]))
-                standing[tag] += 1
     flush()
     return out
 

@@ -78,9 +78,13 @@ def features(text: str, a) -> tuple[float, float, float]:
         if start and folded[start - 1].isalpha():
             continue
         (hits if weight else excepted).append((start, end, weight))
-    total, last = 0.0, -1
+    total, last, k, covered = 0.0, -1, 0, -1
+    excepted.sort()
     for start, end, weight in sorted(hits, key=lambda h: (h[0], -h[2])):
-        if start == last or any(s <= start and end <= e for s, e, _ in excepted):
+        while k < len(excepted) and excepted[k][0] <= start:
+            covered = max(covered, excepted[k][1])  # the furthest end of the phrases that begin so far
+            k += 1
+        if start == last or end <= covered:
             continue  # one hit a word
         total, last = total + weight, start
     words = text.count(" ") + text.count("\n") + 1

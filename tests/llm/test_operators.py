@@ -279,7 +279,8 @@ def test_wrappers_with_bad_names_keep_the_article():
 @pytest.mark.parametrize("page", [
     "<b" * 500_000, "<div " * 200_000, "</p" * 300_000, "<!" * 500_000, "<a href='" * 100_000, "<script>" + "</script " * 100_000, "<!--" * 200_000, "class " * 100_000,
     "<div>" * 100_000 + "</p>" * 100_000, "<ul><li>" * 50_000, "".join(f"<p>Block number {i} of many." for i in range(100_000)), "".join(f"<p>x<div><a>y {i}</a></div>" for i in range(30_000)),
-], ids=range(12))
+    "<blockquote>" * 30_000 + "<li>word here</li>" * 30_000,
+], ids=range(13))
 def test_long_and_broken_pages_take_linear_time(page):
     began = time.perf_counter()
     html_text.main_text(page)
@@ -331,6 +332,14 @@ def test_labels_are_bounded_after_the_join(spark, monkeypatch):
         toxicity.learn(shard, labels.where("doc_id < 2000"))
 
 
+def test_many_phrases_and_hits_take_linear_time():
+    model = toxicity.Model({"trash": 1.0, "can": 1.0}, [0.0] * 4, False)
+    n = 50_000
+    began = time.perf_counter()
+    x = toxicity.features("trash can " * n + "trash man " * n, toxicity.automaton(model))
+    assert time.perf_counter() - began < 10 and x[0] == pytest.approx(np.log1p(n))
+
+
 def test_exception_phrase():
     model = toxicity.Model({"trash": 3.0}, [-1.0, 2.0, 1.0, 0.0], False)
     a = toxicity.automaton(model)
