@@ -6,8 +6,8 @@ word that was never seen has one too. The output is factored: a softmax over cla
 of a rest symbol their share of the rest's counts, (c + 0.1) / (N + 0.1 * (V + 1)) with the rest's own N and V; an unseen word
 is the one type besides, in its class, as it is in the base model among all.
 
-* Counts are of all learning texts: tasks count words, Spark adds up. Words beyond the COMMON most frequent (a bounded dictionary in the tasks) get their
-  counts by a join on the word, and come back as a sum per document.
+* Counts are of all learning texts: tasks count words, Spark adds up. The tasks hold a dictionary of the words with at least so many occurrences that COMMON words at most
+  have as many; other words get their counts by a join on the word, and come back as a sum per document.
 * Learning goes over all learning texts once, in ROUNDS jobs: each task goes on from the last round's parameters over its part, by
   backpropagation through windows of tokens; the parameters of all tasks are averaged by their tokens, block by block, in Spark. What the driver holds is
   one set of parameters, whose size doesn't depend on the corpus.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, pieces, save, shared_dir, shuffle_files_dropped
 
-#: Words that are symbols of their own; words whose counts the tasks hold, and their longest in bytes.
-HEAD, COMMON, LONGEST = 2048, 1 << 16, 48
+#: Words that are symbols of their own; words whose counts the tasks hold, at most, and their longest in bytes.
+HEAD, COMMON, LONGEST = 2048, 1 << 18, 48
 #: Classes of words, and bytes at a word's end that tell them. The end is a class besides.
 CLASSES, ENDING = 32, 3
 #: Units of the state, rounds, lanes at most, and tokens that a task is given in a round at least.
@@ -113,10 +113,23 @@ class Vocabulary:
         return np.log10(self.rest_n + SMOOTH * (self.rest_v + 1))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The words counted at least as often as a bound that COMMON words at most reach: found from how many words have which
+    count, counts over 4,096 by their leading bits, so that only some thousand numbers come to the driver."""
+    level = "case when c < 4096 then c else c - c % shiftleft(1L, length(bin(c)) - 10) end"
+    least, words = 1 << 62, 0
+    for r in counts.groupBy(F.expr(level).alias("level")).agg(F.count("*").alias("n")).sort(F.desc("level")).collect():
+        words += r.n
+        if words > COMMON:
+            break
+        least = r.level
+    return counts.where(F.col("c") >= least)
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The dictionary of the tasks and the sums over all words, from the counts."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    top = counts.where(f"octet_length(word) <= {LONGEST}").orderBy(F.desc("c"), "word").limit(COMMON).collect()
+    top = frequent(counts.where(f"octet_length(word) <= {LONGEST}")).orderBy(F.desc("c"), "word").collect()
     common, held = [r.word.encode() for r in top], np.array([r.c for r in top], np.int64)
     head = set(common[:HEAD])
 

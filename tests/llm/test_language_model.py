@@ -33,7 +33,7 @@ def given(request):
     return request.getfixturevalue(request.param)
 
 
-@pytest.mark.parametrize(("common", "head"), [(1 << 16, 2048), (40, 7)])
+@pytest.mark.parametrize(("common", "head"), [(1 << 16, 2048), (40, 7), (3, 7)])
 def test_counts_and_base(given, rows, monkeypatch, common, head):
     """With most words in the dictionary of the tasks, and with most of them joined."""
     monkeypatch.setattr(lm, "COMMON", common)
