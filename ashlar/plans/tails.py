@@ -62,8 +62,11 @@ class Program:
         self.fields = sorted({params[0] for op, params, _ in self.steps if op == "field"})
         self.last = last
 
-    def run(self, columns: dict[str, np.ndarray], there: np.ndarray) -> dict[str, np.ndarray]:
-        """Values (codes, last) of all expressions. there: which cells are rows of a code; they end at the last column."""
+    def run(self, columns: dict[str, np.ndarray], there: np.ndarray, seen=None) -> dict[str, np.ndarray]:
+        """Values (codes, last) of all expressions. there: which cells are rows of a code; they end at the last column.
+
+        seen(k, value, operands) is told the value of each node, in the rows that the nodes above it read.
+        """
         values: list = [None] * len(self.steps)
         keep, width = set(self.roots.values()), there.shape[1]
         free: dict[int, list[int]] = {}
@@ -81,6 +84,8 @@ class Program:
                     values[k] = SCALARS[op](*given)
                 else:
                     values[k] = FRAMES[op]([values[a] for a in args], params, rows, there)
+                if seen is not None:
+                    seen(k, values[k], [values[a] for a in args])
                 for a in free.get(k, ()):
                     if a not in keep:
                         values[a] = None
@@ -223,9 +228,13 @@ def list_ewm(given: list, params: tuple, rows: int, there: np.ndarray) -> np.nda
 
 
 def exponential(given: list, params: tuple, rows: int, there: np.ndarray) -> np.ndarray:
-    """Exponentially weighted mean by running sums of growing weights, anew for each block whose weights fit a double."""
-    alpha = params[0]
-    x = reaching(given[0], rows, min(ewm_rows(alpha) - 1, there.shape[1] - rows), there)
+    """Exponentially weighted mean."""
+    return divided(*exponential_sums(given[0], params[0], rows, there))
+
+
+def exponential_sums(x: np.ndarray, alpha: float, rows: int, there: np.ndarray) -> list[np.ndarray]:
+    """Weighted sums of the values and of their being known: running sums of growing weights, anew for each block whose weights fit a double."""
+    x = reaching(x, rows, min(ewm_rows(alpha) - 1, there.shape[1] - rows), there)
     ok = known(x)
     size = max(1, int(230 / -np.log1p(-alpha)))
     sums = []
@@ -236,7 +245,7 @@ def exponential(given: list, params: tuple, rows: int, there: np.ndarray) -> np.
             out[:, k : k + size] = (np.cumsum(v[:, k : k + size] * w, axis=1) + carried[:, None] * (1 - alpha)) / w
             carried = out[:, min(k + size, v.shape[1]) - 1]
         sums.append(out[:, v.shape[1] - rows :])
-    return divided(*sums)
+    return sums
 
 
 FRAMES = {"part": part, "covar": covar, "lag": lag, "first": first, "list": listed, "pick": pick, "list_ewm": list_ewm, "ewm": exponential}
