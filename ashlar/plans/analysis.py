@@ -12,9 +12,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import as_array, columns_of, correlations, matrix, moments, ranks
+
 DAYS_A_YEAR = 252
 
 
@@ -354,17 +357,10 @@ def position_turnover(positions: DataFrame) -> DataFrame:
 
 # several factors: frames with a column per factor on (timestamp, asset)
 def factor_correlation(wide: DataFrame, names: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, corr) of every pair over the rows where all factors are known."""
-    d = wide.dropna(subset=names)
-    if method == "spearman":
-        given = d = d.select(*names)
-        for c in names:
-            ranks = ranked_values(given, c).select(F.col("x").alias(f"{c}|x"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"{c}|rank"))
-            d = d.join(ranks, F.col(c) == F.col(f"`{c}|x`")).withColumn(c, F.col(f"`{c}|rank`")).drop(f"{c}|x", f"{c}|rank")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = d.agg(*[correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    flat = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("p"))
-    return flat.select("p.*")
+    """(a, b, corr) of every pair over the rows where all factors are known, in a number of jobs that doesn't depend on that of factors."""
+    x = wide.dropna(subset=names).select(as_array(names).alias("x"))
+    _, _, covariance = moments(ranks(x, len(names)) if method == "spearman" else x, len(names))
+    return columns_of(wide.sparkSession, correlations(covariance), names)
 
 
 def high_correlation(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -387,20 +383,42 @@ def combined(wide: DataFrame, weights: dict[str, float]) -> DataFrame:
     return z.select("timestamp", "asset", reduce(lambda a, b: a + b, [F.col(n) * w for n, w in weights.items()]).alias("factor_value"))
 
 
+def standardized_columns(wide: DataFrame, names: list[str]) -> DataFrame:
+    """(timestamp, asset, x): the z-scores per date of several factors as one array; rows where one is missing are left out."""
+    stats = wide.groupBy("timestamp").agg(as_array_of(F.avg, names).alias("_mean"), as_array_of(F.stddev_samp, names).alias("_std"))
+    d = wide.select("timestamp", "asset", as_array(names).alias("x")).join(stats, "timestamp")
+    score = lambda x, i: F.when(F.get("_std", i) > 0, F.try_divide(x - F.get("_mean", i), F.get("_std", i))).otherwise(x)
+    d = d.select("timestamp", "asset", F.transform("x", score).alias("x"))
+    return d.where(~F.exists("x", lambda x: x.isNull() | F.isnan(x)))
+
+
+def as_array_of(f, names: list[str]) -> Column:
+    """An aggregate of each of several columns."""
+    return F.array(*[f(F.col(f"`{c}`").cast("double")) for c in names])
+
+
 def principal_components(wide: DataFrame, names: list[str], n_components: int | None = None, variance: float = 0.95) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Scores, components and explained ratios of the factors' z-scores. Only the covariance matrix comes to the driver."""
-    z = reduce(lambda df, c: standardized(df, "zscore", c), names, wide).dropna(subset=names)
-    cov = z.agg(*[F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)], *[F.avg(a).alias(f"m{i}") for i, a in enumerate(names)]).first()
-    k = len(names)
-    matrix = np.array([[cov[f"c{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    values, vectors = np.linalg.eigh(matrix)
+    z, k = standardized_columns(wide, names), len(names)
+    n, mean, covariance = moments(z, k)
+    if n < 2:
+        mean, covariance = np.zeros(k), np.zeros((k, k))
+    values, vectors = np.linalg.eigh(covariance)
     order = np.argsort(-values)
     values, vectors = values[order], vectors[:, order].T
     vectors *= np.sign(vectors[np.arange(k), np.abs(vectors).argmax(axis=1)])[:, None]
     ratio = values / max(values.sum(), 1e-300)
-    keep = n_components or int(np.searchsorted(np.cumsum(ratio), variance - 1e-12) + 1)
-    scores = [reduce(lambda a, b: a + b, [(F.col(n) - float(cov[f"m{i}"] or 0)) * float(vectors[p, i]) for i, n in enumerate(names)]).alias(f"pc{p + 1}") for p in range(min(keep, k))]
-    return z.select("timestamp", "asset", *scores), vectors[:keep], ratio[:keep]
+    keep = min(k, n_components or int(np.searchsorted(np.cumsum(ratio), variance - 1e-12) + 1))
+    turn, scores = vectors[:keep].T.copy(), [f"pc{p + 1}" for p in range(keep)]
+
+    def run(batches):
+        for batch in batches:
+            found = (matrix(batch.column("x"), k) - mean) @ turn
+            yield pa.RecordBatch.from_arrays([batch.column("timestamp"), batch.column("asset"), *map(pa.array, found.T)], ["timestamp", "asset", *scores])
+
+    kinds = {f.name: f.dataType.simpleString() for f in z.schema}
+    schema = f"timestamp {kinds['timestamp']}, asset {kinds['asset']}, " + ", ".join(f"{c} double" for c in scores)
+    return z.mapInArrow(run, schema), vectors[:keep], ratio[:keep]
 
 
 # periods, groups, tests: a part column, then coefficients per part; forward returns are made inside each part

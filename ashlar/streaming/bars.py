@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.processors import KEYS
+from ..plans.columns import as_array, compared
 from ..plans.snapshot import minute_features
 from ..sources.readers import DROP_SCHEMA, drop_bars, last_of_each
 
@@ -138,19 +139,14 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
 def validate(online: DataFrame, offline: DataFrame, relative: float = 1e-3, absolute: float = 1e-2, special: dict[str, float] | None = None) -> DataFrame:
     """Per column: share of equal values, largest difference, correlation; without the 15:00 bar.
 
-    Values are equal if both are missing or they differ by less than the relative or the absolute bound.
+    Values are equal if both are missing or they differ by less than the relative or the absolute bound. The sides are joined
+    once, by row, with their columns as one array.
     """
-    from ..plans.analysis import correlation
-
     columns = [c for c in feature_columns(online) if c in offline.columns]
-    clean = lambda df, name: long(df.where(F.date_format("datetime", "HH:mm") != "15:00"), columns, name).withColumn(name, F.when(F.isnan(name) | (F.abs(F.col(name)) == float("inf")), 0.0).otherwise(F.col(name)))
-    both = clean(online, "a").join(clean(offline, "b"), [*KEYS, "feature_name"])
-    bound = F.lit(absolute)
-    for name, value in (special or {"money": 1e4}).items():
-        bound = F.when(F.col("feature_name") == name, F.lit(value)).otherwise(bound)
-    diff = F.abs(F.col("a") - F.col("b"))
-    equal = (F.col("a").isNull() & F.col("b").isNull()) | F.coalesce((F.try_divide(diff, F.abs("b")) < relative) | (diff < bound), F.lit(False))
-    return both.groupBy("feature_name").agg(F.avg(equal.cast("double")).alias("equal_ratio"), F.max(diff).alias("max_abs_diff"), correlation(F.col("a"), F.col("b")).alias("correlation"))
+    clean = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    side = lambda df, name: df.where(F.date_format("datetime", "HH:mm") != "15:00").select(*KEYS, F.transform(as_array(columns), clean).alias(name))
+    special = special or {"money": 1e4}
+    return compared(side(online, "a").join(side(offline, "b"), list(KEYS)), columns, relative, [special.get(c, absolute) for c in columns])
 
 
 def validation_summary(columns: DataFrame, least: float = 0.999) -> DataFrame:
