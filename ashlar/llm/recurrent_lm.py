@@ -40,14 +40,14 @@ HEAD, COMMON, LONGEST = 2048, 1 << 18, 48
 #: Classes of words, and bytes at a word's end that tell them. The end is a class besides.
 CLASSES, ENDING = 32, 3
 #: Units of the state, rounds, lanes at most, and tokens that a task is given in a round at least.
-WIDTH, ROUNDS, LANES, PART = 16, 4, 512, 1 << 21
+WIDTH, ROUNDS, LANES, PART = 16, 3, 512, 1 << 22
 #: Tokens of a lane in a window, that is how far gradients go back: WINDOW, or more where lanes are few, up to FULL tokens of all and LONG_WINDOW.
 WINDOW, FULL, LONG_WINDOW = 16, 2048, 128
 RATE, CLIP, BLOCK = 0.08, 1.0, 1 << 14
 #: Logits end here, so that their exponentials stay finite.
 MOST_LOGIT = np.float32(60)
 #: Tokens that are put into lanes at once, and distinct words that a task counts at once.
-CHUNK, HELD = 1 << 22, 1 << 18
+CHUNK, HELD = 1 << 23, 1 << 18
 SMOOTH = 0.1
 
 
@@ -239,18 +239,28 @@ class Network:
         """States after each step of a window (steps x lanes), and what the way back needs."""
         p, w = self.p, WIDTH
         x = p["embed"][given]
-        xw = x @ p["wx"] + p["b"]
-        states, tape = np.empty((*given.shape, w), np.float32), []
+        xw = x @ p["wx"]
+        xw += p["b"]
+        some = begins.any(axis=1)
+        states, befores, tape = np.empty((*given.shape, w), np.float32), np.empty((*given.shape, w), np.float32), []
         for t in range(len(given)):
-            before = h * ~begins[t][:, None]
+            before = np.multiply(h, ~begins[t][:, None], out=befores[t]) if some[t] else h
+            befores[t] = before
             hw = before @ p["wh"]
-            gates = 1 / (1 + np.exp(-(xw[t, :, : 2 * w] + hw[:, : 2 * w])))
+            gates = xw[t, :, : 2 * w]
+            gates += hw[:, : 2 * w]
+            np.tanh(np.multiply(gates, 0.5, out=gates), out=gates)  # a sigmoid is half a hyperbolic tangent of the half
+            gates *= 0.5
+            gates += 0.5
             r, z = gates[:, :w], gates[:, w:]
-            new = np.tanh(xw[t, :, 2 * w :] + r * hw[:, 2 * w :])
-            h = new + z * (before - new)
-            states[t] = h
-            tape.append((before, r, z, new, hw[:, 2 * w :]))
-        return states, [x, tape]
+            new = r * hw[:, 2 * w :]
+            new += xw[t, :, 2 * w :]
+            np.tanh(new, out=new)
+            h = np.subtract(before, new, out=states[t])
+            h *= z
+            h += new
+            tape.append((r, z, new, hw[:, 2 * w :]))
+        return states, [x, befores, tape]
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-likelihood of each target symbol after states h; with grads, also the gradient of its loss to the states."""
@@ -295,18 +305,27 @@ class Network:
 
     def backward(self, given: np.ndarray, begins: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
         """Gradients through a window, from those of its states; none go past its beginning."""
-        p, w, (x, tape) = self.p, WIDTH, kept
-        down, dxw, dwh = np.zeros_like(back[0]), np.empty((*given.shape, 3 * w), np.float32), np.zeros_like(p["wh"])
+        p, w, (x, befores, tape) = self.p, WIDTH, kept
+        down, dxw, dhw = np.zeros_like(back[0]), np.empty((*given.shape, 3 * w), np.float32), np.empty((*given.shape, 3 * w), np.float32)
+        some, turned = begins.any(axis=1), p["wh"].T.copy()
         for t in range(len(given) - 1, -1, -1):
-            before, r, z, new, hn = tape[t]
-            dh = back[t] + down
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * hn * r * (1 - r)
-            dxw[t] = np.concatenate([dr, dz, dnew], 1)
-            dhw = np.concatenate([dr, dz, dnew * r], 1)
-            dwh += before.T @ dhw
-            down = (dh * z + dhw @ p["wh"].T) * ~begins[t][:, None]
+            r, z, new, hn = tape[t]
+            dh = np.add(back[t], down, out=down)
+            rest = 1 - z
+            dnew = np.multiply(dh, rest, out=dxw[t, :, 2 * w :])
+            dnew *= 1 - new * new
+            dz = np.multiply(dh, befores[t] - new, out=dxw[t, :, w : 2 * w])
+            dz *= z
+            dz *= rest
+            dr = np.multiply(dnew, hn, out=dxw[t, :, :w])
+            dr *= r * (1 - r)
+            dhw[t] = dxw[t]
+            dhw[t, :, 2 * w :] *= r
+            down = dh * z
+            down += dhw[t] @ turned
+            if some[t]:
+                down *= ~begins[t][:, None]
+        dwh = befores.reshape(-1, w).T @ dhw.reshape(-1, 3 * w)
         flat = dxw.reshape(-1, 3 * w)
         grads["wx"], grads["wh"], grads["b"] = x.reshape(-1, w).T @ flat, dwh, flat.sum(0)
         order = np.argsort(given, axis=None, kind="stable")
@@ -338,7 +357,7 @@ class Lanes:
             heapq.heappush(heap, (n + len(docs[i]), k))
         held.sort(key=lambda h: -sum(len(docs[i]) for i in h))
         self.order = [i for h in held for i in h]
-        self.flat = np.concatenate([docs[i] for i in self.order]).astype(np.int64)
+        self.flat = np.concatenate([docs[i] for i in self.order])
         sizes = np.array([len(docs[i]) for i in self.order], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.begins = np.zeros(len(self.flat), bool)
@@ -355,7 +374,7 @@ class Lanes:
             inside = np.arange(t, min(t + steps, int(self.length[0])))[:, None] < self.length[None, :n]
             place = np.where(inside, self.at[:n] + np.arange(t, t + len(inside))[:, None], self.at[:n])
             begins = self.begins[place]
-            yield place, inside, np.where(begins, end, self.flat[place - 1]), begins, self.flat[place]
+            yield place, inside, np.where(begins, end, self.flat[place - 1]).astype(np.int64), begins, self.flat[place].astype(np.int64)
             t += steps
 
 
@@ -435,13 +454,16 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"]) / r.weight for r in sorted(rows, key=lambda r: r.block)]) if rows else None
 
 
+def parts_of(texts: DataFrame, tokens: int) -> int:
+    """Tasks for so many tokens: PART tokens each or more, so that lanes are full and parameters worth sending, but as many tasks as there are cores where there are tokens for them."""
+    return max(1, tokens // PART, min(texts.sparkSession.sparkContext.defaultParallelism, tokens // (PART // 8)))
+
+
 def learned(texts: DataFrame, vocab: Vocabulary) -> np.ndarray:
     """Parameters after all rounds."""
     spark = texts.sparkSession
     vector = Network(vocab).vector()
     for number in range(ROUNDS):
-        # a task has PART tokens at least, so that its parameters are worth sending
-        most = max(1, vocab.n // ROUNDS // PART)
 
         def run(batches: Iterator[pa.RecordBatch], vector=vector) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -459,7 +481,7 @@ def learned(texts: DataFrame, vocab: Vocabulary) -> np.ndarray:
 
         part = texts.where(F.col("round") == number).select("row", "symbols")
         with shuffle_files_dropped(spark):
-            found = averaged(part.coalesce(most).mapInArrow(run, "block int, lot int, part int, weight double, values binary"))
+            found = averaged(part.coalesce(parts_of(texts, vocab.n // ROUNDS)).mapInArrow(run, "block int, lot int, part int, weight double, values binary"))
         vector = vector if found is None else found.astype(np.float32)
     return vector
 
@@ -473,7 +495,7 @@ def scored(texts: DataFrame, vocab: Vocabulary, vector: np.ndarray) -> DataFrame
         for rows, docs in chunks_of(batches, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(log_likelihoods(net, docs))], ["row", "symbols_log"])
 
-    return texts.select("row", "symbols").mapInArrow(run, "row long, symbols_log double")
+    return texts.select("row", "symbols").coalesce(parts_of(texts, vocab.n)).mapInArrow(run, "row long, symbols_log double")
 
 
 def language_model_scores(docs: DataFrame, held_out) -> DataFrame:
