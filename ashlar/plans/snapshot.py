@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.minute_features import features
 from .expr import SPARK, TAILS, Expr, factors_sql, render, stages
-from .tails import tail_values
+from .tails import all_values, tail_values
 
 
 def median_close(panel: DataFrame) -> float:
@@ -34,7 +34,7 @@ def minute_features(panel: DataFrame, families: tuple[str, ...] | None = None, s
     median = median_close(panel) if families is None or "round_number" in families else 50.0
     if snapshot or since is not None:
         return tail_values(panel, features(median=median, rows=TAILS, **chosen), fill, since)
-    return compute(panel, features(median=median, rows=None, **chosen), fill)
+    return all_values(panel, features(median=median, rows=TAILS, **chosen), fill)
 
 
 def snapshot_sql(panel: str, exprs: dict[str, Expr], digits: int = 6) -> str:

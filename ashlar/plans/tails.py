@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .expr import Expr, ewm_rows
 
 #: Panel cells that are worked on at once, and values of window frames that are copied at once.
-CELLS, FRAME_VALUES = 1 << 15, 1 << 20
+CELLS, FRAME_VALUES = 1 << 17, 1 << 20
+#: Rows of a code whose values are worked out at once where all are asked.
+ROWS = 1 << 12
 
 
 def lookback(op: str, params: tuple) -> int:
@@ -214,7 +216,42 @@ def listed(given: list, params: tuple, rows: int, there: np.ndarray) -> np.ndarr
 
 def pick(given: list, params: tuple, rows: int, there: np.ndarray) -> np.ndarray:
     """The p-th smallest known value of each list; NaN sorts last."""
-    return by_codes(given[0][:, given[0].shape[1] - rows :], lambda v: np.partition(v, params[0] - 1, axis=-1)[..., params[0] - 1])
+    view, p = given[0][:, given[0].shape[1] - rows :], params[0]
+    n = view.shape[2]
+    if rows * n > 4 * (rows + n) * (rows + n).bit_length():
+        return kth_smallest(np.concatenate([view[:, 0], view[:, 1:, -1]], axis=1), n, p)
+    return by_codes(view, lambda v: np.partition(v, p - 1, axis=-1)[..., p - 1])
+
+
+def kth_smallest(x: np.ndarray, n: int, p: int) -> np.ndarray:
+    """The p-th smallest value in all frames of n columns, NaN last, in time that doesn't depend on n.
+
+    Values are numbered by size, and the numbers, in time order, make a wavelet matrix: at each bit, from the highest on, those with a zero
+    go first. How many zeros a frame has tells on which side its p-th smallest is, and where the frame stands in the next level.
+    """
+    codes, width = x.shape
+    order = np.argsort(x, axis=1, kind="stable")
+    seq = np.empty((codes, width), np.int32)
+    places = np.arange(width, dtype=np.int32)
+    np.put_along_axis(seq, order, np.broadcast_to(places, seq.shape), axis=1)
+    start = np.broadcast_to(places[: width - n + 1], (codes, width - n + 1))
+    end, k, rank = start + np.int32(n), np.full(start.shape, p - 1, np.int32), np.zeros(start.shape, np.int32)
+    row = np.arange(codes, dtype=np.int32)[:, None] * np.int32(width + 1)
+    for level in range(max(1, (width - 1).bit_length()) - 1, -1, -1):
+        one = (seq >> level) & 1
+        zeros = np.zeros((codes, width + 1), np.int32)
+        np.cumsum(1 - one, axis=1, out=zeros[:, 1:])
+        total, flat = zeros[:, -1:], zeros.ravel()
+        a, b = flat[row + start], flat[row + end]
+        left = k < b - a
+        rank |= np.where(left, np.int32(0), np.int32(1 << level))
+        k = np.where(left, k, k - (b - a))
+        start, end = np.where(left, a, total + start - a), np.where(left, b, total + end - b)
+        to = np.where(one == 0, zeros[:, :-1], total + places - zeros[:, :-1])
+        moved = np.empty_like(seq)
+        np.put_along_axis(moved, to, seq, axis=1)
+        seq = moved
+    return np.take_along_axis(x, np.take_along_axis(order, rank, axis=1), axis=1)
 
 
 def list_ewm(given: list, params: tuple, rows: int, there: np.ndarray) -> np.ndarray:
@@ -316,3 +353,81 @@ def tail_values(panel: DataFrame, exprs: dict[str, Expr], fill: float | None = 0
     schema = ", ".join(["datetime timestamp_ntz, code string", *(f"`{n}` double" for n in names)])
     found = given.drop("_age").mapInArrow(run, schema)
     return found if since is None else found.where(F.col("datetime") >= F.lit(since).cast("timestamp_ntz"))
+
+
+def all_values(panel: DataFrame, exprs: dict[str, Expr], fill: float | None = 0.0, rows: int = ROWS) -> DataFrame:
+    """(datetime, code, one column per expression) at all rows.
+
+    One exchange on code. A task passes each code's rows in order, ``rows`` at a time with as many before them as values
+    depend on, so that a code of any length takes bounded memory.
+    """
+    program = Program(exprs, rows)
+    names, fields, back = list(exprs), program.fields, program.reach - rows
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        """held: (code, times, cells by field, how many of the last rows are asked)."""
+        width = max(len(h[1]) for h in held)
+        there, columns = np.zeros((len(held), width), bool), {c: np.full((len(held), width), np.nan) for c in fields}
+        asked = np.zeros((len(held), width), bool)
+        stamps = np.zeros((len(held), width), "datetime64[us]")
+        for k, (_, times, cells, n) in enumerate(held):
+            there[k, width - len(times) :] = True
+            asked[k, width - n :] = True
+            stamps[k, width - len(times) :] = times
+            for c, x in zip(fields, cells, strict=True):
+                columns[c][k, width - len(times) :] = x
+        found = program.run(columns, there)
+        wide = min(rows, width)
+        asked, stamps = asked[:, width - wide :], stamps[:, width - wide :]
+        codes = np.repeat(np.arange(len(held)), wide).reshape(asked.shape)[asked]
+        values = [x if fill is None else np.where(np.isnan(x), fill, x) for x in (found[n][asked] for n in names)]
+        return pa.RecordBatch.from_arrays([pa.array(stamps[asked]), pa.array([h[0] for h in held], pa.string()).take(pa.array(codes)), *[pa.array(x, from_pandas=True) for x in values]], ["datetime", "code", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells, code = [], 0, None
+        kept, fresh = None, []  # of the code at hand: rows before, already done; rows to do
+
+        def ready(last: bool) -> Iterator[tuple]:
+            """Parts of the code at hand that can be worked out: full ones, and at its end the rest."""
+            nonlocal kept, fresh
+            if not fresh:
+                return
+            new = [np.concatenate(x) for x in zip(*fresh, strict=True)]
+            at, n = 0, len(new[0])
+            while n - at >= rows or (last and at < n):
+                m = min(rows, n - at)
+                part = [x[at : at + m] for x in new]
+                whole = part if kept is None else [np.concatenate(x) for x in zip(kept, part, strict=True)]
+                yield code, whole[0], whole[1:], m
+                kept, at = [x[len(x) - min(len(x), back) :] for x in whole], at + m
+            fresh = [tuple(x[at:] for x in new)] if at < n else []
+
+        def passed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, cells
+            for part in ready(last):
+                held.append(part)
+                cells += len(part[1])
+                if cells >= CELLS:
+                    yield out(held)
+                    held, cells = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column("code").to_pandas().to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            arrays = [batch.column("datetime").to_numpy(zero_copy_only=False).astype("datetime64[us]"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in fields)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if of[a] != code:
+                    yield from passed(True)
+                    code, kept, fresh = of[a], None, []
+                fresh.append(tuple(x[a:b] for x in arrays))
+                if sum(len(f[0]) for f in fresh) >= rows:
+                    yield from passed(False)
+        yield from passed(True)
+        if held:
+            yield out(held)
+
+    schema = ", ".join(["datetime timestamp_ntz, code string", *(f"`{n}` double" for n in names)])
+    given = panel.select("code", "datetime", *[F.col(c).cast("double").alias(c) for c in fields]).repartition("code").sortWithinPartitions("code", "datetime")
+    return given.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ import pytest
 
 from ashlar.functions.minute_features import features
 from ashlar.plans.expr import TAILS, field, node, rolling, rolling_corr, rolling_quantile, with_factors
-from ashlar.plans.tails import Program, tail_values
+from ashlar.plans.snapshot import compute
+from ashlar.plans.tails import Program, all_values, kth_smallest, tail_values
 
 SCHEMA = "datetime timestamp_ntz, code string, open double, high double, low double, close double, volume double"
 START = datetime(2024, 1, 2, 9, 30)
@@ -52,6 +53,33 @@ def test_tails_are_windows(spark):
     assert tail_values(panel.limit(0), exprs).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 7, 4096])
+def test_all_rows_are_windows(spark, step):
+    """Codes longer and shorter than what is worked out at once; an exponential mean and a quantile among the features."""
+    exprs = features(("attention",), median=10.0, rows=TAILS)
+    exprs = {k: exprs[k] for i, k in enumerate(exprs) if i % 9 == 0}
+    d = pd.concat([bars(1, "one"), bars(40, "b", 1, gaps=True), bars(330, "c", 2), bars(9, "d", 3)])
+    panel = spark.createDataFrame(rows(d), SCHEMA).repartition(3)
+    plain = features(("attention",), median=10.0, rows=None)
+    want = compute(panel, {k: plain[k] for k in exprs}).toPandas().sort_values(["code", "datetime"]).reset_index(drop=True)
+    got = all_values(panel, exprs, rows=step).toPandas().sort_values(["code", "datetime"]).reset_index(drop=True)
+    assert got[["datetime", "code"]].equals(want[["datetime", "code"]])
+    for name in exprs:
+        assert np.allclose(got[name], want[name], atol=1e-8), name
+    assert all_values(panel.limit(0), exprs).count() == 0
+
+
+def test_order_statistics_of_sliding_frames():
+    """Ties, missing values and infinities; every place of a frame."""
+    rnd = np.random.default_rng(9)
+    for n in (1, 2, 5, 31, 64):
+        x = np.where(rnd.random((4, 64)) < 0.2, np.nan, rnd.integers(-5, 6, (4, 64)) * 0.5)
+        x[1, :9] = np.inf
+        frames = np.sort(np.lib.stride_tricks.sliding_window_view(x, n, axis=1), axis=-1)
+        for p in {1, (n + 1) // 2, n}:
+            assert np.array_equal(kth_smallest(x, n, p), frames[..., p - 1], equal_nan=True)
+
+
 def test_reach_is_bounded_and_sections_are_refused():
     assert Program(features(rows=TAILS)).reach < 14_000
     with pytest.raises(ValueError):
