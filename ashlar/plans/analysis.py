@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import as_array, columns_of, correlations, matrix, moments, ranks
+from .columns import as_array, columns_of, correlations, matrix, moments, ranks, section_percentiles
 
 DAYS_A_YEAR = 252
 
@@ -91,8 +91,14 @@ def aligned(factor: DataFrame, returns: DataFrame, periods: int = 1, dropna: boo
     return out.dropna(subset=["factor_value", "forward"]) if dropna else out
 
 
-def winsorized(df: DataFrame, lower: float = 0.01, upper: float = 0.99, by_date: bool = True, column: str = "factor_value") -> DataFrame:
-    w = Window.partitionBy("timestamp") if by_date else Window.partitionBy(F.lit(1))
+def winsorized(df: DataFrame, lower: float = 0.01, upper: float = 0.99, by_date: bool = True, column: str = "factor_value", large: bool = False) -> DataFrame:
+    """Values held between two percentiles, per date or over all rows. ``large``: dates don't fit in a task each, so percentiles are selected by ranges of values."""
+    w = Window.partitionBy("timestamp")
+    if by_date and large:
+        bounds = section_percentiles(df, column, [lower, upper]).withColumnRenamed("timestamp", "_date")
+        x, d = F.col(column), df.join(bounds, F.col("timestamp") == F.col("_date"), "left")
+        held = F.when(x.isNull(), None).otherwise(F.least(F.greatest(x, F.get("percentiles", F.lit(0))), F.get("percentiles", F.lit(1))))
+        return d.select(*[held.alias(c) if c == column else df[c] for c in df.columns])
     if not by_date:  # one row of bounds rather than one window over everything
         low, high = map(F.lit, overall_percentiles(df, column, (lower, upper)))
     else:
@@ -271,11 +277,15 @@ def batch_ic(df: DataFrame, method: str = "spearman", forward_periods: int = 1,
 
 
 # quantile portfolios
-def quantile_labels(df: DataFrame, n: int = 5, column: str = "factor_value") -> DataFrame:
-    """``quantile`` 0, 1, ... per date by distinct quantile edges; equal edges give fewer groups."""
+def quantile_labels(df: DataFrame, n: int = 5, column: str = "factor_value", large: bool = False) -> DataFrame:
+    """``quantile`` 0, 1, ... per date by distinct quantile edges; equal edges give fewer groups. ``large``: see winsorized."""
     w = Window.partitionBy("timestamp")
-    edges = F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(k / n) for k in range(n + 1)])).over(w)))
-    d = df.withColumn("_edges", edges)
+    if large:
+        found = section_percentiles(df, column, [k / n for k in range(n + 1)]).select(F.col("timestamp").alias("_date"), F.array_sort(F.array_distinct("percentiles")).alias("_edges"))
+        d = df.join(found, F.col("timestamp") == F.col("_date"), "left").drop("_date")
+    else:
+        edges = F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(k / n) for k in range(n + 1)])).over(w)))
+        d = df.withColumn("_edges", edges)
     inner = F.when(F.size("_edges") > 2, F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(1)))).otherwise(F.array().cast("array<double>"))
     label = F.size(F.filter(inner, lambda e: e < F.col(column)))
     return d.withColumn("quantile", F.when(F.col(column).isNotNull() & (F.size("_edges") > 1), label)).drop("_edges")

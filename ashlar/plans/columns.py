@@ -155,6 +155,31 @@ def ranks(arrays: DataFrame, width: int) -> DataFrame:
     return together.select(F.transform("r", lambda r: r["rank"]).alias("x"))
 
 
+def section_percentiles(df: DataFrame, column: str, shares: list[float], by: str = "timestamp") -> DataFrame:
+    """(by, percentiles): exact interpolated percentiles of the known values of each section, as an array in the order of shares.
+
+    Rows are ranged by (section, value), so that a section of any size is dealt to many tasks. A table of a row per section and part tells
+    in which part and where the wanted places stand, and these rows alone are joined.
+    """
+    x = F.col(column).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(F.col(by).alias("of"), x.alias("x"))
+    rows = saved(rows.repartitionByRange("of", "x").sortWithinPartitions("of", "x").withColumn("place", F.monotonically_increasing_id()))
+    parts = rows.groupBy("of", F.expr("shiftright(place, 33)").alias("part")).agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    section = Window.partitionBy("of")
+    before = F.coalesce(F.sum("n").over(section.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = saved(parts.select("of", "n", "first", before.alias("before"), F.sum("n").over(section).alias("total")))
+    at = F.col("share") * (F.col("total") - 1)
+    wanted = parts.select("of", "total").distinct().select("of", "total", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("k", "share"))
+    wanted = wanted.select("of", "k", at.alias("at"), F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("index"))
+    holds = (F.col("w.of") == F.col("p.of")) & (F.col("index") >= F.col("before")) & (F.col("index") < F.col("before") + F.col("n"))
+    placed = wanted.alias("w").join(parts.alias("p"), holds).select("w.of", "k", "at", "index", (F.col("index") - F.col("before") + F.col("first")).alias("place"))
+    found = placed.join(rows.select("place", "x"), "place")  # two rows a section and share
+    ends = found.groupBy("of", "k").agg(F.min_by("x", "index").alias("low"), F.max_by("x", "index").alias("high"), (F.first("at") - F.floor(F.first("at"))).alias("rest"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + F.col("rest") * (F.col("high") - F.col("low")))
+    arrays = ends.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("a"))
+    return arrays.select(F.col("of").alias(by), F.transform("a", lambda a: a["v"]).alias("percentiles"))
+
+
 # two frames
 
 

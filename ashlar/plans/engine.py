@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 import time
 from dataclasses import dataclass
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.readers import MINUTES, read_bars
-from .expr import Expr, with_factors
+from .expr import Expr, stages, with_factors
+from .expr import SPARK as _SPARK
 
 #: Frequencies from fine to coarse.
 FREQUENCIES = ("minute", "5min", "30min", "hour", "daily", "week", "month")
@@ -113,6 +115,101 @@ def future_bias(panel: DataFrame, factor: Expr, times: list[str]) -> DataFrame:
     return out
 
 
+@dataclass(frozen=True)
+class Reads:
+    """Rows of a code that a node's value depends on, from ``first`` to ``last`` rows after its own (before it: negative)."""
+
+    node: Expr
+    first: float
+    last: float
+    adds: bool
+
+    @property
+    def ahead(self) -> bool:
+        return self.last > 0
+
+
+def row_reads(factor: Expr) -> list[Reads]:
+    """What each distinct node reads, operands first; ``adds``: the node itself looks further ahead than its operands.
+
+    Intervals are added up along the tree, so a lead that a longer lag stands over looks at the past. Reads by calendar time
+    reach back without bound, and ahead as far as their operand does. Nodes over a section read other codes at the same rows.
+    """
+    found: dict[str, Reads] = {}
+    for e in factor.walk():
+        given = [found[a.key] for a in e.args]
+        first, last = min([0.0, *(g.first for g in given)]) if not given else min(g.first for g in given), max([g.last for g in given], default=0.0)
+        shift = {"lead": lambda p: p[0], "lag": lambda p: -p[0]}.get(e.op)
+        own_last = last
+        if shift:
+            first, own_last = first + shift(e.params), last + shift(e.params)
+        elif e.op in ("part", "covar", "list"):
+            first -= math.inf if e.params[-1] is None else e.params[-1] - 1
+        elif e.op == "first":
+            first -= e.params[0] - 1
+        elif e.op in ("ref", "ewm", "rows", "block", "block_before"):
+            first = -math.inf
+        found[e.key] = Reads(e, first, own_last, own_last > max(last, 0.0))
+    return list(found.values())
+
+
+def look_ahead(factor: Expr) -> list[Reads]:
+    """The nodes by which a factor reads rows after its own, the furthest first; none if it provably reads no such row.
+
+    Only nodes that still reach ahead at the root count: what a lag above takes back is no look-ahead.
+    """
+    reads = {r.node.key: r for r in row_reads(factor)}
+    if not reads[factor.key].ahead:
+        return []
+    guilty: dict[str, Reads] = {}
+
+    def visit(e: Expr, back: float, seen: set) -> None:
+        """back: rows by which the nodes above move what e reads towards the past."""
+        if (e.key, back) in seen or reads[e.key].last - back <= 0:
+            return
+        seen.add((e.key, back))
+        if reads[e.key].adds:
+            guilty[e.key] = reads[e.key]
+        own = {"lag": lambda p: p[0], "lead": lambda p: -p[0]}.get(e.op, lambda p: 0)(e.params)
+        for a in e.args:
+            visit(a, back + own, seen)
+
+    visit(factor, 0, set())
+    return sorted(guilty.values(), key=lambda r: -r.last)
+
+
+def validate_times(panel: DataFrame, times: DataFrame) -> DataFrame:
+    """The asked times (datetime) as they are; an error without data, or for a time past the panel's last."""
+    end = panel.agg(F.max("datetime")).first()[0]
+    if end is None:
+        raise ValueError("the panel has no rows")
+    late = times.where(F.col("datetime") > F.lit(end).cast("timestamp_ntz")).agg(F.min("datetime"), F.count("*")).first()
+    if late[1]:
+        raise ValueError(f"{late[1]} times are past the data, which end at {end}; the first is {late[0]}")
+    return times
+
+
+def node_report(panel: DataFrame, factor: Expr, config: FrequencyConfig | None = None) -> dict:
+    """Seconds of the distinct windows of a factor, each worked out over the panel with what is under it; those over twice the mean; advice."""
+    took: dict[str, float] = {}
+    windows = [e for e in factor.walk() if e.windowed]
+    for e in windows:
+        began = time.perf_counter()
+        with_factors(panel, {"f": e}).write.format("noop").mode("overwrite").save()
+        took[str(e)] = time.perf_counter() - began
+    mean = statistics.fmean(took.values()) if took else 0.0
+    slow = sorted(({"node": k, "seconds": t, "times_mean": t / mean} for k, t in took.items() if t > 2 * mean), key=lambda r: -r["seconds"])
+    nodes, levels = sum(1 for _ in factor.walk()), len(stages([factor], _SPARK))
+    lists = [str(e) for e in windows if e.op == "list"]
+    advice = [text for text, holds in (
+        ("name parts of the expression: it has over ten nodes", nodes > 10),
+        ("the slow windows take most of the time: shorten them or share them between factors", bool(slow)),
+        ("look-backs over 100 rows: keep state from bar to bar (plans.recurrence)", config is not None and config.window_length > 100),
+        ("windows that keep whole frames are worked out in linear time by plans.tails", bool(lists)),
+    ) if holds]
+    return {"nodes": nodes, "stages": levels, "seconds": took, "bottlenecks": slow, "advice": advice}
+
+
 class FactorEngine:
     """Computes factors over bar files at the calendar's times."""
 

@@ -121,6 +121,11 @@ def complete(bars: DataFrame, least: int = 100) -> DataFrame:
     return bars.join(times, "time", "left_semi")
 
 
+def previous_trade_date(bars: DataFrame, day: str):
+    """The last date with bars before a day; None if there is none."""
+    return bars.where(F.col("time") < F.to_timestamp_ntz(F.lit(f"{day} 00:00:00"))).agg(F.max(F.to_date("time"))).first()[0]
+
+
 def last_days(bars: DataFrame, day: str, days: int = 5) -> DataFrame:
     """Bars of the last trading days before a day."""
     found = bars.where(F.to_date("time") < F.to_date(F.lit(day))).select(F.to_date("time").alias("d")).distinct().orderBy(F.desc("d")).limit(days)

@@ -127,3 +127,33 @@ def test_one_exchange_a_side(spark):
     a, b = (spark.createDataFrame([(datetime(2024, 1, 2, 9, 31), "x", 1.0, 2.0)], schema) for _ in range(2))
     plan = st.validate(a, b.where(F.col("f1") > 0))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(datetime") + plan.count("BroadcastExchange") <= 2 and "Expand" not in plan
+
+
+def test_percentiles_of_sections_are_selected_by_ranges(spark):
+    """One date with most rows, ties, missing values, a single row; and the labels and bounds made from them."""
+    rnd = np.random.default_rng(7)
+    days = [datetime(2024, 1, 1) + timedelta(days=k) for k in range(5)]
+    rows = [(days[0], f"a{i}", float(rnd.standard_normal())) for i in range(4000)] + [(days[1], f"a{i}", float(rnd.integers(0, 3))) for i in range(200)]
+    rows += [(days[2], f"a{i}", None if i % 3 else float(i)) for i in range(30)] + [(days[3], "a0", 4.0), (days[4], "a0", None)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, asset string, factor_value double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.timestamp: r.percentiles for r in co.section_percentiles(df, "factor_value", shares).collect()}
+    want = {t: np.percentile(x.dropna(), [100 * s for s in shares]) for t, x in pd.DataFrame(rows, columns=["t", "a", "x"]).groupby("t")["x"] if x.notna().any()}
+    assert got.keys() == want.keys() and all(np.allclose(got[t], want[t], atol=1e-12) for t in want)
+    key = ["timestamp", "asset"]
+    for f in (lambda large: an.quantile_labels(df, 5, large=large), lambda large: an.winsorized(df, 0.05, 0.9, large=large)):
+        a, b = (f(x).toPandas().sort_values(key).reset_index(drop=True) for x in (False, True))
+        assert list(a.columns) == list(b.columns) and a[key].equals(b[key])
+        for c in a.columns[2:]:
+            assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-12, equal_nan=True), c
+
+
+def test_no_task_has_a_whole_section(spark):
+    df = spark.range(20_000).select(F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("timestamp"), F.xxhash64("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which else joins parts as small as these
+    try:
+        x = df.repartitionByRange("timestamp", "v").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(x) > 2 and x.max() < 10_000
+    assert co.section_percentiles(df, "v", [0.5]).first().percentiles[0] == pytest.approx(float(np.median(df.toPandas()["v"])))

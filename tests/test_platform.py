@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ashlar.functions import factors as lib
 from ashlar.functions import processors as pr
@@ -75,6 +76,63 @@ def test_validation_and_bias(spark, sf_dir):
     assert en.compare_factors(p, n.Close(), n.Close()).first().max_abs_diff == 0
 
 
+def test_look_ahead_is_found_in_the_tree():
+    """A planted lead is named, wherever it stands; what a lag above takes back is none."""
+    from ashlar.plans.expr import field, node
+
+    close = field("close")
+    lead = node("lead", close, params=(2,))
+    assert [(r.node.key, r.last) for r in en.look_ahead(n.Zscore(lib.Momentum(3) + lead))] == [(lead.key, 2)]
+    assert en.look_ahead(node("lag", lead, params=(2,))) == [] and en.look_ahead(node("lag", lead, params=(5,)) + close) == []
+    assert [r.node.key for r in en.look_ahead(node("lag", lead, params=(1,)))] == [lead.key]
+    back = node("lag", close, params=(-3,))
+    assert [(r.node.key, r.last) for r in en.look_ahead(node("part", lead * back, params=("mean", 4)))] == [(back.key, 3), (lead.key, 2)]
+    reads = {r.node.op: (r.first, r.last) for r in en.row_reads(node("part", node("lag", close, params=(3,)), params=("mean", 5)))}
+    assert reads == {"field": (0, 0), "lag": (-3, -3), "part": (-7, -3)}
+
+
+def test_no_factor_or_feature_looks_ahead():
+    from ashlar.functions.minute_features import features
+    from ashlar.plans.expr import TAILS
+
+    for rows in (None, 0, TAILS):
+        assert not any(en.look_ahead(e) for e in features(rows=rows).values())
+    assert en.look_ahead(lib.Momentum(3)) == []
+
+
+def test_planted_lead_shows_in_both_checks(spark, sf_dir):
+    from ashlar.plans.expr import field, node
+
+    p = panel(spark, sf_dir, "E")
+    day = str(p.orderBy("datetime").first().datetime + timedelta(days=12))
+    for factor in (node("lead", field("close"), params=(1,)), node("lag", node("lead", field("close"), params=(1,)), params=(1,))):
+        assert bool(en.look_ahead(factor)) == (en.future_bias(p, factor, [day]).first().differing > 0)
+
+
+def test_times_past_the_data_are_refused(spark, sf_dir):
+    p = panel(spark, sf_dir, "E")
+    end = p.orderBy(F.desc("datetime")).first().datetime
+    times = spark.createDataFrame([(end,), (end - timedelta(days=1),)], "datetime timestamp_ntz")
+    assert en.validate_times(p, times).count() == 2
+    with pytest.raises(ValueError, match="1 times are past"):
+        en.validate_times(p, times.unionByName(spark.createDataFrame([(end + timedelta(seconds=1),)], "datetime timestamp_ntz")))
+    with pytest.raises(ValueError, match="no rows"):
+        en.validate_times(p.limit(0), times)
+
+
+def test_node_report(spark, sf_dir):
+    p = panel(spark, sf_dir, "E")
+    r = en.node_report(p, n.Zscore(lib.Momentum(3)), en.FrequencyConfig("daily", 120))
+    assert r["nodes"] == sum(1 for _ in n.Zscore(lib.Momentum(3)).walk()) and r["stages"] >= 2 and all(t > 0 for t in r["seconds"].values())
+    assert len(r["seconds"]) >= 2 and any("100 rows" in a for a in r["advice"])
+
+
+def test_previous_trade_date(spark):
+    rows = [(datetime(2024, 1, d, 10), "a") for d in (2, 3, 5)]
+    bars = spark.createDataFrame(rows, "time timestamp_ntz, symbol string")
+    assert [str(rd.previous_trade_date(bars, d)) for d in ("2024-01-02", "2024-01-05", "2024-01-09")] == ["None", "2024-01-03", "2024-01-05"]
+
+
 def test_registry(tmp_path, spark, sf_dir):
     path = str(tmp_path / "r.json")
     reg = FactorRegistry(path)
