@@ -16,7 +16,6 @@ tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,10 +32,6 @@ END_ID = 2
 #: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 160 MB together).
 CACHE_ENTRIES = 400_000
 
-#: White space besides the space and the newline, as Python and Unicode have it, and a run of any white space with one of these.
-OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUN = re.compile(f"[ \n{OTHER_SPACE}][{OTHER_SPACE}]|[{OTHER_SPACE}][ \n]")
-
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -82,17 +77,17 @@ def encoder(path: str, width: int):
             return array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))]).tobytes()
         return whole(p)
 
-    def learned(p: str) -> bytes:
-        """Ids of a piece that isn't in the young generation: a newline and what follows it, or a word that follows a space."""
+    def learned(p: str) -> bytes | None:
+        """Ids of a piece that isn't in the young generation: a newline and what follows it, or a word that follows a space.
+
+        None, and nothing learned, where white space of another kind stands at either end, and so beside the space or newline.
+        """
         nonlocal pieces, older
         found = older.get(p)
         if found is None:
-            if p[0] != "\n":
-                found = simple(" " + p)
-            elif p[1].isspace():
-                found = whole(p)
-            else:
-                found = newline + simple(p[1:])
+            if p[-1].isspace() or p[p[0] == "\n"].isspace():
+                return None
+            found = simple(" " + p) if p[0] != "\n" else newline + simple(p[1:])
         if len(p) <= 64:
             if len(pieces) >= CACHE_ENTRIES:
                 pieces, older = {}, pieces
@@ -108,13 +103,11 @@ def encoder(path: str, width: int):
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts or "\n" in parts or any(a in text for a in added):
             return whole(text)
-        if any(c in text for c in OTHER_SPACE) and _RUN.search(text):
-            return whole(text)
-        head = whole(parts[0]) if parts[0][0] != "\n" else learned(parts[0])
+        head = learned(parts[0]) if parts[0][0] == "\n" else None if parts[0][-1].isspace() else whole(parts[0])
         found = list(map(pieces.get, parts[1:]))
         if None in found:
             found = [learned(p) if f is None else f for p, f in zip(parts[1:], found, strict=True)]
-        return head + b"".join(found)
+        return whole(text) if head is None or None in found else head + b"".join(found)
 
     _tokenizers[path, width] = encode
     return encode
