@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,19 +102,101 @@ def numbered(lines: DataFrame) -> DataFrame:
 TABLES = {"bar_metrics": ["bar_time"], "abandon_events": ["bar_time", "seq"], "feature_stats": ["bar_time", "feature_name"], "validation_summary": [], "validation_columns": ["feature_name"], "timing": ["bar_time", "seq"]}
 
 
+class Log:
+    """Rows of one table and day as folders that are only added, by any number of writers, and put together now and then.
+
+    Each write is a folder of its own, which counts once Spark has committed it. Putting together writes one more folder and then an
+    entry, under the next free number, that names it and the folders it stands for; a folder of that kind counts by its entry alone, and
+    the others go once they have been replaced for ``grace`` seconds, so that who has listed them can still read them. Two that
+    put together at once, or one that dies midway, may leave rows twice but never lose one; twice does no harm, as the
+    last known values of a key count.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 32, grace: float = 600.0):
+        self.spark, self.path, self.most, self.grace = spark, path, most, grace
+        self.root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _names(self, folder: str = "") -> list[str]:
+        where = self._path(folder) if folder else self.root
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(where)) if self.fs.exists(where) else []
+
+    def entries(self) -> list[dict]:
+        """What was put together: number, adds, removes, at (seconds). Entries that are still being written don't count."""
+        found = []
+        for name in self._names("_log"):
+            where = self._path(f"_log/{name}")
+            stream = self.fs.open(where)
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            with suppress(ValueError):
+                found.append(json.loads(text) | {"number": int(name)})
+        return found
+
+    def folders(self) -> list[str]:
+        """Names of the folders that count."""
+        entries = self.entries()
+        gone, made = {n for e in entries for n in e["removes"]}, {e["adds"] for e in entries}
+        names = [n for n in self._names() if n[0] in "pc" and n not in gone and (n[0] == "p" or n in made)]
+        return [n for n in names if self.fs.exists(self._path(f"{n}/_SUCCESS"))]
+
+    def add(self, rows: DataFrame) -> None:
+        rows.coalesce(1).write.parquet(f"{self.path}/p{time.time_ns():020d}-{uuid.uuid4().hex}")  # a bar's metrics
+        if len(self.folders()) > self.most:
+            self.compact()
+
+    def read(self) -> DataFrame | None:
+        names = self.folders()
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+
+    def compact(self) -> None:
+        """Put the folders that count together in one, and delete those that were replaced long enough ago."""
+        names = self.folders()
+        if len(names) > 1:
+            made = f"c{time.time_ns():020d}-{uuid.uuid4().hex}"
+            self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{n}" for n in names]).coalesce(1).write.parquet(f"{self.path}/{made}")
+            self._enter({"adds": made, "removes": names, "at": time.time()})
+        for e in self.entries():
+            if e["at"] + self.grace <= time.time():
+                for n in e["removes"]:
+                    self.fs.delete(self._path(n), True)
+
+    def _enter(self, entry: dict) -> None:
+        number = 1 + max([int(n) for n in self._names("_log")], default=0)
+        while True:
+            try:
+                out = self.fs.create(self._path(f"_log/{number:08d}"), False)
+                break
+            except Exception as e:  # another writer has this number
+                if "exist" not in str(e).lower():
+                    raise
+                number += 1
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+
+
 class MetricsStore:
-    """Metrics of trading days in Parquet tables that only grow; of the values written for a key the last known ones count."""
+    """Metrics of trading days; of the values written for a key the last known ones count. Any number of stores may write at once."""
+
+    def __init__(self, spark: SparkSession, path: str, day: str, most_folders: int = 32, grace: float = 600.0):
+        self.spark, self.path, self.day, self.most, self.grace = spark, path, day, most_folders, grace
 
-    def __init__(self, spark: SparkSession, path: str, day: str):
-        self.spark, self.path, self.day = spark, path, day
+    def log(self, name: str, day: str | None = None) -> Log:
+        return Log(self.spark, f"{self.path}/{name}/{day or self.day}", self.most, self.grace)
 
     def _put(self, name: str, rows: DataFrame) -> None:
         rows = rows.select(*[F.col(c).cast("long") if t == "int" else F.col(c) for c, t in rows.dtypes], F.lit(self.day).alias("trade_date"), F.lit(time.time_ns()).alias("seq"))
-        rows.write.mode("append").partitionBy("trade_date").parquet(f"{self.path}/{name}")
+        self.log(name).add(rows)
 
     def read(self, name: str) -> DataFrame:
-        """A table with a row per key."""
-        df = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}").withColumn("trade_date", F.col("trade_date").cast("string"))
+        """A table of all days with a row per key."""
+        days = [f"{self.path}/{name}/{d}/{n}" for d in Log(self.spark, f"{self.path}/{name}")._names() for n in self.log(name, d).folders()]
+        df = self.spark.read.option("mergeSchema", True).parquet(*days)
         keys = ["trade_date", *TABLES[name]]
         values = [c for c in df.columns if c not in keys and c != "seq"]
         return df.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in values])

@@ -158,3 +158,44 @@ def test_registry_views(spark, sf_dir, tmp_path):
     assert reg.list_versions(a) == [v]
     s = en.factor_summary(lib.RSI(5))
     assert s["window_depth"] >= 2 and en.execution_order(n.Close() + 1)[-1] == "add(close, 1.0)"
+
+
+def test_a_day_of_bars_leaves_few_folders(spark, tmp_path):
+    """Each bar written on its own and some again: all values are there, the folders stay few."""
+    store = mo.MetricsStore(spark, f"file://{tmp_path}/m", "2024-01-02", most_folders=6, grace=0)
+    for k in range(40):
+        store.upsert_bar_metrics(f"09:{k:02}:00", cost_seconds=float(k))
+        assert len(store.log("bar_metrics")._names()) <= 3 * 6 + 3
+    store.upsert_bar_metrics("09:05:00", n_symbols=7)
+    store.upsert_bar_metrics("09:06:00", cost_seconds=-1.0)
+    got = {r.bar_time: (r.cost_seconds, r.n_symbols) for r in store.read("bar_metrics").collect()}
+    assert got == {f"09:{k:02}:00": (-1.0 if k == 6 else float(k), 7 if k == 5 else None) for k in range(40)}
+    mo.MetricsStore(spark, f"file://{tmp_path}/m", "2024-01-03").upsert_bar_metrics("09:00:00", n_symbols=1)
+    assert store.read("bar_metrics").count() == 41
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    """Threads write and put together the same table at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(w):
+        store = mo.MetricsStore(spark, f"file://{tmp_path}/m", "2024-01-02", most_folders=3, grace=3600)
+        for k in range(6):
+            store.upsert_bar_metrics(f"{w:02}:{k:02}:00", n_symbols=10 * w + k)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(work, range(3)))
+    got = {r.bar_time: r.n_symbols for r in mo.MetricsStore(spark, f"file://{tmp_path}/m", "x").read("bar_metrics").collect()}
+    assert got == {f"{w:02}:{k:02}:00": 10 * w + k for w in range(3) for k in range(6)}
+
+
+def test_putting_together_that_dies_midway_changes_nothing(spark, tmp_path):
+    store = mo.MetricsStore(spark, f"file://{tmp_path}/m", "2024-01-02", grace=0)
+    for k in range(3):
+        store.upsert_bar_metrics(f"09:{k:02}:00", n_symbols=k)
+    log = store.log("bar_metrics")
+    log.read().write.parquet(f"{log.path}/c00000000000000000001-dead")  # written, not entered
+    log.fs.create(log._path("_log/00000001"), False).close()  # entered, not written
+    assert len(log.folders()) == 3 and store.read("bar_metrics").count() == 3
+    log.compact()
+    assert len(log.folders()) == 1 and log.entries()[0]["number"] == 2 and store.read("bar_metrics").count() == 3
