@@ -20,14 +20,22 @@ from pyspark.sql import functions as F
 BLOCK, LOTS = 64, 32
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in ``spark.checkpoint.dir``; without one, only a local master may use a folder of this machine."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not re.match(r"local(\[.*])?$", spark.sparkContext.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; without one, only a local master may use a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[.*])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="ashlar-"))
+        found = "file://" + tempfile.mkdtemp(prefix="ashlar-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,11 +13,14 @@ from .functions import minute_features as mf
 from .functions.processors import cs_minmax, cs_rank
 from .operators import nodes as n
 from .plans import analysis as an
+from .plans.columns import section_percentiles, shared_folder
 from .plans.engine import align_timestamps, calendar
 from .plans.expr import TAILS, Expr, factors_sql, field, node, with_factors
 from .plans.snapshot import minute_features, snapshot_sql
 from .plans.tails import tail_values
 from .sources.panels import PANELS, panel, panel_sql
+from .streaming.bars import validate
+from .streaming.online import OnlineFeatures
 
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +84,46 @@ for _family in mf.FAMILIES:
     register(f"features_{_family}", snapshot_sql(panel_sql("D"), mf.features((_family,), 50_000.0, None)))(lambda s, d, f=_family: minute_features(panel(s, d, "D"), (f,)))
 register("features_base", snapshot_sql(panel_sql("D"), mf.base_features()))(lambda s, d: tail_values(panel(s, d, "D"), mf.base_features(TAILS)))
 
+# bar by bar, and all rows at once
+_ALL = mf.features(("microstructure",), 50.0, None)
+_FILLED = dict(wrap=lambda name, text: f"round(coalesce({text}, 0), {DIGITS}) + 0.0")
+register("features_all_rows", factors_sql(panel_sql("H"), _ALL, **_FILLED))(lambda s, d: minute_features(panel(s, d, "H"), ("microstructure",), snapshot=False))
+
+
+@register("features_online", factors_sql(panel_sql("H"), _ALL, tail="qualify dense_rank() over (order by datetime desc) <= 3", **_FILLED))
+def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the last three bars, which come one by one and out of order after a history."""
+    bars = panel(spark, sf_dir, "H").select(F.col("datetime").alias("time"), F.col("code").alias("symbol"), "open", "high", "low", "close", "volume", F.col("amount").alias("money"))
+    last = [x.time for x in bars.select("time").distinct().orderBy(F.desc("time")).limit(3).collect()]
+    online = OnlineFeatures(spark, f"{shared_folder(spark)}/online-{uuid.uuid4().hex}", ("microstructure",), blocks=4)
+    online.build(bars.where(F.col("time") < F.lit(last[2]).cast("timestamp_ntz")))
+    for batch, k in enumerate((2, 0, 1)):
+        online.process(bars.where(F.col("time") == F.lit(last[k]).cast("timestamp_ntz")), batch)
+    return online.features().drop("date", "bar")
+
+
+_SIDES = ("close", "high", "volume")
+_OTHER = {"close": "case when cast(volume as bigint) % 3 = 0 then close + 0.5 else close end", "high": "high * 1.0005", "volume": "case when code like '%7' then null else volume end"}
+
+
+def _side_sql(c: str) -> str:
+    pairs = f"select {c} as a, {_OTHER[c]} as b from ({panel_sql('E')})"
+    equal = "case when a is null and b is null then 1 when abs(a - b) / nullif(abs(b), 0) < 1e-3 or abs(a - b) < 1e-2 then 1 else 0 end"
+    return f"select '{c}' as feature_name, {r(f'avg({equal})', 'equal_ratio')}, {r('max(abs(a - b))', 'max_abs_diff')}, {r('corr(a, b)', 'correlation')} from ({pairs})"
+
+
+@register("validation_columns", " union all ".join(map(_side_sql, _SIDES)))
+def _validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of features against another one that differs in known places."""
+    p = panel(spark, sf_dir, "E")
+    return validate(p.select("datetime", "code", *_SIDES), p.select("datetime", "code", *[F.expr(_OTHER[c]).alias(c) for c in _SIDES]))
+
+
+_SHARES = {"low": 0.0, "p1": 0.01, "quarter": 0.25, "middle": 0.5, "p90": 0.9, "high": 1.0}
+register("section_percentiles", f"select datetime, {', '.join(r(f'quantile_cont(close, {s})', name) for name, s in _SHARES.items())} from ({panel_sql('L')}) group by 1")(
+    lambda s, d: section_percentiles(panel(s, d, "L"), "close", list(_SHARES.values()), "datetime").select("datetime", *[F.get("percentiles", F.lit(k)).alias(name) for k, name in enumerate(_SHARES)])
+)
+
 # evaluation
 FACTORS = {"ma_ratio": n.Close() / n.Mean(n.Close(), 5), "volume_rank": n.Rank(n.Volume()), "momentum": lib.Momentum(3), "return": n.Close() / n.Ref(n.Close(), 1, "rows") - 1}
 LEAST = 5
