@@ -199,3 +199,33 @@ def test_putting_together_that_dies_midway_changes_nothing(spark, tmp_path):
     assert len(log.folders()) == 3 and store.read("bar_metrics").count() == 3
     log.compact()
     assert len(log.folders()) == 1 and log.entries()[0]["number"] == 2 and store.read("bar_metrics").count() == 3
+
+
+def test_a_growing_log_gives_the_events_of_the_whole_once_each(spark, tmp_path):
+    """A hundred cuts a file, in any order and some again, over several runs that go on from the checkpoint."""
+    import random
+
+    from ashlar.streaming import log_tail as lt
+
+    texts = {"a.log": "\n".join(LOG) + "\n", "b.log": "\r\n".join([*LOG[3:], *LOG]) + "\n"}
+    (tmp_path / "logs").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "logs" / name).write_bytes(text.encode())
+    rows = mo.log_events(mo.numbered(spark.read.text(str(tmp_path / "logs")))).collect()
+    want = sorted((r.path.rsplit("/", 1)[1], r.line, r.type, r.bar_time, r.cost_seconds, r.retry_count, r.n_symbols, r.reason) for r in rows)
+    rnd = random.Random(4)
+    cuts = []
+    for name, text in texts.items():
+        data = text.encode()
+        ends = [0, *sorted(rnd.sample(range(1, len(data)), 99)), len(data)]
+        cuts += [(name, a, data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    rnd.shuffle(cuts)
+    cuts += rnd.sample(cuts, 20)
+    got = []
+    for k in range(0, len(cuts), 60):
+        spark.createDataFrame([(p, a, bytearray(d)) for p, a, d in cuts[k : k + 60]], "path string, at long, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "cuts"))
+        stream = spark.readStream.schema("path string, at long, data binary").parquet(str(tmp_path / "cuts"))
+        q = lt.tail_events(stream).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) > 10
