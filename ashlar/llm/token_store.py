@@ -107,7 +107,9 @@ def encoder(path: str, width: int):
         found = list(map(pieces.get, parts[1:]))
         if None in found:
             found = [learned(p) if f is None else f for p, f in zip(parts[1:], found, strict=True)]
-        return whole(text) if head is None or None in found else head + b"".join(found)
+            if None in found:
+                return whole(text)
+        return whole(text) if head is None else head + b"".join(found)
 
     _tokenizers[path, width] = encode
     return encode
