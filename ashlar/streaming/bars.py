@@ -8,6 +8,7 @@ and a batch give the same rows. Output is written per (date, bar) and replaced w
 from __future__ import annotations
 
 import itertools
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ..sources.readers import DROP_SCHEMA, drop_bars, last_of_each
 
 #: Bars of a trading day: 09:31 to 11:30 and 13:01 to 15:00.
 BAR_RUNS = (("09:31", "11:30"), ("13:01", "15:00"))
+#: Days that features look back on: 13,631 rows of 241 a day, with weekends and holidays.
+LOOK_BACK = timedelta(days=120)
 #: Share of symbols that may be carried forward at a bar.
 MOST_MISSING = 0.01
 
@@ -79,19 +82,26 @@ class BarStore:
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch. A batch that is run again writes its own folder again."""
-        drop_bars(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.path}/bars/run={batch_id}")
-        self.compute_missing()
-
-    def compute_missing(self) -> int:
-        """Compute all complete bar times without output."""
-        bars = self.bars().drop("run")
-        times = bars.groupBy("time").agg(F.count_distinct("symbol").alias("n")).where(F.col("n") >= self.least).select("time")
-        done = self.features()
+        where = f"{self.path}/bars/run={batch_id}"
+        drop_bars(batch).withColumns({"batch": F.lit(batch_id), "date": F.to_date("time")}).write.mode("overwrite").partitionBy("date").parquet(where)
+        dates = [r.date for r in self.spark.read.schema("date date").parquet(where).distinct().collect()]
+        if dates:
+            self.compute_missing(dates)
+
+    def compute_missing(self, dates: list[date] | None = None) -> int:
+        """Compute all complete bar times without output, of some dates or all; of bars and output, only these dates and what features look back on are read."""
+        bars, done = self.bars().drop("run"), self.features()
+        if dates:
+            bars = bars.where(F.col("date").between(F.lit(min(dates) - LOOK_BACK), F.lit(max(dates))))
+            done = None if done is None else done.where(F.col("date").isin(dates))
+        asked = bars.where(F.col("date").isin(dates)) if dates else bars
+        times = asked.groupBy("time").agg(F.count_distinct("symbol").alias("n")).where(F.col("n") >= self.least).select("time")
         if done is not None:
             times = times.join(done.select(F.col("datetime").alias("time")).distinct(), "time", "left_anti")
         todo = [r.time for r in times.orderBy("time").collect()]  # a row per bar time: 241 a day
-        for _, day in itertools.groupby(todo, key=lambda t: t.date()):  # what a pass holds of a code is a day and its look-back
-            out = features_at(bars, list(day), self.families).withColumn("date", F.to_date("datetime")).withColumn("bar", F.date_format("datetime", "HHmmss"))
+        for day, group in itertools.groupby(todo, key=lambda t: t.date()):  # what a pass holds of a code is a day and its look-back
+            near = bars.where(F.col("date").between(F.lit(day - LOOK_BACK), F.lit(day))).drop("date")
+            out = features_at(near, list(group), self.families).withColumn("date", F.to_date("datetime")).withColumn("bar", F.date_format("datetime", "HHmmss"))
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "bar").parquet(f"{self.path}/features")
         return len(todo)
 
