@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,59 +56,48 @@ def encoder(path: str, width: int):
     if tokenizer.get_vocab_size() > 1 << 8 * width:
         raise ValueError(f"ids of this vocabulary don't fit in {width} bytes")
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    tokenize = tokenizer.model.tokenize
     pieces: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
-    kind, code = f"<u{width}", {2: "H", 4: "I"}[width]
-    # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    alphabet = {b: b if b in printable else 256 + sum(x not in printable for x in range(b)) for b in range(256)}
-    punctuation = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, kind).tobytes() for c in ".,;:!?"}
+    kind = f"<u{width}"
 
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    def simple(p: str) -> bytes:
-        """Ids of a piece without its newline; a space before it is part of it."""
-        if p[-1] in punctuation and p[-2:-1].isalpha():
-            return simple(p[:-1]) + punctuation[p[-1]]
-        if p[p[0] == " " :].isalpha():
-            return array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(alphabet))]).tobytes()
-        return whole(p)
+    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or type(tokenizer.model).__name__ != "BPE":
+        _tokenizers[path, width] = whole
+        return whole
 
-    def learned(p: str) -> bytes | None:
-        """Ids of a piece that isn't in the young generation: a newline and what follows it, or a word that follows a space.
+    def learned(new: list[str]) -> list[bytes]:
+        """Ids of pieces that were never seen, by one call of the library: behind a word, one after another, as they stand in texts."""
+        texts = [p if p[0] == "\n" else " " + p for p in new]
+        found = tokenizer.encode("a" + "".join(texts), add_special_tokens=False)
+        starts = np.array([a for a, _ in found.offsets], np.int64)
+        edges = np.searchsorted(starts, np.cumsum([1, *map(len, texts)])).tolist()
+        ids = np.array(found.ids, kind).tobytes()
+        return [ids[a * width : b * width] for a, b in zip(edges, edges[1:], strict=False)]
 
-        None, and nothing learned, where white space of another kind stands at either end, and so beside the space or newline.
-        """
+    def keep(p: str, ids: bytes) -> None:
         nonlocal pieces, older
-        found = older.get(p)
-        if found is None:
-            if p[-1].isspace() or p[p[0] == "\n"].isspace():
-                return None
-            found = simple(" " + p) if p[0] != "\n" else newline + simple(p[1:])
         if len(p) <= 64:
             if len(pieces) >= CACHE_ENTRIES:
                 pieces, older = {}, pieces
-            pieces[p] = found
-        return found
-
-    if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or type(tokenizer.model).__name__ != "BPE":
-        _tokenizers[path, width] = whole
-        return whole
-    newline = whole("\n")
+            pieces[p] = ids
 
     def encode(text: str) -> bytes:
-        parts = text.replace("\n", " \n").split(" ")
-        if "" in parts or "\n" in parts or any(a in text for a in added):
+        first, *parts = text.replace("\n", " \n").split(" ")
+        if not first or "" in parts or "\n" in parts or first[-1].isspace() or any(a in text for a in added):
             return whole(text)
-        head = learned(parts[0]) if parts[0][0] == "\n" else None if parts[0][-1].isspace() else whole(parts[0])
-        found = list(map(pieces.get, parts[1:]))
+        found = list(map(pieces.get, parts))
         if None in found:
-            found = [learned(p) if f is None else f for p, f in zip(parts[1:], found, strict=True)]
-            if None in found:
-                return whole(text)
-        return whole(text) if head is None else head + b"".join(found)
+            fresh: dict[str, bytes | None] = {p: older.get(p) for p, f in zip(parts, found, strict=True) if f is None}
+            new = [p for p, f in fresh.items() if f is None]
+            if any(p[-1].isspace() or p[p[0] == "\n"].isspace() for p in new):
+                return whole(text)  # white space of another kind at either end of a piece, and so beside a space or newline
+            fresh |= zip(new, learned(new), strict=True)
+            for p, ids in fresh.items():
+                keep(p, ids)
+            found = [fresh[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+        return whole(first) + b"".join(found)
 
     _tokenizers[path, width] = encode
     return encode
