@@ -43,7 +43,7 @@ CLASSES, ENDING = 32, 3
 WIDTH, ROUNDS, LANES, PART = 16, 3, 512, 1 << 22
 #: Tokens of a lane in a window, that is how far gradients go back: WINDOW, or more where lanes are few, up to FULL tokens of all and LONG_WINDOW.
 WINDOW, FULL, LONG_WINDOW = 16, 2048, 128
-RATE, CLIP, BLOCK = 0.08, 1.0, 1 << 14
+RATE, CLIP, BLOCK = 0.12, 1.0, 1 << 14
 #: Logits end here, so that their exponentials stay finite.
 MOST_LOGIT = np.float32(60)
 #: Tokens that are put into lanes at once, and distinct words that a task counts at once.
@@ -334,7 +334,7 @@ class Network:
         grads["embed"] = (used[heads], np.add.reduceat((flat @ p["wx"].T)[order], heads))
 
     def step(self, grads: dict, tokens: int) -> None:
-        """Adagrad on the mean gradient, whose norm is held at CLIP."""
+        """Adagrad on the gradient divided by so many tokens, whose norm is held at CLIP."""
         norm = math.sqrt(sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads.values())) / tokens
         scale = np.float32(min(1.0, CLIP / norm if norm else 1.0) / tokens)
         for k, g in grads.items():
@@ -365,14 +365,20 @@ class Lanes:
         self.length = np.array([sum(len(docs[i]) for i in h) for h in held], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.length)[:-1]])
 
-    def windows(self, end: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """Places, whether they are in their lane, what is given, where documents begin, what is to be told: steps x lanes that go on."""
-        t = 0
-        while t < self.length[0]:
-            n = int((self.length > t).sum())
-            steps = min(max(WINDOW, FULL // n), LONG_WINDOW)
-            inside = np.arange(t, min(t + steps, int(self.length[0])))[:, None] < self.length[None, :n]
-            place = np.where(inside, self.at[:n] + np.arange(t, t + len(inside))[:, None], self.at[:n])
+    def windows(self, end: int, together: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+        """Places, whether they are in their lane, what is given, where documents begin, what is to be told: steps x lanes that go on.
+
+        Lanes begin together, or end together: then the first windows hold the longest lanes alone, and the last ones all.
+        """
+        t, longest = 0, int(self.length[0])
+        ahead = longest - self.length if together else np.zeros_like(self.length)
+        while t < longest:
+            n = int((ahead < t + WINDOW).sum()) if together else int((self.length > t).sum())
+            steps = min(max(WINDOW, FULL // n), LONG_WINDOW, longest - t)
+            n = int((ahead < t + steps).sum()) if together else n
+            at = np.arange(t, t + steps)[:, None] - ahead[None, :n]
+            inside = (at >= 0) & (at < self.length[None, :n])
+            place = np.where(inside, self.at[:n] + at, self.at[:n])
             begins = self.begins[place]
             yield place, inside, np.where(begins, end, self.flat[place - 1]).astype(np.int64), begins, self.flat[place].astype(np.int64)
             t += steps
@@ -381,9 +387,10 @@ class Lanes:
 def learn_from(net: Network, docs: list[np.ndarray], lanes: int) -> None:
     """One pass over some documents, a step per window."""
     dealt = Lanes(docs, lanes)
-    h = np.zeros((len(dealt.length), WIDTH), np.float32)
-    for _, inside, given, begins, target in dealt.windows(net.end):
-        states, kept = net.forward(given, begins, h[: given.shape[1]])
+    held = np.zeros((len(dealt.length), WIDTH), np.float32)
+    for _, inside, given, begins, target in dealt.windows(net.end, together=True):
+        n = given.shape[1]
+        states, kept = net.forward(given, begins, held[:n])
         grads: dict = {}
         rows = np.flatnonzero(inside.ravel())
         flat = states.reshape(-1, WIDTH)
@@ -391,8 +398,9 @@ def learn_from(net: Network, docs: list[np.ndarray], lanes: int) -> None:
         back = np.zeros_like(flat)
         back[rows] = part
         net.backward(given, begins, kept, back.reshape(states.shape), grads)
-        net.step(grads, len(rows))
-        h = states[-1]
+        # windows of few lanes, with a long document or two, weigh by their tokens
+        net.step(grads, max(len(rows), len(dealt.length) * WINDOW))
+        held[:n] = states[-1]
 
 
 def log_likelihoods(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -472,7 +480,7 @@ def learned(texts: DataFrame, vocab: Vocabulary) -> np.ndarray:
             net.load(vector)
             for _, docs in chunks_of(batches, CHUNK):
                 n = sum(map(len, docs))
-                learn_from(net, docs, int(np.clip(n // 1024, 8, LANES)))
+                learn_from(net, docs, int(np.clip(n // 2048, 8, LANES)))
                 tokens += n
             if tokens:
                 out, part = net.vector().astype(np.float64) * tokens, TaskContext.get().partitionId()

@@ -156,6 +156,21 @@ def test_it_learns_the_order_of_words(spark):
     assert len(got) > 30 and sum(r["score"] for r in got) > 0.8 * sum(r["base_score"] for r in got) and all(r["score"] > r["base_score"] for r in got)
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_windows_pass_every_token_once_in_order(together):
+    """Also with one document much longer than the others; when lanes end together, the last window holds them all."""
+    rnd = np.random.default_rng(3)
+    docs = [np.arange(1, n + 1).astype(np.uint16) for n in [*rnd.integers(1, 60, 50), 900]]
+    dealt = lm.Lanes(docs, 9)
+    passed = []
+    for place, inside, given, begins, target in dealt.windows(0, together):
+        assert begins[~inside].all() and ((given == target - 1) | ~inside).all() and (target[inside & begins] == 1).all()
+        passed.append(place[inside])
+        last = inside
+    assert sorted(np.concatenate(passed).tolist()) == list(range(len(dealt.flat)))
+    assert not together or (last.shape[1] == 9 and last[-1].all())
+
+
 def test_odd_rows(spark, no_docs):
     assert found(no_docs) == []
     rows = [(None, "one two", "en", "a", 0), (None, None, "en", None, 0), (3, "x" * 100_000 + " two", "en", "a", 0), (3, "", "en", "a", 0), (4, "two\x0bTWO\x1fé", None, "a", 0), (4, "two\x0bTWO\x1fé", None, "a", 0)]
