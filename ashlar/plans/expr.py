@@ -340,15 +340,20 @@ def _rank(a, p, d):
     return f"(case when {a[0]} is not null then cast({text} as double) end)"
 
 
+def _section_of(d: str) -> str:
+    """The section of a row. Spark adds its rows up in the order of codes, so that equal sections have equal sums to the last bit however rows come."""
+    return f"{SECTION} order by code rows between unbounded preceding and unbounded following" if d == SPARK else SECTION
+
+
 def _section(a, p, d):
     kind = p[0]
     if kind == "quantile":
-        return f"{'percentile' if d == SPARK else 'quantile_cont'}({a[0]}, {p[1]!r}) over ({SECTION})"
-    return f"{AGGREGATES[kind]}({a[0]}) over ({SECTION})"
+        return f"{'percentile' if d == SPARK else 'quantile_cont'}({a[0]}, {p[1]!r}) over ({_section_of(d)})"
+    return f"{AGGREGATES[kind]}({a[0]}) over ({_section_of(d)})"
 
 
 def _section_cov(a, p, d):
-    return f"covar_samp({a[0]}, {a[1]}) over ({SECTION})"
+    return f"covar_samp({a[0]}, {a[1]}) over ({_section_of(d)})"
 
 
 #: Window operations: operand texts, parameters and dialect to text.

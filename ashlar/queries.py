@@ -281,12 +281,12 @@ register(
 
 
 def _look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose factor changes when what comes after them is cut off: there are none."""
+    """Rows whose factor, to six digits, changes when what comes after them is cut off: there are none."""
     p, cut = panel(spark, sf_dir, "E"), F.to_timestamp_ntz(F.lit("2024-01-15"))
     exprs = {"f": n.Zscore(lib.Momentum(5))}
     all_rows = with_factors(p, exprs).where(F.col("datetime") <= cut)
     past = with_factors(p.where(F.col("datetime") <= cut), exprs).withColumnRenamed("f", "g")
-    return all_rows.join(past, ["datetime", "code"], "full_outer").agg(F.count_if(~F.col("f").eqNullSafe(F.col("g"))).alias("differing"))
+    return all_rows.join(past, ["datetime", "code"], "full_outer").agg(F.count_if(~F.round("f", DIGITS).eqNullSafe(F.round("g", DIGITS))).alias("differing"))
 
 
 # what else is asked of parts, portfolios and preparation

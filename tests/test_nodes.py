@@ -84,3 +84,12 @@ def test_order_of_rows_does_not_matter(spark):
     rows = [(d, c, float(d * 3 + i)) for d in range(8) for i, c in enumerate("abc")]
     e = n.Rank(n.EMA(n.Close(), 3))
     assert values(spark, rows, e) == values(spark, rows[::-1], e)
+
+
+def test_sections_are_equal_to_the_last_bit_however_rows_come(spark):
+    x = np.random.default_rng(3).normal(size=700) * np.pi
+    rows = frame(spark, [(d, f"c{i}", float(v), float(v * v)) for d in (0, 1) for i, v in enumerate(x)])
+    exprs = {"z": n.Zscore(n.Close()), "fit": n.Neutralize(n.Close(), n.Volume()), "share": n.Scale(n.Close())}
+    a, b = (with_factors(df, exprs).where("datetime < '2024-01-02'").toPandas().sort_values("code") for df in (rows, rows.orderBy("volume").repartition(3)))
+    for c in exprs:
+        assert a[c].to_numpy().tobytes() == b[c].to_numpy().tobytes(), c
