@@ -199,10 +199,15 @@ def split_train_test(df: DataFrame, ratio: float = 0.7, by_time: bool = True) ->
 
 
 # information coefficients
+def deviation(x: Column | str) -> Column:
+    """Sample deviation of a group; exactly 0 for equal values, of which merging the sums of tasks can leave a rest."""
+    return F.when(F.min(x) < F.max(x), F.stddev_samp(x)).otherwise(F.stddev_samp(x) * 0)
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation of pairs; null without variance."""
     a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(a) * F.stddev_samp(b))
+    return F.try_divide(F.covar_samp(x, y), deviation(a) * deviation(b))
 
 
 def daily_ic(df: DataFrame, method: str = "pearson", min_periods: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -221,7 +226,7 @@ def ic_series(df: DataFrame, method: str = "pearson", forward_periods: int = 1,
 
 def ic_metrics(ic: DataFrame, *keys: str) -> DataFrame:
     """Mean, deviation, their ratio, share above 0, mean size and t statistic of a series of coefficients."""
-    mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
+    mean, std, n = F.avg("ic"), deviation("ic"), F.count("ic")
     return ic.groupBy(*keys).agg(n.alias("n"), mean.alias("ic_mean"), std.alias("ic_std"), F.try_divide(mean, std).alias("icir"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"), F.avg(F.abs("ic")).alias("ic_abs_mean"), F.try_divide(mean, std / F.sqrt(n.cast("double"))).alias("t_stat"))
 
 
@@ -321,9 +326,9 @@ def drawdowns(returns: DataFrame) -> DataFrame:
 def return_metrics(returns: DataFrame, risk_free: float = 0.0, per_year: int = DAYS_A_YEAR) -> DataFrame:
     r, n = F.col("ret"), F.count("ret")
     total = F.product(1 + r) - 1
-    vol = F.stddev_samp(r) * math.sqrt(per_year)
+    vol = deviation(r) * math.sqrt(per_year)
     excess = r - risk_free / per_year
-    down = F.stddev_samp(F.when(excess < 0, excess)) * math.sqrt(per_year)
+    down = deviation(F.when(excess < 0, excess)) * math.sqrt(per_year)
     m = drawdowns(returns).groupBy("series").agg(
         n.alias("n"), total.alias("total_return"), F.when(total > -1, F.pow(1 + total, F.try_divide(F.lit(float(per_year)), n.cast("double"))) - 1).alias("annual_return"), vol.alias("volatility"),
         F.try_divide(F.avg(excess) * per_year, vol).alias("sharpe"), F.try_divide(F.avg(excess) * per_year, down).alias("sortino"), F.min("drawdown").alias("max_drawdown"),
@@ -341,10 +346,10 @@ def value_at_risk(returns: DataFrame, confidence: float = 0.95) -> DataFrame:
 def beta_alpha(returns: DataFrame, benchmark: DataFrame, risk_free: float = 0.0, per_year: int = DAYS_A_YEAR) -> DataFrame:
     """Beta, alpha and information ratio against benchmark(timestamp, bench)."""
     pairs = returns.join(benchmark, "timestamp").where("ret IS NOT NULL AND bench IS NOT NULL")
-    beta = F.try_divide(F.covar_samp("ret", "bench"), F.var_samp("bench"))
+    beta = F.try_divide(F.covar_samp("ret", "bench"), F.when(F.min("bench") < F.max("bench"), F.var_samp("bench")))
     alpha = F.avg("ret") * per_year - (risk_free + beta * (F.avg("bench") * per_year - risk_free))
     active = F.col("ret") - F.col("bench")
-    return pairs.groupBy("series").agg(beta.alias("beta"), alpha.alias("alpha"), F.try_divide(F.avg(active) * math.sqrt(per_year), F.stddev_samp(active)).alias("information_ratio"))
+    return pairs.groupBy("series").agg(beta.alias("beta"), alpha.alias("alpha"), F.try_divide(F.avg(active) * math.sqrt(per_year), deviation(active)).alias("information_ratio"))
 
 
 def all_metrics(returns: DataFrame, benchmark: DataFrame | None = None, risk_free: float = 0.0, per_year: int = DAYS_A_YEAR) -> DataFrame:
@@ -352,7 +357,7 @@ def all_metrics(returns: DataFrame, benchmark: DataFrame | None = None, risk_fre
     out = return_metrics(returns, risk_free, per_year).join(value_at_risk(returns), "series")
     if benchmark is None:
         return out
-    active = returns.join(benchmark, "timestamp").groupBy("series").agg((F.stddev_samp(F.col("ret") - F.col("bench")) * math.sqrt(per_year)).alias("tracking_error"))
+    active = returns.join(benchmark, "timestamp").groupBy("series").agg((deviation(F.col("ret") - F.col("bench")) * math.sqrt(per_year)).alias("tracking_error"))
     return out.join(beta_alpha(returns, benchmark, risk_free, per_year), "series", "left").join(active, "series", "left")
 
 
@@ -395,7 +400,7 @@ def combined(wide: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def standardized_columns(wide: DataFrame, names: list[str]) -> DataFrame:
     """(timestamp, asset, x): the z-scores per date of several factors as one array; rows where one is missing are left out."""
-    stats = wide.groupBy("timestamp").agg(as_array_of(F.avg, names).alias("_mean"), as_array_of(F.stddev_samp, names).alias("_std"))
+    stats = wide.groupBy("timestamp").agg(as_array_of(F.avg, names).alias("_mean"), as_array_of(deviation, names).alias("_std"))
     d = wide.select("timestamp", "asset", as_array(names).alias("x")).join(stats, "timestamp")
     score = lambda x, i: F.when(F.get("_std", i) > 0, F.try_divide(x - F.get("_mean", i), F.get("_std", i))).otherwise(x)
     d = d.select("timestamp", "asset", F.transform("x", score).alias("x"))
@@ -456,7 +461,7 @@ def rolling_parts(df: DataFrame, window: int = 60, step: int = 20) -> DataFrame:
 def trend(metrics: DataFrame, column: str = "ic_mean") -> DataFrame:
     """Slope of a metric over its parts in order, and the deviation of the ratio."""
     d = metrics.withColumn("k", (F.row_number().over(Window.orderBy("part")) - 1).cast("double"))
-    return d.agg(F.coalesce(F.try_divide(F.covar_samp("k", column), F.var_samp(F.when(F.col(column).isNotNull(), F.col("k")))), F.lit(0.0)).alias("slope"), F.stddev_samp("icir").alias("icir_std"))
+    return d.agg(F.coalesce(F.try_divide(F.covar_samp("k", column), F.var_samp(F.when(F.col(column).isNotNull(), F.col("k")))), F.lit(0.0)).alias("slope"), deviation("icir").alias("icir_std"))
 
 
 def by_group(df: DataFrame, groups: DataFrame) -> DataFrame:
@@ -509,7 +514,7 @@ def subsamples(df: DataFrame, n: int = 10, ratio: float = 0.8, seed: int = 0) ->
 
 def stability(metrics: DataFrame) -> DataFrame:
     """1 - deviation / |mean| of the parts' mean coefficients."""
-    return metrics.agg((1 - F.try_divide(F.stddev_samp("ic_mean"), F.abs(F.avg("ic_mean")))).alias("stability"), F.avg("ic_mean").alias("mean"))
+    return metrics.agg((1 - F.try_divide(deviation("ic_mean"), F.abs(F.avg("ic_mean")))).alias("stability"), F.avg("ic_mean").alias("mean"))
 
 
 def parameter_parts(frames: dict[str, DataFrame]) -> DataFrame:
@@ -521,8 +526,8 @@ def sensitivity(metrics: DataFrame) -> DataFrame:
     """One row over parts: mean, range and deviation of their coefficients, the best part by ratio, stability."""
     best = F.max_by("part", F.struct(F.col("icir").isNotNull(), "icir"))
     return metrics.agg(
-        F.count("*").alias("n_parts"), F.avg("ic_mean").alias("mean_ic"), (F.max("ic_mean") - F.min("ic_mean")).alias("ic_range"), F.stddev_samp("ic_mean").alias("ic_std"), best.alias("best_part"), F.max("icir").alias("best_icir"),
-        F.coalesce(1 - F.try_divide(F.stddev_samp("ic_mean"), F.abs(F.avg("ic_mean"))), F.lit(0.0)).alias("stability"),
+        F.count("*").alias("n_parts"), F.avg("ic_mean").alias("mean_ic"), (F.max("ic_mean") - F.min("ic_mean")).alias("ic_range"), deviation("ic_mean").alias("ic_std"), best.alias("best_part"), F.max("icir").alias("best_icir"),
+        F.coalesce(1 - F.try_divide(deviation("ic_mean"), F.abs(F.avg("ic_mean"))), F.lit(0.0)).alias("stability"),
     )
 
 

@@ -54,7 +54,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def with_rows(n: int, mean: np.ndarray, square: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and co-moments after some more complete rows."""
-    m = x.mean(axis=0)
+    m = x[0] + (x - x[0]).mean(axis=0)  # equal values have this mean exactly, and no rest of a variance
     d = x - m
     return merged((n, mean, square), (len(x), m, d.T @ d), slice(None))
 

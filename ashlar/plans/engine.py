@@ -97,10 +97,10 @@ def validation_report(panel: DataFrame, required: tuple[str, ...] = ("datetime",
 
 def compare_factors(panel: DataFrame, a: Expr, b: Expr) -> DataFrame:
     """One row: correlation, mean, deviation and largest size of the difference, root mean square."""
-    from .analysis import correlation
+    from .analysis import correlation, deviation
 
     d = with_factors(panel, {"a": a, "b": b}).withColumn("diff", F.col("a") - F.col("b"))
-    return d.agg(correlation(F.col("a"), F.col("b")).alias("corr"), F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("std_diff"), F.max(F.abs("diff")).alias("max_abs_diff"), F.sqrt(F.avg(F.col("diff") * F.col("diff"))).alias("rmse"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("identical"))
+    return d.agg(correlation(F.col("a"), F.col("b")).alias("corr"), F.avg("diff").alias("mean_diff"), deviation("diff").alias("std_diff"), F.max(F.abs("diff")).alias("max_abs_diff"), F.sqrt(F.avg(F.col("diff") * F.col("diff"))).alias("rmse"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("identical"))
 
 
 def future_bias(panel: DataFrame, factor: Expr, times: list[str]) -> DataFrame:

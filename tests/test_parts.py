@@ -188,3 +188,14 @@ def test_default_handler_is_features_filled_and_normalised(spark, minute_bars):
     assert found.count() == 18 and len(found.columns) == 576
     values = np.concatenate([[v for v in r[2:]] for r in found.collect()]).astype(float)
     assert not np.isnan(values).any() and values.min() >= 0 and values.max() <= 1
+
+
+def test_equal_values_have_no_correlation_in_many_tasks(spark):
+    """(1 / 49) * 49 isn't 1, so merging the sums of two tasks of 49 rows leaves a rest of a variance."""
+    rows = spark.range(0, 98, 1, 2).select(F.lit("2024-01-01").cast("timestamp_ntz").alias("timestamp"), F.lit(1.0).alias("factor_value"), F.sin("id").alias("forward"))
+    assert an.daily_ic(rows, "pearson", 5).first().ic is None
+    metrics = an.ic_metrics(spark.range(0, 98, 1, 2).select(F.lit(1.0).alias("ic"))).first()
+    assert (metrics.ic_std, metrics.icir, metrics.t_stat) == (0.0, None, None)
+    assert an.beta_alpha(rows.select("timestamp", F.lit("a").alias("series"), F.col("forward").alias("ret")), rows.limit(1).select("timestamp", F.lit(1.0).alias("bench"))).first().beta is None
+    flat = rows.select(F.lit(0.1).alias("a"), F.col("forward").alias("b"))
+    assert an.factor_correlation(flat, ["a", "b"]).first()["corr"] is None
