@@ -124,41 +124,18 @@ def correlations(covariance: np.ndarray) -> np.ndarray:
 def ranks(arrays: DataFrame, width: int) -> DataFrame:
     """``x`` with each value replaced by its average rank in its column, from 1; rows come in any order.
 
-    All columns are ranked by one range partitioning of (column, value). Within a part, rows are passed in ascending and in descending order,
-    which tells each its first and its last place among equal ones without holding these; a table of a row per part and column
-    tells how many stand in the parts before. A last exchange puts the rows together again.
+    All columns are ranked by one range partitioning of (column, value). Within a part and column, a window that spills tells each
+    value its first and its last place among equal ones; a table of a row per part and column tells how many stand in the
+    parts before. A last exchange puts the rows together again. Python has no share in it.
     """
     rows = saved(arrays.select("x").withColumn("row", F.monotonically_increasing_id()))
     long = rows.select("row", F.posexplode("x").alias("column", "value"))
-
-    def passed(batches: Iterator[pa.RecordBatch], up: bool) -> Iterator[pa.RecordBatch]:
-        column, value, place, first = -1, np.nan, 0, 0  # of the last row; upwards: its place, and the first of its equals
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c, v = batch.column("column").to_numpy(), batch.column("value").to_numpy()
-            new_column = np.concatenate([[c[0] != column], c[1:] != c[:-1]])
-            new = new_column | np.concatenate([[v[0] != value], v[1:] != v[:-1]])
-            if up:
-                at = np.arange(len(c)) + (place + 1)
-                start = np.maximum.accumulate(np.where(new_column, np.arange(len(c)), -1))
-                at = np.where(start >= 0, np.arange(len(c)) - start, at)
-            else:
-                at = batch.column("place").to_numpy()
-            head = np.maximum.accumulate(np.where(new, np.arange(len(c)), -1))
-            ends = np.where(head >= 0, at[head], first)
-            column, value, place, first = int(c[-1]), float(v[-1]), int(at[-1]), int(ends[-1])
-            if up:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("column"), batch.column("value"), pa.array(at, pa.int64()), pa.array(ends, pa.int64())], ["row", "column", "value", "place", "low"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("column"), pa.array((batch.column("low").to_numpy() + ends) / 2)], ["row", "column", "middle"])
-
-    sorted_up = long.repartitionByRange("column", "value").sortWithinPartitions("column", "value").mapInArrow(lambda it: passed(it, True), "row long, column int, value double, place long, low long")
-    down = sorted_up.sortWithinPartitions(F.desc("column"), F.desc("value"), F.desc("place")).mapInArrow(lambda it: passed(it, False), "row long, column int, middle double")
-    down = saved(down.withColumn("part", F.spark_partition_id()))
-    parts = down.groupBy("column", "part").agg(F.count("*").alias("n"))
+    ranged = long.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id())
+    w = Window.partitionBy("column", "part").orderBy("value")  # up to the current value, equal ones included
+    placed = saved(ranged.select("row", "column", "part", ((F.rank().over(w) + F.count("*").over(w)) / 2).alias("middle")))
+    parts = placed.groupBy("column", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = down.join(parts.select("column", "part", before.alias("before")), ["column", "part"]).select("row", "column", (F.col("before") + F.col("middle") + 1).alias("rank"))
+    ranked = placed.join(parts.select("column", "part", before.alias("before")), ["column", "part"]).select("row", "column", (F.col("before") + F.col("middle")).alias("rank"))
     together = ranked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("column", "rank"))).alias("r"))  # width entries a row
     return together.select(F.transform("r", lambda r: r["rank"]).alias("x"))
 

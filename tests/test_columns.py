@@ -157,3 +157,14 @@ def test_no_task_has_a_whole_section(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(x) > 2 and x.max() < 10_000
     assert co.section_percentiles(df, "v", [0.5]).first().percentiles[0] == pytest.approx(float(np.median(df.toPandas()["v"])))
+
+
+def test_ranks_need_no_python_workers(spark, monkeypatch):
+    """Half of a column has one value, which is in one part; the workers of tasks would add to an executor's memory."""
+    rnd = np.random.default_rng(8)
+    x = np.stack([np.where(rnd.random(3000) < 0.5, 2.0, rnd.normal(size=3000)), rnd.integers(-3, 3, 3000) / 7], axis=1)
+    df = arrays(spark, x)
+    monkeypatch.setattr(type(df), "mapInArrow", None)
+    got = np.array([r.x for r in co.ranks(df, 2).collect()])
+    want = pd.DataFrame(x).rank().to_numpy()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
