@@ -16,6 +16,8 @@ tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,9 @@ END_ID = 2
 #: Ids of words seen before, per Python worker: a young and an old generation of so many each (about 160 MB together).
 CACHE_ENTRIES = 400_000
 
+#: White space other than the space and the newline, as str.isspace tells it.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -50,6 +55,7 @@ def encoder(path: str, width: int):
     """
     if (path, width) in _tokenizers:
         return _tokenizers[path, width]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel parts
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -67,37 +73,46 @@ def encoder(path: str, width: int):
         _tokenizers[path, width] = whole
         return whole
 
-    def learned(new: list[str]) -> list[bytes]:
-        """Ids of pieces that were never seen, by one call of the library: behind a word, one after another, as they stand in texts."""
-        texts = [p if p[0] == "\n" else " " + p for p in new]
-        found = tokenizer.encode("a" + "".join(texts), add_special_tokens=False)
-        starts = np.array([a for a, _ in found.offsets], np.int64)
-        edges = np.searchsorted(starts, np.cumsum([1, *map(len, texts)])).tolist()
-        ids = np.array(found.ids, kind).tobytes()
-        return [ids[a * width : b * width] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def keep(p: str, ids: bytes) -> None:
-        nonlocal pieces, older
-        if len(p) <= 64:
-            if len(pieces) >= CACHE_ENTRIES:
-                pieces, older = {}, pieces
-            pieces[p] = ids
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)  # of tokens in bytes: a character of a byte-level token stands for a byte
+    for token, i in tokenizer.get_vocab().items():
+        if i < len(sizes):
+            sizes[i] = len(token)
+
+    def learned(first: str, new: list[str]) -> list[bytes]:
+        """Ids of a text's first word and of pieces that were never seen, by one call of the library: behind the word, one after another, as they stand in texts."""
+        texts = [first, *[p if p[0] == "\n" else " " + p for p in new]]
+        text = "".join(texts)
+        found = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ends = np.cumsum([*map(len, texts if text.isascii() else map(str.encode, texts))])
+        reached = np.cumsum(sizes[found])
+        edges = np.searchsorted(reached, ends)
+        if not len(found) or reached[-1] != ends[-1] or (reached[edges] != ends).any():  # not a token per byte
+            return [whole("a" + t)[len(whole("a")) :] if k else whole(t) for k, t in enumerate(texts)]
+        ids, edges = np.array(found, kind).tobytes(), ((edges + 1) * width).tolist()
+        return [ids[a:b] for a, b in zip([0, *edges], edges, strict=False)]
 
     def encode(text: str) -> bytes:
+        nonlocal pieces, older
         first, *parts = text.replace("\n", " \n").split(" ")
         if not first or "" in parts or "\n" in parts or first[-1].isspace() or any(a in text for a in added):
             return whole(text)
-        found = list(map(pieces.get, parts))
-        if None in found:
-            fresh: dict[str, bytes | None] = {p: older.get(p) for p, f in zip(parts, found, strict=True) if f is None}
-            new = [p for p, f in fresh.items() if f is None]
-            if any(p[-1].isspace() or p[p[0] == "\n"].isspace() for p in new):
-                return whole(text)  # white space of another kind at either end of a piece, and so beside a space or newline
-            fresh |= zip(new, learned(new), strict=True)
-            for p, ids in fresh.items():
-                keep(p, ids)
-            found = [fresh[p] if f is None else f for p, f in zip(parts, found, strict=True)]
-        return whole(first) + b"".join(found)
+        if len(pieces) >= CACHE_ENTRIES:
+            pieces, older = {}, pieces
+        missing = set(parts).difference(pieces)
+        if not missing:
+            return whole(first) + b"".join(map(pieces.__getitem__, parts))
+        again = [p for p in missing if p in older]
+        new = list(missing.difference(again))
+        if OTHER_SPACE.search("".join(new)) and any(p[-1].isspace() or p[p[0] == "\n"].isspace() for p in new):
+            return whole(text)  # white space of another kind at either end of a piece, and so beside a space or newline
+        pieces.update(zip(again, map(older.__getitem__, again), strict=True))
+        begin, *ids = learned(first, new) if new else [whole(first)]
+        pieces.update(zip(new, ids, strict=True))
+        out = begin + b"".join(map(pieces.__getitem__, parts))
+        for p in new:
+            if len(p) > 64:
+                del pieces[p]
+        return out
 
     _tokenizers[path, width] = encode
     return encode

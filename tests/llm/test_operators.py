@@ -605,3 +605,15 @@ def test_model_of_separable_texts_stays_finite():
     x = np.column_stack([y * rnd.uniform(1.5, 4, 9000), y * rnd.uniform(0.1, 30, 9000), rnd.uniform(0, 10, 9000)])
     w = np.array(toxicity.logistic(x, y))
     assert (((w[0] + x @ w[1:]) >= 0) == (y > 0)).all()
+
+
+def test_encoder_equals_the_library_while_its_cache_turns_over(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_store, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(token_store, "_tokenizers", {})
+    encode = token_store.encoder(path, 2)
+    for text in ["don't stop é日本 one\ntwo", "one two three four five", "one  two", "a " + "x" * 70 + " b " + "x" * 70, "one two\x1c three", "'s 12 é\n's", "five four\nthree"] * 2:
+        assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
