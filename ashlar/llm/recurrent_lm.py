@@ -24,12 +24,12 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +46,44 @@ WINDOW, FULL, LONG_WINDOW = 16, 2048, 128
 RATE, CLIP, BLOCK = 0.12, 1.0, 1 << 14
 #: Logits end here, so that their exponentials stay finite.
 MOST_LOGIT = np.float32(60)
-#: Tokens that are put into lanes at once, and distinct words that a task counts at once.
-CHUNK, HELD = 1 << 23, 1 << 18
+#: Tokens that are put into lanes at once; bytes of text whose words a task counts at once, and looks up at once.
+CHUNK, HELD, TEXT = 1 << 23, 1 << 25, 1 << 23
 SMOOTH = 0.1
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a text: what stands between the six ASCII white-space characters."""
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts (binary), one text after another, and the text each is of: what stands between the six ASCII white-space
+    characters, A-Z lower-cased. Arrow's functions go by bytes, and strings are only looked at as such, so other bytes stay as they are."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    words, of = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty word there
+    return words.filter(some).view(pa.binary()), of[some.to_numpy(zero_copy_only=False)]
+
+
+def stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A task's rows again, in batches of about so many bytes of text, or of one longer text."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + size - n, side="right"))
+            if to == at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                n += int(ends[to - 1]) - before
+                at = to
+            if at < batch.num_rows or n >= size:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+    pa.default_memory_pool().release_unused()
 
 
 def class_of(word: bytes) -> int:
@@ -67,19 +97,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """Saved: word, c of all texts; the row with a null word counts the texts, that is their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ends = Counter(), 0
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*held, None], pa.binary()).cast(pa.string()), pa.array([*held.values(), ends], pa.int64())], ["word", "c"])
-
-        for part in pieces(batches):
-            for text in part.column("text").to_pylist():
-                held.update(words_of(text))
-            ends += part.num_rows
-            if len(held) >= HELD:
-                yield rows()
-                held, ends = Counter(), 0
-        yield rows()
+        for part in stretches(batches, HELD):
+            found = words_of(part.column("text"))[0].value_counts()
+            words, c = found.field("values").view(pa.string()), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(1, pa.string())]), pa.concat_arrays([c, pa.array([part.num_rows], pa.int64())])], ["word", "c"])
 
     return save(texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "word-counts")
 
@@ -129,8 +150,8 @@ def frequent(counts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The dictionary of the tasks and the sums over all words, from the counts."""
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
-    top = frequent(counts.where(f"octet_length(word) <= {LONGEST}")).orderBy(F.desc("c"), "word").collect()
-    common, held = [r.word.encode() for r in top], np.array([r.c for r in top], np.int64)
+    top = frequent(counts.where(f"octet_length(word) <= {LONGEST}")).orderBy(F.desc("c"), "word").select(F.col("word").cast("binary").alias("word"), "c").collect()
+    common, held = [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64)
     head = set(common[:HEAD])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +171,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(common, held, sums.ends or 0, sums.n or 0, sums.v, n, v)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        return -1
-
-
 ENCODED = "row long, doc_id long, held_out boolean, round int, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<string>, times array<int>"
 
 
@@ -165,29 +181,35 @@ def encoded(docs: DataFrame, vocab: Vocabulary, held_out) -> DataFrame:
     names = [f.split()[0] for f in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(zip(vocab.common, range(len(vocab.common)), strict=True))
-        head = min(HEAD, len(vocab.common))
+        common, head = pa.array(vocab.common, pa.binary()), min(HEAD, len(vocab.common))
         classes = np.array([class_of(w) for w in vocab.common], np.int64)
-        symbol_of = np.concatenate([vocab.symbols[:head], vocab.rest[classes[head:]]])
-        for part in pieces(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for text in part.column("text").to_pylist():
-                tokens = words_of(text)
-                at = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                known = at[at >= 0]
-                rare = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
-                symbols = np.empty(len(tokens) + 1, np.uint16)
-                symbols[:-1][at >= 0] = symbol_of[known]
-                rare_class = np.array([class_of(tokens[i]) for i in np.flatnonzero(at < 0).tolist()], np.int64)
-                symbols[:-1][at < 0] = vocab.rest[rare_class]
-                symbols[-1] = vocab.end
-                rest = known[known >= head]
-                inside = logs[rest].sum() - share[classes[rest]].sum() - share[rare_class].sum()
-                for column, value in zip(out, (len(tokens) + 1, len(known) + int(vocab.ends > 0), logs[known].sum() + end_log, inside, symbols.tobytes(), list(rare), list(rare.values())), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            made = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            made[5] = made[5].cast(pa.list_(pa.string()))
+        # one more for words that aren't common, at -1
+        symbol_of = np.concatenate([vocab.symbols[:head], vocab.rest[classes[head:]], [0]]).astype(np.uint16)
+        log, inside = np.append(logs, 0), np.append(logs - share[classes], 0)
+        inside[:head] = 0
+        for part in stretches(batches, TEXT):
+            rows = part.num_rows
+            words, of = words_of(part.column("text"))
+            at = pc.fill_null(pc.index_in(words, common), -1).to_numpy()
+            symbols = np.full(len(words) + rows, vocab.end, np.uint16)  # the end of each text stays
+            place = np.arange(len(words)) + of
+            symbols[place] = symbol_of[at]
+            n, known = np.bincount(of, minlength=rows) + 1, np.bincount(of[at >= 0], minlength=rows) + int(vocab.ends > 0)
+            base, within = np.bincount(of, log[at], rows) + end_log, np.bincount(of, inside[at], rows).astype(np.float64)  # whole numbers without words
+            others = np.flatnonzero(at < 0)
+            rare = words.take(pa.array(others)).dictionary_encode()
+            which, code = rare.dictionary, rare.indices.to_numpy().astype(np.int64)
+            k = np.array([class_of(w) for w in which.to_pylist()], np.int64)[code]
+            symbols[place[others]] = vocab.rest[k]
+            within -= np.bincount(of[others], share[k], rows)
+            pairs, times = np.unique(of[others] * max(len(which), 1) + code, return_counts=True)
+            text, word = np.divmod(pairs, max(len(which), 1))
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=rows))]), pa.int32())
+            ends = np.concatenate([[0], np.cumsum(n * symbols.itemsize)]).astype(np.int32)
+            made = [
+                pa.array(n), pa.array(known), pa.array(base), pa.array(within), pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(symbols)]),
+                pa.ListArray.from_arrays(bounds, which.take(pa.array(word)).view(pa.string())), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+            ]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "held_out", "round")), *made], names)
 
     row = F.monotonically_increasing_id()
@@ -236,31 +258,38 @@ class Network:
                 at += a.size
 
     def forward(self, given: np.ndarray, begins: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each step of a window (steps x lanes), and what the way back needs."""
+        """States after each step of a window (steps x lanes), and what the way back needs.
+
+        Inside, lanes are the last axis: what is done to all lanes is then done to numbers that lie side by side.
+        """
         p, w = self.p, WIDTH
+        half = np.where(np.arange(3 * w) < 2 * w, np.float32(0.5), np.float32(1))  # a sigmoid is half a hyperbolic tangent of the half
         x = p["embed"][given]
-        xw = x @ p["wx"]
-        xw += p["b"]
-        some = begins.any(axis=1)
-        states, befores, tape = np.empty((*given.shape, w), np.float32), np.empty((*given.shape, w), np.float32), []
+        xw = np.matmul((p["wx"] * half).T, x.transpose(0, 2, 1))
+        xw += (p["b"] * half)[:, None]
+        wh, some, h = (p["wh"] * half).T.copy(), begins.any(axis=1), h.T
+        shape = (len(given), w, given.shape[1])
+        states, befores, hns = np.empty(shape, np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
+        hw = np.empty((3 * w, shape[2]), np.float32)
         for t in range(len(given)):
-            before = np.multiply(h, ~begins[t][:, None], out=befores[t]) if some[t] else h
-            befores[t] = before
-            hw = before @ p["wh"]
-            gates = xw[t, :, : 2 * w]
-            gates += hw[:, : 2 * w]
-            np.tanh(np.multiply(gates, 0.5, out=gates), out=gates)  # a sigmoid is half a hyperbolic tangent of the half
+            before = befores[t]
+            if some[t]:
+                np.multiply(h, ~begins[t], out=before)
+            else:
+                before[:] = h
+            np.matmul(wh, before, out=hw)
+            gates, new = xw[t, : 2 * w], xw[t, 2 * w :]
+            gates += hw[: 2 * w]
+            np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
-            r, z = gates[:, :w], gates[:, w:]
-            new = r * hw[:, 2 * w :]
-            new += xw[t, :, 2 * w :]
+            hns[t] = hw[2 * w :]
+            new += np.multiply(gates[:w], hns[t], out=hw[:w])
             np.tanh(new, out=new)
             h = np.subtract(before, new, out=states[t])
-            h *= z
+            h *= gates[w:]
             h += new
-            tape.append((r, z, new, hw[:, 2 * w :]))
-        return states, [x, befores, tape]
+        return np.ascontiguousarray(states.transpose(0, 2, 1)), [x, befores, xw, hns]
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-likelihood of each target symbol after states h; with grads, also the gradient of its loss to the states."""
@@ -268,23 +297,26 @@ class Network:
         k = self.symbol_class[target]
 
         def softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Log-likelihoods of the own columns, and the gradient to the logits (without grads, what is left of them)."""
-            logits = h @ weights
-            logits += bias
-            np.minimum(logits, MOST_LOGIT, out=logits)
-            rows = np.arange(len(h))
-            found = logits[rows, own]
+            """Log-likelihoods of the own rows, and the gradient to the logits (without grads, what is left of them): a row per symbol, a column per state."""
+            logits = weights @ h.T
+            logits += bias[:, None]
+            if (np.abs(weights).sum(1) * most + bias).max() > MOST_LOGIT:
+                np.minimum(logits, MOST_LOGIT, out=logits)
+            at = own * len(h)
+            at += np.arange(len(h))
+            found = logits.ravel()[at]
             e = np.exp(logits, out=logits)
-            total = e @ np.ones(e.shape[1], np.float32)
+            total = np.ones(len(e), np.float32) @ e
             if grads is not None:
-                e *= (1 / total)[:, None]
-                e[rows, own] -= 1
-            return found - np.log(total), e
+                e *= 1 / total
+                e.ravel()[at] -= 1
+            return found - np.log(total, out=total), e
 
-        found, d = softmax(h, p["wc"], p["bc"], k)
+        most = max(np.abs(h).max(initial=0), 1)
+        found, d = softmax(h, p["wc"].T, p["bc"], k)
         back = None
         if grads is not None:
-            grads["wc"], grads["bc"], back = h.T @ d, np.ones(len(d), np.float32) @ d, d @ p["wc"].T
+            grads["wc"], grads["bc"], back = (d @ h).T, d @ np.ones(len(h), np.float32), d.T @ p["wc"].T
             grads["wo"], grads["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
         order = np.argsort(k.astype(np.uint8), kind="stable")  # by radix
         edges = np.searchsorted(k[order], np.arange(CLASSES + 2)).tolist()
@@ -294,10 +326,10 @@ class Network:
             lo, hi, a, b = self.first[c], self.first[c + 1], edges[c], edges[c + 1]
             if a == b or hi - lo < 2:
                 continue
-            inner[a:b], d = softmax(sorted_h[a:b], p["wo"][lo:hi].T, p["bo"][lo:hi], own[a:b])
+            inner[a:b], d = softmax(sorted_h[a:b], p["wo"][lo:hi], p["bo"][lo:hi], own[a:b])
             if grads is not None:
-                grads["wo"][lo:hi], grads["bo"][lo:hi] = d.T @ sorted_h[a:b], np.ones(b - a, np.float32) @ d
-                sorted_back[a:b] = d @ p["wo"][lo:hi]
+                grads["wo"][lo:hi], grads["bo"][lo:hi] = d @ sorted_h[a:b], d @ np.ones(b - a, np.float32)
+                sorted_back[a:b] = d.T @ p["wo"][lo:hi]
         found[order] += inner
         if grads is not None:
             back[order] += sorted_back
@@ -305,33 +337,37 @@ class Network:
 
     def backward(self, given: np.ndarray, begins: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
         """Gradients through a window, from those of its states; none go past its beginning."""
-        p, w, (x, befores, tape) = self.p, WIDTH, kept
-        down, dxw, dhw = np.zeros_like(back[0]), np.empty((*given.shape, 3 * w), np.float32), np.empty((*given.shape, 3 * w), np.float32)
-        some, turned = begins.any(axis=1), p["wh"].T.copy()
+        p, w, (x, befores, xw, hns) = self.p, WIDTH, kept
+        back = np.ascontiguousarray(back.transpose(0, 2, 1))
+        down, dxw, dhw = np.zeros_like(back[0]), np.empty_like(xw), np.empty_like(xw)
+        held, some = np.empty_like(down), begins.any(axis=1)
         for t in range(len(given) - 1, -1, -1):
-            r, z, new, hn = tape[t]
+            r, z, new = xw[t, :w], xw[t, w : 2 * w], xw[t, 2 * w :]
+            dr, dz, dnew = dxw[t, :w], dxw[t, w : 2 * w], dxw[t, 2 * w :]
             dh = np.add(back[t], down, out=down)
-            rest = 1 - z
-            dnew = np.multiply(dh, rest, out=dxw[t, :, 2 * w :])
-            dnew *= 1 - new * new
-            dz = np.multiply(dh, befores[t] - new, out=dxw[t, :, w : 2 * w])
+            rest = np.subtract(1, z, out=held)
+            np.multiply(dh, rest, out=dnew)
+            np.multiply(dh, np.subtract(befores[t], new, out=dz), out=dz)
             dz *= z
             dz *= rest
-            dr = np.multiply(dnew, hn, out=dxw[t, :, :w])
-            dr *= r * (1 - r)
-            dhw[t] = dxw[t]
-            dhw[t, :, 2 * w :] *= r
-            down = dh * z
-            down += dhw[t] @ turned
+            np.multiply(new, new, out=held)
+            dnew *= np.subtract(1, held, out=held)
+            np.multiply(dnew, hns[t], out=dr)
+            dr *= r
+            dr *= np.subtract(1, r, out=held)
+            dhw[t, : 2 * w] = dxw[t, : 2 * w]
+            np.multiply(dnew, r, out=dhw[t, 2 * w :])
+            dh *= z
+            dh += np.matmul(p["wh"], dhw[t], out=held)
             if some[t]:
-                down *= ~begins[t][:, None]
-        dwh = befores.reshape(-1, w).T @ dhw.reshape(-1, 3 * w)
-        flat = dxw.reshape(-1, 3 * w)
-        grads["wx"], grads["wh"], grads["b"] = x.reshape(-1, w).T @ flat, dwh, flat.sum(0)
-        order = np.argsort(given, axis=None, kind="stable")
+                dh *= ~begins[t]
+        flat = dxw.transpose(0, 2, 1)
+        grads["wx"], grads["wh"] = np.matmul(x.transpose(0, 2, 1), flat).sum(0), np.matmul(befores, dhw.transpose(0, 2, 1)).sum(0)
+        grads["b"] = (dxw @ np.ones(dxw.shape[2], np.float32)).sum(0)
+        order = np.argsort(given.astype(np.uint16), axis=None, kind="stable")  # by radix
         used = given.ravel()[order]
         heads = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-        grads["embed"] = (used[heads], np.add.reduceat((flat @ p["wx"].T)[order], heads))
+        grads["embed"] = (used[heads], np.add.reduceat(np.matmul(flat, p["wx"].T).reshape(-1, w)[order], heads))
 
     def step(self, grads: dict, tokens: int) -> None:
         """Adagrad on the gradient divided by so many tokens, whose norm is held at CLIP."""

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import SCHEMA, WORD, lower
@@ -179,3 +180,31 @@ def test_odd_rows(spark, no_docs):
     only_held = [(i, "some words", "en", "a", 0) for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = found(spark.createDataFrame(only_held, SCHEMA))
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in got} == {(0, 0, 0.0)} and all(math.isfinite(r["score"]) for r in got)
+
+
+@pytest.mark.parametrize("size", [1, 20, 1 << 20])
+def test_words_of_stretches(size):
+    """All rows once and in order, with words as bytes.split() finds them, whatever the bytes and wherever batches and stretches are cut."""
+    rnd = random.Random(6)
+    texts = [None, b"", b" \t ", b"\x1c\x85 A\xa0B\xff", *(bytes(rnd.choice(b" \t\n\x0b\x0c\r\x00\x1fAZaz\x80\xc3\xff") for _ in range(rnd.randint(0, 40))) for _ in range(300)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(range(len(texts)))], ["text", "row"])
+    cuts = [0, 1, 1, 7, 150, len(texts)]
+    rows, found = [], []
+    for part in lm.stretches((batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)), size):
+        sizes = [len(t or b"") for t in part.column("text").to_pylist()]
+        assert part.num_rows == 1 or sum(sizes) <= size
+        words, of = lm.words_of(part.column("text"))
+        found += [[w for w, i in zip(words.to_pylist(), of.tolist(), strict=True) if i == k] for k in range(part.num_rows)]
+        rows += part.column("row").to_pylist()
+    assert rows == list(range(len(texts))) and found == [(t or b"").lower().split() for t in texts]
+
+
+def test_bytes_that_are_no_characters(spark):
+    """Strings of other bytes than UTF-8, which Spark reads from files as they are, have words too."""
+    texts = spark.range(40).selectExpr("id AS doc_id", "CAST(IF(id % 2 = 1, X'ff6120ff62', X'ff6220fe62') AS STRING) AS text")
+    got = {(r["doc_id"] % 2, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found(texts)}
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(40)]
+    c = Counter(w for i in range(40) if not held[i] for w in ((b"\xffa", b"\xffb", None) if i % 2 else (b"\xffb", b"\xfeb", None)))
+    n = sum(c.values())
+    base = {i: round(sum(math.log10((c[w] + 0.1) / (n + 0.5)) for w in ((b"\xffa", b"\xffb", None) if i else (b"\xffb", b"\xfeb", None))), 6) for i in (0, 1)}
+    assert got == {(i % 2, held[i], 3, 3, n, base[i % 2]) for i in range(40)}
